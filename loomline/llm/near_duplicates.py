@@ -14,8 +14,8 @@ Postings stay short without any cap, by two means:
 * Records with the same words are one class; only its representative is posted.
 
 A list longer than LONG (a cluster of records that are alike, but not the same) isn't merged. As a pair needs
-MATCHES > 1 collisions, it suffices to post the records of a long list again under each pair of that list and
-another of their coordinates, which splits the list; see `merge_skip`. No list is dropped.
+MATCHES > 2 collisions, it suffices to post the records of a long list again under each pair of that list and
+another of their coordinates, which splits the list, and to count a collision there as two. No list is dropped.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .records import SHINGLE, batch_texts, digests, one_per_problem, problem_rec
 from .storage import checkpointed
 
 COORDINATES = 32
-MATCHES = 4
+MATCHES = 5
 #: Sequences with at most this many occurrences have full weight.
 COMMON = 8.0
 LONG = 256
@@ -127,11 +127,10 @@ def _pairs_of(ids: np.ndarray, edges: np.ndarray, most: int) -> tuple[np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def merge_skip(postings: DataFrame, long: int = LONG) -> DataFrame:
-    """Collisions (a, b, matches) from postings (key, id); a < b.
+def merge_skip(ordered: DataFrame, long: int = LONG) -> DataFrame:
+    """Collisions (a, b), a < b, from postings (key, id) that are partitioned and sorted by key.
 
-    Lists of up to `long` records are merged. The records of a longer list are posted again by
-    `split_long`, where a collision of two coordinates counts as two matches.
+    Lists of up to `long` records are merged, longer ones skipped; `long_lists` tells which.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,19 +139,27 @@ def merge_skip(postings: DataFrame, long: int = LONG) -> DataFrame:
             for i in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
 
-    return postings.repartition("key").sortWithinPartitions("key", "id").mapInArrow(merge, "a long, b long")
+    return ordered.mapInArrow(merge, "a long, b long")
 
 
-def long_lists(postings: DataFrame, long: int = LONG) -> DataFrame:
-    """(key) of the lists that merge_skip leaves; a partial count precedes the shuffle."""
-    return postings.groupBy("key").count().where(F.col("count") > long).select("key")
+def long_lists(ordered: DataFrame, long: int = LONG) -> DataFrame:
+    """(key) of the lists that merge_skip leaves out."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, edges in _runs(batches, long):
+            at = edges[:-1][np.diff(edges) > long]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at])], names=["key"])
+
+    return ordered.mapInArrow(find, "key long")
 
 
 def candidate_pairs(classes: DataFrame, matches: int = MATCHES, long: int = LONG) -> DataFrame:
     """Pairs (a, b) of class representatives that share `matches` signature coordinates or more."""
     postings = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
-    counted = merge_skip(postings, long).select("a", "b", F.lit(1).alias("m"))
-    hot = long_lists(postings, long)
+    ordered = postings.repartition("key").sortWithinPartitions("key", "id")
+    counted = merge_skip(ordered, long).select("a", "b", F.lit(1).alias("m"))
+    hot = long_lists(ordered, long)
     members = postings.join(hot, "key").join(classes.select(F.col("rep").alias("id"), F.col("keys").alias("others")), "id")
     again = members.select("id", "key", F.explode("others").alias("other")).where("key <> other")
     again = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
