@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .canonical_text import look_alike_pairs
+from .cross_split import cross_split_pairs, cross_split_report
 from .near_duplicates import near_duplicate_pairs
 
 
@@ -13,12 +15,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_split_pairs(table(spark, folder, "problems"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    problems = table(spark, folder, "problems")
+    return cross_split_report(problems, cross_split_pairs(problems))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, folder, "problems"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return look_alike_pairs(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return {f.__name__: f for f in (p1_found, p1_report, p4_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
