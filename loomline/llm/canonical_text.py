@@ -28,10 +28,10 @@ SAME_SHAPE = str.maketrans(
     "aeopcyxsijhdqwABEKMHOPCTYXSIJQWABEZHIKMNOPTYXocj",
 )
 # Kinds of a single space and of a hyphen.
-SPACES = "               　"
-HYPHENS = "‐‑"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+HYPHENS = "\u2010\u2011"
 # Characters outside the format and control categories that show nothing.
-BLANKS = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
+BLANKS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 _PLAIN = str.maketrans(SPACES + HYPHENS, " " * len(SPACES) + "-" * len(HYPHENS))
 
 

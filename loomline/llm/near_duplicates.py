@@ -31,8 +31,8 @@ from .hashing import frequency_codes, list_array, mean_load, mix, occurrences, p
 from .records import SHINGLE, batch_texts, digests, one_per_problem, problem_records, similar
 from .storage import checkpointed
 
-COORDINATES = 32
-MATCHES = 5
+COORDINATES = 48
+MATCHES = 6
 #: Sequences with at most this many occurrences have full weight.
 COMMON = 8.0
 LONG = 256
@@ -169,13 +169,15 @@ def candidate_pairs(classes: DataFrame, matches: int = MATCHES, long: int = LONG
 
 
 def near_duplicate_classes(problems: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, members, classes): members (problem_id, digest, rep), classes (digest, rep, keys)."""
+    """(records, members, classes): members (problem_id, rep), classes (rep, keys)."""
     records = problem_records(problems)
     codes = shingle_frequencies(records, sketch_bits(records.count()))
-    chosen = checkpointed(one_per_problem(signed_records(records, codes), "digest", "keys"))
-    classes = chosen.groupBy("digest").agg(F.min("pos").alias("rep"), F.first("keys").alias("keys")).where(F.size("keys") > 0)
-    classes = checkpointed(classes)
-    members = chosen.select("problem_id", "digest").join(classes.select("digest", "rep"), "digest").select("problem_id", "rep")
+    signed = checkpointed(signed_records(records, codes))
+    chosen = one_per_problem(signed.select("pos", "problem_id", "digest", (F.size("keys") > 0).alias("some")), "digest", "some").where("some")
+    chosen = checkpointed(chosen.select("pos", "problem_id", "digest"))
+    reps = chosen.groupBy("digest").agg(F.min("pos").alias("rep"))
+    members = checkpointed(chosen.join(reps, "digest").select("problem_id", "rep"))
+    classes = signed.select(F.col("pos").alias("rep"), "keys").join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
     return records, members, classes
 
 
