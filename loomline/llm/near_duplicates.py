@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import frequency_codes, list_array, mean_load, mix, occurrences, pack_counts, shingles_of, sketch_bits, slices, slots, starts_of, words_of
-from .records import SHINGLE, batch_texts, digests, one_per_problem, problem_records, similar
+from .hashing import frequency_codes, mean_load, mix, occurrences, pack_counts, shingles_of, sketch_bits, slices, slots, starts_of, words_of
+from .records import SHINGLE, batch_texts, class_ids, digests, one_per_problem, problem_records, similar
 from .storage import checkpointed
 
 COORDINATES = 48
@@ -72,46 +72,64 @@ def signatures(h: np.ndarray, sizes: np.ndarray, penalty: np.ndarray, coordinate
     return keys
 
 
-def signed_records(records: DataFrame, codes: np.ndarray, n: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
-    """(pos, problem_id, digest, keys): keys is null for a record without an n-word sequence."""
+def postings(records: DataFrame, codes: np.ndarray, n: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
+    """(key, id): the posting of each class of equal records under each of its coordinate-value pairs.
+
+    A task posts a class once; copies of a class in several tasks are dropped when the lists are merged.
+    """
     bits = int(np.log2(len(codes)))
     common = max(COMMON, 1.5 * mean_load(codes))
     table = np.maximum((occurrences(np.arange(256, dtype=np.uint8)) / common) ** 2, 1).astype(np.float32)
     sent = records.sparkSession.sparkContext.broadcast(codes)  # 16 MB at most, by construction
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             texts = batch_texts(batch)
             for i, j in slices(texts):
                 words, counts = words_of(texts[i:j])
-                h, sizes = shingles_of(words, counts, n)
-                keys = signatures(h, sizes, table[sent.value[slots(h, bits)]], coordinates) if len(h) else np.zeros((0, coordinates), dtype=np.uint64)
-                lists = list_array(keys.ravel().view(np.int64), np.where(sizes > 0, coordinates, 0))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("pos").slice(i, j - i), batch.column("problem_id").slice(i, j - i), pa.array(digests(words, counts), pa.binary()), lists],
-                    names=["pos", "problem_id", "digest", "keys"],
-                )
-
-    return records.select("pos", "problem_id", "prompt", "reference_code").mapInArrow(sign, "pos long, problem_id string, digest binary, keys array<long>")
+                ids = class_ids(digests(words, counts))
+                new = np.zeros(j - i, dtype=bool)
+                for k, x in enumerate(ids.tolist()):
+                    if counts[k] >= n and x not in seen:
+                        seen.add(x)
+                        new[k] = True
+                if len(seen) > 500_000:
+                    seen.clear()
+                if not new.any():
+                    continue
+                h, sizes = shingles_of(words[np.repeat(new, counts)], counts[new], n)
+                keys = signatures(h, sizes, table[sent.value[slots(h, bits)]], coordinates)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[new], coordinates))], names=["key", "id"])
+
+    return records.select("prompt", "reference_code").mapInArrow(post, "key long, id long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted (key, id) batches as (keys, ids, edges) of whole runs.
+    """Sorted (key, id) batches as (keys, ids, edges) of whole runs, each id once per run.
 
-    The open run is carried over; of one that is too long to be merged no more than long + 1 rows are kept.
+    The open run is carried over, so memory is that of a batch and one list of ids.
     """
     keys, ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    held, size = [], 0
     for batch in batches:
-        keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
-        ids = np.concatenate((ids, batch.column(1).to_numpy(zero_copy_only=False)))
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if len(cuts):
-            last = cuts[-1]
-            yield keys[:last], ids[:last], np.concatenate(([0], cuts[:-1], [last]))
-            keys, ids = keys[last:], ids[last:]
-        keys, ids = keys[: long + 1], ids[: long + 1]
-    if len(keys):
-        yield keys, ids, np.array([0, len(keys)])
+        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+        size += len(held[-1][0])
+        if held[-1][0][-1] == held[0][0][0]:
+            continue  # still one run
+        keys, ids = (np.concatenate(x) for x in zip(*held))
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        last = int(np.searchsorted(keys, keys[-1]))
+        held, size = [(keys[last:], ids[last:])], len(keys) - last
+        keys, ids = keys[:last][new[:last]], ids[:last][new[:last]]
+        yield keys, ids, np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)]))
+    if held:
+        keys, ids = (np.concatenate(x) for x in zip(*held))
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids = keys[new], ids[new]
+        yield keys, ids, np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)]))
 
 
 def _pairs_of(ids: np.ndarray, edges: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,64 +145,65 @@ def _pairs_of(ids: np.ndarray, edges: np.ndarray, most: int) -> tuple[np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def merge_skip(ordered: DataFrame, long: int = LONG) -> DataFrame:
-    """Collisions (a, b), a < b, from postings (key, id) that are partitioned and sorted by key.
+def merge_skip(lists: DataFrame, long: int = LONG) -> DataFrame:
+    """Collisions from posting lists (key, id): (a, b, 1) of two ids, a < b, or (id, key, -1) of a long list.
 
-    Lists of up to `long` records are merged, longer ones skipped; `long_lists` tells which.
+    Lists of up to `long` ids are merged; the ids of longer ones come out with the list's key.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, edges in _runs(batches, long):
+        for keys, ids, edges in _runs(batches, long):
             a, b = _pairs_of(ids, edges, long)
+            m = np.ones(len(a), dtype=np.int32)
+            sizes = np.diff(edges)
+            if (sizes > long).any():
+                skipped = np.repeat(sizes > long, sizes)
+                a, b = np.concatenate((a, ids[skipped])), np.concatenate((b, keys[skipped]))
+                m = np.concatenate((m, np.full(int(skipped.sum()), -1, dtype=np.int32)))
             for i in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
-
-    return ordered.mapInArrow(merge, "a long, b long")
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (a, b, m)], names=["a", "b", "m"])
 
+    return lists.repartition("key").sortWithinPartitions("key", "id").mapInArrow(merge, "a long, b long, m int")
 
-def long_lists(ordered: DataFrame, long: int = LONG) -> DataFrame:
-    """(key) of the lists that merge_skip leaves out."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _, edges in _runs(batches, long):
-            at = edges[:-1][np.diff(edges) > long]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at])], names=["key"])
+def candidate_pairs(lists: DataFrame, matches: int = MATCHES, long: int = LONG) -> DataFrame:
+    """Pairs (a, b) of classes that share `matches` signature coordinates or more.
 
-    return ordered.mapInArrow(find, "key long")
+    A pair with l >= 1 of its matches in long lists shares l * (matches - l) + l * (l - 1) / 2 >= matches - 1
+    pairs of a long list and another coordinate, so counting these finds all pairs that short lists miss.
+    """
+    counted = merge_skip(lists, long).groupBy("a", "b", F.signum("m").alias("s")).agg(F.sum("m").alias("m"))
+    counted = checkpointed(counted.where(F.expr(f"s < 0 OR m >= {matches}")))
+    short, hot = counted.where("s > 0").select("a", "b"), counted.where("s < 0").select(F.col("a").alias("id"), F.col("b").alias("key"))
+    if hot.isEmpty():
+        return short
+    others = lists.join(hot.select("id").distinct(), "id", "left_semi").select("id", F.col("key").alias("other")).distinct()
+    again = hot.join(others, "id").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
+    left, right = again.select("key", F.col("id").alias("a")), again.select("key", F.col("id").alias("b"))
+    split = left.join(right, "key").where("a < b").groupBy("a", "b").count().where(F.col("count") >= matches - 1)
+    return short.unionByName(split.select("a", "b")).distinct()
 
 
-def candidate_pairs(classes: DataFrame, matches: int = MATCHES, long: int = LONG) -> DataFrame:
-    """Pairs (a, b) of class representatives that share `matches` signature coordinates or more."""
-    postings = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
-    ordered = postings.repartition("key").sortWithinPartitions("key", "id")
-    counted = merge_skip(ordered, long).select("a", "b", F.lit(1).alias("m"))
-    hot = long_lists(ordered, long)
-    members = postings.join(hot, "key").join(classes.select(F.col("rep").alias("id"), F.col("keys").alias("others")), "id")
-    again = members.select("id", "key", F.explode("others").alias("other")).where("key <> other")
-    again = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
-    left, right = again.select("key", F.col("id").alias("a")), again.select("key", F.col("id").alias("b"))
-    split = left.join(right, "key").where("a < b").select("a", "b", F.lit(2).alias("m"))
-    return counted.unionByName(split).groupBy("a", "b").agg(F.sum("m").alias("m")).where(F.col("m") >= matches).select("a", "b")
+def class_members(records: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """(problem_id, pos, id) of the delivery of each problem that counts and has n words or more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch_texts(batch)
+            for i, j in slices(texts):
+                words, counts = words_of(texts[i:j])
+                ids = digests(words, counts)
+                columns = [batch.column(c).slice(i, j - i) for c in ("pos", "problem_id")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(class_ids(ids)), pa.array(counts >= n)], names=["pos", "problem_id", "digest", "id", "some"])
 
-def near_duplicate_classes(problems: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, members, classes): members (problem_id, rep), classes (rep, keys)."""
-    records = problem_records(problems)
-    codes = shingle_frequencies(records, sketch_bits(records.count()))
-    signed = checkpointed(signed_records(records, codes))
-    chosen = one_per_problem(signed.select("pos", "problem_id", "digest", (F.size("keys") > 0).alias("some")), "digest", "some").where("some")
-    chosen = checkpointed(chosen.select("pos", "problem_id", "digest"))
-    reps = chosen.groupBy("digest").agg(F.min("pos").alias("rep"))
-    members = checkpointed(chosen.join(reps, "digest").select("problem_id", "rep"))
-    classes = signed.select(F.col("pos").alias("rep"), "keys").join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    return records, members, classes
+    rows = records.select("pos", "problem_id", "prompt", "reference_code").mapInArrow(run, "pos long, problem_id string, digest binary, id long, some boolean")
+    return one_per_problem(rows, "digest", "id", "some").where("some").select("problem_id", "pos", "id")
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of class representatives, and pairs inside a class, as ordered pairs of problem_ids."""
-    left = members.select(F.col("rep").alias("a"), F.col("problem_id").alias("p"))
-    right = members.select(F.col("rep").alias("b"), F.col("problem_id").alias("q"))
+    """Pairs (a, b) of classes, and pairs inside a class, as ordered pairs of problem_ids."""
+    left = members.select(F.col("id").alias("a"), F.col("problem_id").alias("p"))
+    right = members.select(F.col("id").alias("b"), F.col("problem_id").alias("q"))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select("p", "q")
     inside = left.join(right, F.col("a") == F.col("b")).where("p < q").select("p", "q")
     return across.unionByName(inside).select(F.least("p", "q").alias("problem_id_a"), F.greatest("p", "q").alias("problem_id_b"))
@@ -196,6 +215,8 @@ def near_duplicate_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> D
     Empty tables give no pairs; ties (a similarity of exactly at_least) count; see `records` for nulls,
     repeated deliveries and short texts.
     """
-    records, members, classes = near_duplicate_classes(problems)
-    pairs = similar(records, candidate_pairs(classes), at_least)
+    records = problem_records(problems)
+    codes = shingle_frequencies(records, sketch_bits(records.count()))
+    members = checkpointed(class_members(records))
+    pairs = similar(records, members, candidate_pairs(postings(records, codes)), at_least)
     return expand(pairs, members)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import HASHES, bitmap, in_bitmap, list_array, record_text, shingles_of, slices, starts_of, words_of
+from .hashing import bitmap, in_bitmap, list_array, record_text, shingles_of, slices, words_of
 from .storage import checkpointed
 
 SHINGLE = 3
@@ -43,6 +43,11 @@ def digests(words: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(words[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist())]
 
 
+def class_ids(digest: list[bytes]) -> np.ndarray:
+    """The first 64 bits of the digests: ids of classes of equal word sequences."""
+    return np.frombuffer(b"".join(d[:8] for d in digest), dtype="<i8").astype(np.int64)
+
+
 def one_per_problem(rows: DataFrame, *kept: str) -> DataFrame:
     """The delivery that counts of each problem_id, with the columns kept; small rows only."""
     best = F.min_by(F.struct("pos", *kept), F.struct("pos", "digest")).alias("r")
@@ -75,21 +80,18 @@ def shingle_sets(records: DataFrame, wanted: np.ndarray, n: int = SHINGLE) -> Da
     return records.select("pos", "prompt", "reference_code").mapInArrow(run, "pos long, shingles array<long>")
 
 
-def similar(records: DataFrame, pairs: DataFrame, at_least: float) -> DataFrame:
-    """Of the candidate pairs (a, b) of pos those whose records reach the similarity, which is added.
+def similar(records: DataFrame, members: DataFrame, pairs: DataFrame, at_least: float) -> DataFrame:
+    """Of the candidate pairs (a, b) of class ids those whose records reach the similarity, which is added.
 
-    The sets are compared exactly. Only records that occur in a pair are shuffled: a bit set of 1 MB drops
-    most others while the texts are read, and the joins drop the rest.
+    The sets are compared exactly. Only one record per class that occurs in a pair is shuffled: a bit set of
+    1 MB drops most others while the texts are read, and the joins drop the rest.
     """
     pairs = checkpointed(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("pos"))
-    sets = shingle_sets(records, bitmap(ids)).dropDuplicates(["pos"])
-    sets = checkpointed(sets.join(ids.distinct(), "pos", "left_semi"))
-    left = sets.select(F.col("pos").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("pos").alias("b"), F.col("shingles").alias("y"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    reps = checkpointed(members.groupBy("id").agg(F.min("pos").alias("pos")).join(ids, "id", "left_semi"))
+    sets = shingle_sets(records, bitmap(reps.select("pos"))).join(reps, "pos").select("id", "shingles").dropDuplicates(["id"])
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("n"), (F.size("x") + F.size("y")).alias("m"))
     return joined.select("a", "b", F.try_divide(F.col("n").cast("double"), F.col("m") - F.col("n")).alias("similarity")).where(F.col("similarity") >= at_least)
-
-
-__all__ = ["HASHES", "LAST", "SHINGLE", "batch_texts", "digests", "one_per_problem", "problem_records", "shingle_sets", "similar", "starts_of"]
