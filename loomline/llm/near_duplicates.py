@@ -32,7 +32,7 @@ from .records import SHINGLE, batch_texts, class_ids, digests, one_per_problem,
 from .storage import checkpointed
 
 COORDINATES = 48
-MATCHES = 6
+MATCHES = 5
 #: Sequences with at most this many occurrences have full weight.
 COMMON = 8.0
 LONG = 256

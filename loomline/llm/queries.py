@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .canonical_text import look_alike_pairs
 from .cross_split import cross_split_pairs, cross_split_report
+from .defects import defects
+from .layout_copies import collapse, layout_copies
 from .near_duplicates import near_duplicate_pairs
+from .truncation import truncated, truncation_report
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,16 +27,36 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split_report(problems, cross_split_pairs(problems))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated(table(spark, folder, "reasoning"))
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation_report(table(spark, folder, "reasoning"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, folder, "problems"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defects(table(spark, folder, "problems"), table(spark, folder, "reasoning"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return layout_copies(table(spark, folder, "problems"))
+
+
+def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    return collapse(table(spark, folder, "problems"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return look_alike_pairs(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p4_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p4_found, p5_found, p6_found, p6_collapsed, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
