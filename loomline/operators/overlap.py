@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import checkpointed
 from ..functions.text import jaccard, ngram_set, normalize, normalized_hash, tokens_of
 
 
 def shingled(problems: DataFrame, n: int, text: str = "prompt") -> DataFrame:
     """(problem_id, norm_hash, grams): distinct problem_ids with normalised text hash and set of n-gram hashes.
 
-    n-grams are kept as 64-bit hashes, so a set takes 8 bytes per n-gram in memory and shuffles. The normalisation is materialised
-    once by the aggregate, so the optimiser can't repeat it per n-gram.
+    n-grams are kept as 64-bit hashes, so a set takes 8 bytes per n-gram in memory and shuffles. The sets are checkpointed, as every
+    operator below reads them several times.
     """
     one = problems.where(F.col("problem_id").isNotNull()).groupBy("problem_id").agg(F.min_by(F.coalesce(text, F.lit("")), "pos").alias("_text"))
     one = one.select("problem_id", normalize("_text").alias("_norm"))
     grams = F.array_distinct(F.transform(ngram_set(tokens_of(F.col("_norm")), n), lambda g: F.xxhash64(g)))
-    return one.select("problem_id", F.sha2("_norm", 256).alias("norm_hash"), grams.alias("grams"))
+    return checkpointed(one.select("problem_id", F.sha2("_norm", 256).alias("norm_hash"), grams.alias("grams")))
 
 
 def exact_groups(problems: DataFrame, text: str = "prompt") -> DataFrame:
@@ -79,7 +80,7 @@ def blocked(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
 
 def sequential_blocking(sft: DataFrame, pt: DataFrame, dev: DataFrame, threshold: float) -> DataFrame:
     """(split, problem_id) blocked: pt against sft, then dev against sft and what is left of pt."""
-    from_pt = blocked(sft, pt, threshold)
+    from_pt = checkpointed(blocked(sft, pt, threshold))
     kept = pt.join(from_pt, "problem_id", "left_anti")
     from_dev = blocked(sft.unionByName(kept), dev, threshold)
     return from_pt.select(F.lit("pt").alias("split"), "problem_id").unionByName(from_dev.select(F.lit("dev").alias("split"), "problem_id"))

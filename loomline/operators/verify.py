@@ -255,13 +255,20 @@ RUN = "struct<test_id:string,status:string,exit_code:int,runtime_ms:long,error_t
 VERDICT = f"status string, passed int, total int, pass_rate double, error_type string, error_message string, runs array<{RUN}>"
 
 
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Many partitions by key: programs are small rows of long work, which size-based coalescing would put into one task."""
+    spark = df.sparkSession
+    least = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(partitions or least, key)
+
+
 def verify_codes(df: DataFrame, code: str = "code", tests: str = "tests", sandbox: Sandbox = Sandbox(), key: str = "problem_id", partitions: int | None = None) -> DataFrame:
     """df with the verdict's columns; rows are spread over many small partitions by key, as run times differ widely."""
     kept = df.columns
     clash = {"status", "passed", "total", "pass_rate", "error_type", "error_message", "runs"} & set(kept)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are already there")
-    rows = df.repartition(partitions, key) if partitions else df.repartition(key)
+    rows = spread(df, key, partitions)
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + VERDICT
     run_type = pa.struct([("test_id", pa.string()), ("status", pa.string()), ("exit_code", pa.int32()), ("runtime_ms", pa.int64()), ("error_type", pa.string()), ("error_message", pa.string())])
 
@@ -306,7 +313,7 @@ def attempts(df: DataFrame, solutions: str, tests: str, sandbox: Sandbox = Sandb
                 out.append(tried)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, kind)], names=[key, "attempts"])
 
-    return df.select(key, solutions, tests).repartition(key).mapInArrow(run, schema)
+    return spread(df.select(key, solutions, tests), key).mapInArrow(run, schema)
 
 
 def failure_class(status: Column, error_type: Column, error_message: Column) -> Column:

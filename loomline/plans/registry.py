@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import curation, evaluation
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return curation.QUERIES | evaluation.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return curation.SQL | evaluation.SQL
