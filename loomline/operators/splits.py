@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,6 +78,11 @@ def hash_sample(problems: DataFrame, seed: int, k: int) -> DataFrame:
     return problems.orderBy(split_order_key("problem_id", seed), "pos").limit(k)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once per row, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def distinct_tests(tests: Column | str) -> Column:
     """Test cases without repeated contents, first one kept; a missing id is case_<original index>_<fingerprint>."""
     c = F.col(tests) if isinstance(tests, str) else tests
@@ -86,7 +93,7 @@ def distinct_tests(tests: Column | str) -> Column:
             t["input"].alias("input"), t["output"].alias("output"), testcase_fingerprint(t["input"], t["output"]).alias("fingerprint"),
         ),
     )
-    return F.filter(printed, lambda t, i: F.array_position(printed["fingerprint"], t["fingerprint"]) == i + 1)
+    return let(printed, lambda p: F.filter(p, lambda t, i: F.array_position(p["fingerprint"], t["fingerprint"]) == i + 1))
 
 
 def reward_count(n: Column, ratio: float) -> Column:
@@ -104,14 +111,19 @@ def reward_heldout(problems: DataFrame, seed: int, ratio: float, least: Column |
     """problems with `reward_tests` and `heldout_tests` (null where there are fewer than `least` distinct test cases) and `n_tests`."""
     if not 0.0 < ratio < 1.0:
         raise ValueError("the reward ratio must lie between 0 and 1")
-    rows = problems.withColumn("_t", distinct_tests("tests"))
-    keyed = F.transform("_t", lambda t: F.struct(test_order_key(F.col("problem_id"), t, seed).alias("h"), t["test_id"].alias("test_id"), t["input"].alias("input"), t["output"].alias("output"), t["fingerprint"].alias("fingerprint")))
-    rows = rows.withColumn("_t", F.array_sort(keyed)).withColumn("n_tests", F.size("_t"))
-    n = F.col("n_tests")
-    enough = (n >= least) & (n >= 2)
-    cut = reward_count(n, ratio)
-    plain = F.transform("_t", lambda t: t.dropFields("h"))
-    return rows.withColumns({"reward_tests": F.when(enough, F.slice(plain, F.lit(1), cut)), "heldout_tests": F.when(enough, F.slice(plain, cut + 1, n))}).drop("_t")
+
+    def keyed(tests: Column) -> Column:
+        plain = lambda t: F.struct(*(t[c].alias(c) for c in ("test_id", "input", "output", "fingerprint")))
+        return F.array_sort(F.transform(tests, lambda t: F.struct(test_order_key(F.col("problem_id"), t, seed).alias("h"), plain(t).alias("t"))))
+
+    def parts(ordered: Column) -> Column:
+        n = F.size(ordered)
+        enough = (n >= least) & (n >= 2)
+        cut = reward_count(n, ratio)
+        return F.struct(n.alias("n"), F.when(enough, F.slice(ordered["t"], F.lit(1), cut)).alias("r"), F.when(enough, F.slice(ordered["t"], cut + 1, n)).alias("h"))
+
+    rows = problems.withColumn("_t", let(keyed(distinct_tests("tests")), parts))
+    return rows.withColumns({"reward_tests": F.col("_t.r"), "heldout_tests": F.col("_t.h"), "n_tests": F.col("_t.n")}).drop("_t")
 
 
 def test_manifest(split: DataFrame) -> DataFrame:
