@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_tests, keys, text
@@ -199,8 +199,11 @@ c AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY h) AS k, lea
 @query(f"WITH {_TESTS}, {_MANIFEST} SELECT problem_id, test_id, CASE WHEN k <= cut THEN 'reward' ELSE 'heldout' END AS part FROM c")
 def reward_heldout_split(spark, folder):
     rows = _heldout(spark, folder).where("reward_tests IS NOT NULL")
-    sides = [F.transform(f"{p}_tests", lambda t, p=p: F.struct(t["test_id"].alias("test_id"), F.lit(p).alias("part"))) for p in ("reward", "heldout")]
-    return rows.select("problem_id", F.explode(F.concat(*sides)).alias("t")).select("problem_id", "t.test_id", "t.part")
+
+    def side(part: str) -> Column:
+        return F.transform(f"{part}_tests", lambda t: F.struct(t["test_id"].alias("test_id"), F.lit(part).alias("part")))
+
+    return rows.select("problem_id", F.explode(F.concat(side("reward"), side("heldout"))).alias("t")).select("problem_id", "t.test_id", "t.part")
 
 
 @query(f"""WITH {_TESTS}, {_MANIFEST} SELECT problem_id, split, list(test_id ORDER BY k) FILTER (WHERE k <= cut) AS reward_test_ids, list(test_id ORDER BY k) FILTER (WHERE k > cut) AS heldout_test_ids,
