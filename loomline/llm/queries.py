@@ -13,6 +13,7 @@ from .layout_copies import collapse, layout_copies
 from .leaks import leaked, paraphrases
 from .mixing import mix, mixing_report
 from .near_duplicates import near_duplicate_pairs
+from .oracles import ORACLES
 from .tokens import token_cube
 from .truncation import truncated, truncation_report
 
@@ -91,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
