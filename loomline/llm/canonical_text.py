@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import checkpointed
+
 # Letters of the same shape, listed pairwise.
 SAME_SHAPE = str.maketrans(
     "аеорсухѕіјһԁԛԝАВЕКМНОРСТУХЅІЈԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ",
@@ -154,12 +156,15 @@ def look_alike_pairs(documents: DataFrame) -> DataFrame:
     """Pairs (doc_id_a < doc_id_b) whose texts are different strings but have one canonical form.
 
     Copies of one string are no pair. Forms with a single string, however many rows have it, are dropped by a
-    count with a partial aggregate before any row is joined. Null texts and ids have no pair; an empty table
-    gives none.
+    partial aggregate before any row is joined. Strings are paired first and their documents joined to the
+    pairs, so copies of one string never meet. Null texts and ids have no pair; an empty table gives none.
     """
-    rows = text_digests(documents)
+    rows = checkpointed(text_digests(documents))
     several = rows.groupBy("form").agg(F.min("raw").alias("x"), F.max("raw").alias("y")).where("x <> y").select("form")
-    rows = rows.join(several, "form", "left_semi")
-    left = rows.select("form", F.col("doc_id").alias("doc_id_a"), F.col("raw").alias("ra"))
-    right = rows.select("form", F.col("doc_id").alias("doc_id_b"), F.col("raw").alias("rb"))
-    return left.join(right, "form").where("doc_id_a < doc_id_b AND ra <> rb").select("doc_id_a", "doc_id_b").distinct()
+    rows = checkpointed(rows.join(several, "form", "left_semi"))
+    strings = rows.select("form", "raw").distinct()
+    a, b = strings.select("form", F.col("raw").alias("ra")), strings.select("form", F.col("raw").alias("rb"))
+    differing = a.join(b, "form").where("ra < rb").select("ra", "rb")
+    left, right = rows.select(F.col("raw").alias("ra"), F.col("doc_id").alias("x")), rows.select(F.col("raw").alias("rb"), F.col("doc_id").alias("y"))
+    pairs = differing.join(left, "ra").join(right, "rb").where("x <> y")
+    return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
