@@ -14,6 +14,7 @@ stay in their partitions; only (doc_id, item_id) rows of candidates leave them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,6 @@ _CHUNK = 2000
 
 def reader_words(text: str | None) -> list[str]:
     """Runs of letters and digits as a reader sees them, without case."""
-    import re
-
     return re.findall(r"[^\W_]+", canonical()(text).casefold()) if text else []
 
 
@@ -203,23 +202,43 @@ def latent_basis(stored: DataFrame, items: tuple[np.ndarray, np.ndarray], idf: n
     return (last @ vectors[:, ::-1]).astype(np.float32)
 
 
-def query_items(items: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item ids, word hashes, counts) of the evaluation items, which are the query side."""
+def query_items(items: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(item ids, word hashes, counts, texts) of the evaluation items, which are the query side."""
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > MOST_ITEM_CHARS:
         raise ValueError(f"{size} characters of evaluation items; search them in blocks of at most {MOST_ITEM_CHARS}")
     found = rows.select("item_id", "text").orderBy("item_id", "text").collect()
     words, counts = word_hashes([r.text for r in found])
-    return np.array([r.item_id for r in found], dtype=np.int64), words, counts
+    return np.array([r.item_id for r in found], dtype=np.int64), words, counts, [r.text for r in found]
+
+
+def longest_common_subsequence(a: list[str], b: list[str]) -> int:
+    """Bit-parallel: one big-integer step per word of b."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for word in b:
+        hit = free & places.get(word, 0)
+        free = ((free + hit) | (free - hit)) & full
+    return len(a) - free.bit_count()
 
 
-def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE, exact: bool = True) -> DataFrame:
-    """(doc_id, item_id, run): pairs of a document and an item with a passage above the cosine.
+def answers_of(text: str) -> set[str]:
+    """Numbers, and capitalised words inside a sentence, as a reader sees them."""
+    return {w.casefold() for w in re.findall(r"\d+|(?<!^)(?<![.!?] )\b[A-ZÀ-ÞА-Я][^\W\d_]+", canonical()(text))}
 
-    run is the length of their longest common run of words, up to RUN where exact is set; otherwise 0.
+
+def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(doc_id, item_id, run, subsequence, answers): pairs of a document and an item with a passage above the cosine.
+
+    run is RUN if they have as many consecutive words in common, else 0. subsequence: longest common subsequence of words by the
+    item's number of words, null where run is RUN or fewer than half of the answers are held; answers: share of the item's
+    numbers and names that the document holds.
     """
-    ids, words, counts = query_items(items)
+    ids, words, counts, texts = query_items(items)
     dims = dimension_of(words)
     stored = checkpointed(document_dimensions(documents))
     idf, passages = inverse_frequencies(stored)
@@ -228,11 +247,12 @@ def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE, e
     query = _unit(project(dims, index, idf, basis))
     edges = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1]))) if len(item) else np.zeros(0, dtype=np.int64)
     h, sizes = shingles_of(words, counts, RUN)
-    runs = np.split(h, np.cumsum(sizes)[:-1]) if len(sizes) else []
-    sent = documents.sparkSession.sparkContext.broadcast((ids, query, item[edges] if len(item) else item, edges, idf, basis, [np.unique(r) for r in runs]))
+    runs = [np.unique(r) for r in np.split(h, np.cumsum(sizes)[:-1])] if len(sizes) else []
+    sent = documents.sparkSession.sparkContext.broadcast((ids, texts, query, item[edges] if len(item) else item, edges, idf, basis, runs))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, query, of, edges, idf, basis, runs = sent.value
+        ids, items, query, of, edges, idf, basis, runs = sent.value
+        known: dict[int, tuple[list[str], set[str]]] = {}
         for batch in batches:
             docs, texts = batch.column("doc_id").to_pylist(), ["" if t is None else t for t in batch.column("text").to_pylist()]
             for i, j in slices(texts):
@@ -249,15 +269,25 @@ def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE, e
                     found.update(zip(text[k : k + _CHUNK][at].tolist(), of[q].tolist()))
                 h, sizes = shingles_of(words, counts, RUN)
                 ends = np.cumsum(sizes)
-                out = []
+                out, last, own = [], -1, []
                 for t, q in sorted(found):
-                    whole = exact and bool(np.isin(h[ends[t] - sizes[t] : ends[t]], runs[q]).any())
-                    out.append((docs[i + t], int(ids[q]), RUN if whole else 0))
+                    if np.isin(h[ends[t] - sizes[t] : ends[t]], runs[q]).any():
+                        out.append((docs[i + t], int(ids[q]), RUN, None, None))
+                        continue
+                    if t != last:
+                        last, own = t, reader_words(texts[i + t])
+                    if q not in known:
+                        known[q] = reader_words(items[q]), answers_of(items[q])
+                    asked, named = known[q]
+                    held = len(named.intersection(own)) / len(named) if named else 1.0
+                    common = longest_common_subsequence(asked, own) / len(asked) if held >= 0.5 and asked else None
+                    out.append((docs[i + t], int(ids[q]), 0, common, held))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "run"])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["doc_id", "item_id", "run", "subsequence", "answers"])
 
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(search, "doc_id long, item_id long, run int")
+    return rows.mapInArrow(search, "doc_id long, item_id long, run int, subsequence double, answers double")
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -269,39 +299,11 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     return candidates(documents, items).where(f"run >= {RUN}").select("doc_id", "item_id").distinct()
 
 
-def longest_common_subsequence(a: list[str], b: list[str]) -> int:
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    at = np.array(b, dtype=object)
-    for word in a:
-        take = row[:-1] + (at == word)
-        row[1:] = np.maximum.accumulate(np.maximum(take, row[1:]))
-    return int(row[-1])
-
-
-def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.8, subsequence: float = 0.5, answers: float = 0.5) -> DataFrame:
+def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.8, subsequence: float = 0.5) -> DataFrame:
     """(doc_id, item_id, subsequence, answers) of documents that retell an item without holding a run of it.
 
-    subsequence: longest common subsequence of words by the item's number of words; answers: share of the
-    item's numbers and capitalised names that the document holds. Both must reach their thresholds.
+    They hold half of the item's numbers and names, and share a subsequence of half of its words. Everything is
+    scored where the document is read, so no text is shuffled.
     """
-    ids = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.col("text").alias("item"))
-    pairs = candidates(documents, items, cosine).where(f"run < {RUN}").distinct().join(documents.select("doc_id", "text"), "doc_id").join(ids, "item_id")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        for batch in batches:
-            out = []
-            for d, q, text, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item"))):
-                own, words = reader_words(item), reader_words(text)
-                if not own:
-                    continue
-                named = {w.casefold() for w in re.findall(r"\d+|(?<!^)(?<![.!?] )\b[A-Z][^\W\d_]+", canonical()(item))}
-                held = len(named & set(words)) / len(named) if named else 1.0
-                common = longest_common_subsequence(own, words) / len(own)
-                if common >= subsequence and held >= answers:
-                    out.append((d, q, round(common, 6), round(held, 6)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "subsequence", "answers"])
-
-    return pairs.select("doc_id", "item_id", "text", "item").mapInArrow(score, "doc_id long, item_id long, subsequence double, answers double")
+    rows = candidates(documents, items, cosine).where(f"run < {RUN} AND subsequence >= {subsequence}")
+    return rows.select("doc_id", "item_id", F.round("subsequence", 6).alias("subsequence"), F.round("answers", 6).alias("answers")).distinct()
