@@ -21,7 +21,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .storage import checkpointed
 
 #: A value: a number, or a run of letters, digits and underscores.
 _VALUE = r"[-−]?(?:\d+\.\d+|\.\d+|\d+)(?![^\W\d])|\w+"
@@ -106,9 +107,12 @@ def canonical_cases(problems: DataFrame) -> DataFrame:
 
 
 def sorted_runs(cases: DataFrame) -> DataFrame:
-    """Cases range-partitioned by full key and sorted by key and smallest test_id."""
+    """Cases range-partitioned by full key and sorted by key and smallest test_id.
+
+    They are checkpointed first, as the bounds of the ranges are sampled from them before they are shuffled.
+    """
     key = ["problem_id", "input", "output"]
-    return cases.repartitionByRange(*key).sortWithinPartitions(*key, "kept")
+    return checkpointed(cases).repartitionByRange(*key).sortWithinPartitions(*key, "kept")
 
 
 def collapse(problems: DataFrame) -> DataFrame:
