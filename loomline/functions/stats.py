@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import running_total
+
 
 def rate(part: Column, whole: Column) -> Column:
     """part / whole, 0.0 where there is nothing."""
@@ -20,17 +22,27 @@ def rank_index(q: float, n: Column) -> Column:
 def numeric_stats(df: DataFrame, value: str, percentiles: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., count, p.., max) as doubles; nulls are not counted; an empty input gives count 0 and max 0.0 without by.
 
-    Equal values are counted before anything is ranked, so what is sorted is the histogram: each (group, value) is one
-    row whatever the number of rows. Groups are keys of a window over histograms.
+    Equal values are counted first. The histogram is then ranked by ranges of (group, value), so neither a large group nor a column
+    without repeated values has to fit into one task.
     """
     group = [F.col(b) for b in by]
     hist = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    frame = W.partitionBy(*by, *([] if by else [F.lit(0)]))
-    ranked = hist.withColumn("upto", F.sum("n").over(frame.orderBy("v"))).withColumn("all", F.sum("n").over(frame))
-    hits = [F.max(F.when((F.col("upto") > rank_index(q, F.col("all"))) & (F.col("upto") - F.col("n") <= rank_index(q, F.col("all"))), F.col("v"))).alias(f"p{q}") for q in percentiles]
-    count, top = F.sum("n").cast("double").alias("count"), F.max("v").alias("max")
-    out = ranked.groupBy(*by).agg(count, *hits, top) if by else ranked.agg(F.coalesce(F.sum("n").cast("double"), F.lit(0.0)).alias("count"), *(F.coalesce(h, F.lit(0.0)).alias(f"p{q}") for h, q in zip(hits, percentiles)), F.coalesce(F.max("v"), F.lit(0.0)).alias("max"))
-    return out
+    rows = running_total(hist, [*by, "v"], "n")
+    whole = rows.groupBy(*by).agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("all"), F.max("v").alias("top"))
+    if by:
+        same = [F.col(f"h.{b}").eqNullSafe(F.col(f"w.{b}")) for b in by]
+        joined = rows.alias("h").join(whole.alias("w"), same).select(*(F.col(f"h.{b}").alias(b) for b in by), "v", "n", "upto", "start", "all", "top")
+    else:
+        joined = rows.crossJoin(whole)  # one row
+
+    def hit(q: float) -> Column:
+        at = F.col("start") + rank_index(q, F.col("all"))
+        return F.max(F.when((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at), F.col("v")))
+
+    columns = {"count": F.sum("n").cast("double"), **{f"p{q}": hit(q) for q in percentiles}, "max": F.max("top")}
+    if by:
+        return joined.groupBy(*by).agg(*(c.alias(k) for k, c in columns.items()))
+    return joined.agg(*(F.coalesce(c, F.lit(0.0)).alias(k) for k, c in columns.items()))
 
 
 def threshold_counts(df: DataFrame, value: str, thresholds: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:

@@ -31,11 +31,14 @@ def exact_groups(problems: DataFrame, text: str = "prompt") -> DataFrame:
     return rows.groupBy("norm_hash").agg(F.count_distinct("problem_id").alias("n"), F.min("problem_id").alias("first_id")).where("n > 1")
 
 
-def exact_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(norm_hash, left_ids, right_ids): sorted ids per text that both sides have, one row per text."""
-    a = left.join(right.select("norm_hash").distinct(), "norm_hash", "left_semi").groupBy("norm_hash").agg(F.sort_array(F.collect_set("problem_id")).alias("left_ids"))
-    b = right.join(left.select("norm_hash").distinct(), "norm_hash", "left_semi").groupBy("norm_hash").agg(F.sort_array(F.collect_set("problem_id")).alias("right_ids"))
-    return a.join(b, "norm_hash")
+def exact_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(norm_hash, side, problem_id): the problems of either side whose text the other side has too.
+
+    One row per problem instead of lists of ids per text, so a text of any number of copies stays distributed.
+    """
+    a = left.join(right.select("norm_hash").distinct(), "norm_hash", "left_semi").select("norm_hash", F.lit("left").alias("side"), "problem_id")
+    b = right.join(left.select("norm_hash").distinct(), "norm_hash", "left_semi").select("norm_hash", F.lit("right").alias("side"), "problem_id")
+    return a.unionByName(b)
 
 
 def _prefixes(rows: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,23 +19,29 @@ def graded(rollouts: DataFrame) -> DataFrame:
 def preference_pairs(rollouts: DataFrame) -> DataFrame:
     """(problem_id, chosen_id, rejected_id, kind, margin): of each chosen rollout the rejected one of either kind that is nearest in length.
 
-    Lengths are matched through sorted order: for every chosen rollout the nearest rejected one below and above is looked up with one
-    window per problem, so no pair inside a group is enumerated. Spark spills a window partition, so a hot problem does not have to fit in memory.
+    Per problem and length one rejected rollout of each kind is enough, the one with the smallest id. Windows run over the different
+    lengths of a problem, whose number the token budget bounds, not over its rollouts; the chosen ones are joined by length.
     """
     rows = graded(rollouts).where("grade IS NOT NULL")
-    sides = []
-    for kind in ("hard", "easy"):
-        part = rows.where(F.col("grade").isin("chosen", kind))
-        w = W.partitionBy("problem_id").orderBy("tokens", "rollout_id")
-        rejected = F.when(F.col("grade") == kind, F.struct("tokens", "rollout_id", "reward"))
-        below = F.last(rejected, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-        above = F.first(rejected, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-        near = part.select("*", below.alias("lo"), above.alias("hi")).where("grade = 'chosen'")
-        pick = F.when(F.col("hi").isNull() | (F.col("tokens") - F.col("lo.tokens") <= F.col("hi.tokens") - F.col("tokens")), F.col("lo")).otherwise(F.col("hi"))
-        pick = F.coalesce(pick, F.col("hi"))
-        chosen = near.select("problem_id", F.col("rollout_id").alias("chosen_id"), pick.alias("r"), F.lit(kind).alias("kind"), "reward").where("r IS NOT NULL")
-        sides.append(chosen.select("problem_id", "chosen_id", F.col("r.rollout_id").alias("rejected_id"), "kind", (F.col("reward") - F.col("r.reward")).alias("margin")))
-    return sides[0].unionByName(sides[1])
+    kinds = ("hard", "easy")
+    firsts = [F.min(F.when(F.col("grade") == k, F.struct("rollout_id", "reward"))).alias(k) for k in kinds]
+    lengths = rows.groupBy("problem_id", "tokens").agg(*firsts)
+    w = W.partitionBy("problem_id").orderBy("tokens")
+    near = []
+    for k in kinds:
+        item = F.when(F.col(k).isNotNull(), F.struct("tokens", F.col(k).alias("r")))
+        near.append(F.last(item, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(f"{k}_lo"))
+        near.append(F.first(item, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)).alias(f"{k}_hi"))
+    table = lengths.select("problem_id", "tokens", *near)
+    chosen = rows.where("grade = 'chosen'").select("problem_id", "tokens", F.col("rollout_id").alias("chosen_id"), "reward").join(table, ["problem_id", "tokens"])
+
+    def pick(k: str) -> Column:
+        lo, hi = F.col(f"{k}_lo"), F.col(f"{k}_hi")
+        nearer = F.when(hi.isNull() | (F.col("tokens") - lo["tokens"] <= hi["tokens"] - F.col("tokens")), lo).otherwise(hi)
+        return F.struct(F.lit(k).alias("kind"), F.coalesce(nearer, hi)["r"].alias("r"))
+
+    out = chosen.select("problem_id", "chosen_id", "reward", F.explode(F.array(*map(pick, kinds))).alias("p")).where("p.r IS NOT NULL")
+    return out.select("problem_id", "chosen_id", F.col("p.r.rollout_id").alias("rejected_id"), "p.kind", (F.col("reward") - F.col("p.r.reward")).alias("margin"))
 
 
 def matched_triples(pairs: DataFrame) -> DataFrame:

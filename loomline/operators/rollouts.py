@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.order import ranked
 from ..functions.stats import rate
 from .validate import assert_none
 
@@ -131,8 +132,6 @@ def ordered_hash(df: DataFrame, order: str, hashed: Column) -> DataFrame:
     Row hashes are combined per block of 4096 ranks and the blocks' hashes once more, so no task holds all rows. Equal data in equal order
     gives equal hashes, whatever the partitioning.
     """
-    from .splits import ranked
-
     rows = ranked(df.select(F.col(order).alias("_o"), hashed.alias("_h")), "_o", "_h")
     block = rows.groupBy((F.col("rank") / 4096).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_h"))), lambda x: x["_h"]), ","), 256).alias("h"))
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",")

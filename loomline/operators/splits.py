@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import json_string, split_order_key, stable_hash, stable_json, testcase_fingerprint
+from ..functions.order import ranked
 from ..functions.text import is_text, strip
 
 SPLITS = ("sft", "pt", "dev")
@@ -31,20 +31,6 @@ def split_counts(n: int, ratios: dict[str, float], targets: dict[str, int] | Non
     return counts
 
 
-def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
-    """df with `rank` from 0 in a total order, without a window over one partition.
-
-    Rows are range-partitioned by the order and numbered inside their partition; offsets come from the row count of each partition,
-    one number per partition.
-    """
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return rows.join(offsets, "_part").withColumn("rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
-
-
 def assign_splits(problems: DataFrame, seed: int, ratios: dict[str, float], targets: dict[str, int] | None = None) -> DataFrame:
     """problems with `split`; with targets, rows beyond their sum are left out.
 
@@ -152,12 +138,11 @@ def least_tests_column(config: dict, split: Column | str = "split") -> Column:
 def until_target(rows: DataFrame, pos: str, accepted: Column, target: int) -> DataFrame:
     """Rows up to and including the target-th accepted one, in order of pos; all rows if fewer are accepted.
 
-    The bound is the pos of that row, found by a top-k over accepted positions, and then a filter.
+    The bound is the pos of that row, found by ranks over accepted positions, and then a filter.
     """
-    taken = rows.where(accepted).select(pos).orderBy(pos).limit(target)
-    bound = taken.agg(F.max(pos).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    joined = rows.crossJoin(F.broadcast(bound))  # one row
-    return joined.where((F.col("_n") < target) | (F.col(pos) <= F.col("_last"))).drop("_last", "_n")
+    last = ranked(rows.where(accepted).select(pos), pos).where(F.col("rank") == target - 1).agg(F.min(pos).alias("_last"))
+    joined = rows.crossJoin(F.broadcast(last))  # one row
+    return joined.where(F.col("_last").isNull() | (F.col(pos) <= F.col("_last"))).drop("_last")
 
 
 def shard(pos: Column | str, count: int) -> Column:

@@ -265,11 +265,11 @@ def near_dup_pairs(spark, folder):
     return overlap.near_pairs(left, right, 0.8)
 
 
-@query(f"""WITH {_GRAMS} SELECT a.norm_hash, a.ids AS left_ids, b.ids AS right_ids FROM (SELECT norm_hash, list(problem_id ORDER BY problem_id) AS ids FROM s WHERE source_id LIKE 'train:%' GROUP BY 1) a
-JOIN (SELECT norm_hash, list(problem_id ORDER BY problem_id) AS ids FROM s WHERE source_id LIKE 'test:%' OR source_id LIKE 'valid:%' GROUP BY 1) b USING (norm_hash)""")
+@query(f"""WITH {_GRAMS}, x AS (SELECT *, CASE WHEN source_id LIKE 'train:%' THEN 'left' WHEN source_id LIKE 'test:%' OR source_id LIKE 'valid:%' THEN 'right' END AS side FROM s)
+SELECT norm_hash, side, problem_id FROM x WHERE side IS NOT NULL AND norm_hash IN (SELECT norm_hash FROM x GROUP BY 1 HAVING count(DISTINCT side) = 2)""")
 def exact_overlap(spark, folder):
     left, right = _sides(spark, folder)
-    return overlap.exact_pairs(left, right)
+    return overlap.exact_overlap(left, right)
 
 
 @query(f"""WITH {_GRAMS}, {_PAIRS} SELECT DISTINCT problem_id FROM (SELECT right_id AS problem_id FROM p

@@ -118,7 +118,7 @@ def test_near_pairs_equal_brute_force_and_blocking_clears_overlap(spark):
     gone = overlap.blocked(left, right, 0.8)
     counts = overlap.overlap_counts(left, right.join(gone, "problem_id", "left_anti"), 0.8, "x")
     assert gates.overlap_gate(counts).first().passed
-    assert [r.left_ids for r in overlap.exact_pairs(df.where("problem_id = 's:36'"), df.where("problem_id = 's:37'")).collect()] == [["s:36"]]
+    assert sorted((r.side, r.problem_id) for r in overlap.exact_overlap(df.where("problem_id = 's:36'"), df.where("problem_id = 's:37'")).collect()) == [("left", "s:36"), ("right", "s:37")]
 
 
 def test_manifest_diff_finds_tampering(spark):
