@@ -15,7 +15,8 @@ Postings stay short without any cap, by two means:
 
 A list longer than LONG (a cluster of records that are alike, but not the same) isn't merged. As a pair needs
 MATCHES > 2 collisions, it suffices to post the records of a long list again under each pair of that list and
-another of their coordinates, which splits the list, and to count a collision there as two. No list is dropped.
+another of their coordinates, which splits the list. No list is dropped. Pairs that a group implies but the
+signatures miss are compared in a second round (`group_candidates`).
 """
 
 from __future__ import annotations
@@ -209,6 +210,19 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(inside).select(F.least("p", "q").alias("problem_id_a"), F.greatest("p", "q").alias("problem_id_b"))
 
 
+def group_candidates(pairs: DataFrame) -> DataFrame:
+    """(a, b) not among the pairs that have a near duplicate in common: every record with those of its smallest partner.
+
+    A pair whose signatures happen to match too little is found through its group. For a group of n records there are at most
+    n * n such pairs, as many as the group itself may have.
+    """
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    least = both.groupBy("x").agg(F.min("y").alias("z"))
+    joined = least.join(both.select(F.col("x").alias("z"), "y"), "z").where("x <> y")
+    found = joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def near_duplicate_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """Every pair of different problem_ids whose records have a similarity of at_least or more.
 
@@ -218,5 +232,8 @@ def near_duplicate_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> D
     records = problem_records(problems)
     codes = shingle_frequencies(records, sketch_bits(records.count()))
     members = checkpointed(class_members(records))
-    pairs = similar(records, members, candidate_pairs(postings(records, codes)), at_least)
+    pairs = checkpointed(similar(records, members, candidate_pairs(postings(records, codes)), at_least))
+    more = checkpointed(group_candidates(pairs))
+    if not more.isEmpty():
+        pairs = pairs.unionByName(similar(records, members, more, at_least))
     return expand(pairs, members)

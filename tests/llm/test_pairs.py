@@ -98,6 +98,11 @@ def test_long_lists_lose_nothing(spark):
     assert split >= want
 
 
+def test_groups_imply_the_pairs_that_signatures_miss(spark):
+    pairs = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (1, 4, 1.0), (2, 3, 1.0), (7, 8, 1.0)], "a long, b long, similarity double")
+    assert sorted(tuple(r) for r in near_duplicates.group_candidates(pairs).collect()) == [(2, 4), (3, 4)]
+
+
 def test_weighted_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 2**63, size=n, dtype=np.uint64) for n in (300, 100, 100))
