@@ -36,8 +36,9 @@ PASSAGE = RUN + STRIDE
 ITEM_STRIDE = 2
 #: Latent cosine from which a passage and an item window are compared; see the tests for its recall.
 COSINE = 0.5
-MOST_ITEM_CHARS = 20_000_000
-_CHUNK = 2000
+MOST_ITEM_CHARS = 2_000_000
+#: Passages and item windows are compared in blocks of this many.
+_CHUNK, _BLOCK = 2000, 4096
 
 
 def reader_words(text: str | None) -> list[str]:
@@ -231,6 +232,17 @@ def answers_of(text: str) -> set[str]:
     return {w.casefold() for w in re.findall(r"\d+|(?<!^)(?<![.!?] )\b[A-ZÀ-ÞА-Я][^\W\d_]+", canonical()(text))}
 
 
+def _blocks(edges: np.ndarray, windows: int) -> list[tuple[int, int, int, int]]:
+    """(first item, end, first window, end) of runs of whole items with about _BLOCK windows each."""
+    out, first = [], 0
+    ends = np.concatenate((edges[1:], [windows])) if len(edges) else np.zeros(0, dtype=np.int64)
+    for k in range(len(edges)):
+        if k + 1 == len(edges) or ends[k + 1] - edges[first] > _BLOCK:
+            out.append((first, k + 1, int(edges[first]), int(ends[k])))
+            first = k + 1
+    return out
+
+
 def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id, run, subsequence, answers): pairs of a document and an item with a passage above the cosine.
 
@@ -263,10 +275,11 @@ def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -
                 dims = dimension_of(words)
                 found: set[tuple[int, int]] = set()
                 for k in range(0, len(index), _CHUNK):
-                    near = _unit(project(dims, index[k : k + _CHUNK], idf, basis)) @ query.T
-                    best = np.maximum.reduceat(near, edges, axis=1)
-                    at, q = np.nonzero(best >= cosine)
-                    found.update(zip(text[k : k + _CHUNK][at].tolist(), of[q].tolist()))
+                    passages = _unit(project(dims, index[k : k + _CHUNK], idf, basis))
+                    for a, b, c, d in _blocks(edges, len(query)):
+                        best = np.maximum.reduceat(passages @ query[c:d].T, edges[a:b] - c, axis=1)
+                        at, q = np.nonzero(best >= cosine)
+                        found.update(zip(text[k : k + _CHUNK][at].tolist(), of[a:b][q].tolist()))
                 h, sizes = shingles_of(words, counts, RUN)
                 ends = np.cumsum(sizes)
                 out, last, own = [], -1, []

@@ -1,21 +1,5 @@
-"""Cutting lineage through the folder that all executors share."""
+"""Cutting lineage, as in the rest of the engine."""
 
-from __future__ import annotations
+from ..functions.storage import checkpointed
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir.
-
-    Only where a session names no folder (tests in local mode) a temporary one is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomline-checkpoint-"))
-    return df.checkpoint()
+__all__ = ["checkpointed"]

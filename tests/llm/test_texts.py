@@ -190,6 +190,15 @@ def test_leaks_recall_on_a_whole_table(spark, small):
     assert found <= want and len(found) >= 0.99 * len(want)
 
 
+def test_blocks_cover_all_items_once(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(leaks, "_BLOCK", 10)
+    edges = np.array([0, 4, 9, 30, 31])
+    assert leaks._blocks(edges, 40) == [(0, 2, 0, 9), (2, 3, 9, 30), (3, 5, 30, 40)]
+    assert leaks._blocks(edges[:0], 0) == []
+
+
 def test_paraphrases(spark):
     rng = random.Random(1)
     words = sentence(rng, 50).split()
