@@ -29,12 +29,15 @@ def exact_join(problems: DataFrame, reasoning: DataFrame, strict: bool = True) -
     Reasons in order: invalid_problem, ambiguous (either key has several rows), no_reasoning. Problems are not de-duplicated.
     """
     by_id, by_source = reasoning_keys(reasoning, strict)
-    valid = valid_raw_problem()
+    a = by_id.select(F.col("key").alias("_k"), F.col("n").alias("_n1"), F.col("reasoning").alias("_r1"))
+    b = by_source.select(F.col("key").alias("_k"), F.col("n").alias("_n2"), F.col("reasoning").alias("_r2"))
     key = make_problem_id(strip("source"), strip("source_id"))
-    rows = problems.select("*", valid.alias("_valid"), key.alias("_source_key"), F.coalesce(F.nullif("problem_id", F.lit("")), key).alias("_id"))
-    a = by_id.select(F.col("key").alias("_id"), F.col("n").alias("_n1"), F.col("reasoning").alias("_r1"))
-    b = by_source.select(F.col("key").alias("_source_key"), F.col("n").alias("_n2"), F.col("reasoning").alias("_r2"))
-    joined = rows.join(a, "_id", "left").join(b, "_source_key", "left")
+    rows = problems.select("*", valid_raw_problem().alias("_valid"), key.alias("_source_key"), F.coalesce(F.nullif("problem_id", F.lit("")), key).alias("_id"))
+    # Where a problem's two keys are one, as they usually are, its wide row is shuffled once, against both counts of that key.
+    one = F.col("_id").eqNullSafe(F.col("_source_key"))
+    same = rows.where(one).join(a.join(b, "_k", "full_outer").withColumnRenamed("_k", "_id"), "_id", "left")
+    other = rows.where(~one).join(a.withColumnRenamed("_k", "_id"), "_id", "left").join(b.withColumnRenamed("_k", "_source_key"), "_source_key", "left")
+    joined = same.unionByName(other)
     n1, n2 = F.coalesce("_n1", F.lit(0)), F.coalesce("_n2", F.lit(0))
     reason = first_reason(("invalid_problem", ~F.col("_valid")), ("ambiguous", (n1 > 1) | (n2 > 1)), ("no_reasoning", (n1 == 0) & (n2 == 0)))
     mapping = F.when(n1 == 1, "problem_id").when(n2 == 1, "source/source_id")
