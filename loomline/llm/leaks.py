@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,16 @@ from .canonical_text import canonical
 from .hashing import HASHES, mix, shingles_of, slices
 from .storage import checkpointed
 
-DIMENSIONS, RANK = 8192, 64
+DIMENSIONS, RANK = 8192, 48
 #: Consecutive words that make a leak.
 RUN = 12
 #: A passage of RUN + STRIDE words, begun every STRIDE words, holds any run of RUN words whole.
 STRIDE = 6
 PASSAGE = RUN + STRIDE
 #: Windows of an item begin every so many words.
-ITEM_STRIDE = 2
+ITEM_STRIDE = 4
 #: Latent cosine from which a passage and an item window are compared; see the tests for its recall.
-COSINE = 0.5
+COSINE = 0.6
 MOST_ITEM_CHARS = 2_000_000
 #: Passages and item windows are compared in blocks of this many.
 _CHUNK, _BLOCK = 2000, 4096
@@ -46,12 +47,33 @@ def reader_words(text: str | None) -> list[str]:
     return re.findall(r"[^\W_]+", canonical()(text).casefold()) if text else []
 
 
+class _Tokens(dict):
+    """A run of text without blanks -> hashes of the reader's words in it; runs recur, so most are looked up."""
+
+    MOST = 500_000
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        if len(self) >= self.MOST:
+            self.clear()
+        value = self[run] = tuple(HASHES[w] for w in reader_words(run))
+        return value
+
+
+_TOKENS = _Tokens()
+#: Characters that split() takes for blanks, but which show nothing and so do not part words.
+_JOINING = re.compile("[\x1c-\x1f\x85]")
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    get, parts, counts = HASHES.__getitem__, [], np.zeros(len(texts), dtype=np.int64)
+    """(hashes of the reader's words of all texts, their number per text); blanks part words in any form of a text."""
+    get, parts, counts = _TOKENS.__getitem__, [], np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
-        words = reader_words(text)
-        counts[i] = len(words)
-        parts.extend(map(get, words))
+        before = len(parts)
+        if text and _JOINING.search(text):
+            parts.extend(HASHES[w] for w in reader_words(text))
+        elif text:
+            parts.extend(chain.from_iterable(map(get, text.split())))
+        counts[i] = len(parts) - before
     return np.array(parts, dtype=np.uint64), counts
 
 

@@ -190,6 +190,15 @@ def test_leaks_recall_on_a_whole_table(spark, small):
     assert found <= want and len(found) >= 0.99 * len(want)
 
 
+def test_word_hashes_equal_words_of_the_whole_text():
+    rng = random.Random(12)
+    alphabet = "ab éе́ｆ​\u00a0\u2009‑ﬁ²\n\t.,'\x1c1"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40))) for _ in range(2000)] + [None, ""]
+    words, counts = leaks.word_hashes(texts)
+    want = [[leaks.HASHES[w] for w in leaks.reader_words(t)] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and words.tolist() == [h for w in want for h in w]
+
+
 def test_blocks_cover_all_items_once(monkeypatch):
     import numpy as np
 
