@@ -107,13 +107,20 @@ def _weighted(dims: np.ndarray, index: np.ndarray, idf: np.ndarray) -> tuple[np.
     return at, weight / np.maximum(norm, 1e-9)
 
 
-def project(dims: np.ndarray, index: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Rows of passages in the space spanned by basis."""
-    out = np.zeros((len(index), basis.shape[1]), dtype=np.float32)
+def project(dims: np.ndarray, index: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """Unit rows of passages in the latent space; weighted: the basis with its rows times their idf.
+
+    A passage is a range of words, so its row is a difference of running sums over the words' rows.
+    """
+    out = np.zeros((len(index), weighted.shape[1]), dtype=np.float32)
     for i in range(0, len(index), _CHUNK):
-        at, weight = _weighted(dims, index[i : i + _CHUNK], idf)
-        out[i : i + _CHUNK] = np.einsum("nw,nwr->nr", weight, basis[at], optimize=False)
-    return out
+        part = index[i : i + _CHUNK]
+        first, size = part[:, 0], (part >= 0).sum(axis=1)
+        low = int(first.min())
+        sums = np.zeros((int((first + size).max()) - low + 1, weighted.shape[1]))
+        np.cumsum(weighted[dims[low : low + len(sums) - 1]], axis=0, out=sums[1:])
+        out[i : i + _CHUNK] = sums[first + size - low] - sums[first - low]
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)
 
 
 def gram(dims: np.ndarray, index: np.ndarray, idf: np.ndarray, basis: np.ndarray, into: np.ndarray) -> None:
@@ -128,10 +135,6 @@ def gram(dims: np.ndarray, index: np.ndarray, idf: np.ndarray, basis: np.ndarray
         into[flat[order][cuts]] += np.add.reduceat(spread, cuts, axis=0)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
-
-
 def _sum_rows(df: DataFrame, shape: tuple[int, ...], dtype: str) -> np.ndarray:
     """Sum of the arrays that tasks return as (part, raw), one row per 512 rows; the result has a fixed size."""
 
@@ -265,12 +268,12 @@ def _blocks(edges: np.ndarray, windows: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -> DataFrame:
+def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE, retold: bool = False) -> DataFrame:
     """(doc_id, item_id, run, subsequence, answers): pairs of a document and an item with a passage above the cosine.
 
-    run is RUN if they have as many consecutive words in common, else 0. subsequence: longest common subsequence of words by the
-    item's number of words, null where run is RUN or fewer than half of the answers are held; answers: share of the item's
-    numbers and names that the document holds.
+    run is RUN if they have as many consecutive words in common, else 0. Only where retold is set, subsequence and answers are told of
+    pairs without such a run. subsequence: longest common subsequence of words by the item's number of words, null where fewer than
+    half of the answers are held; answers: share of the item's numbers and names that the document holds.
     """
     ids, words, counts, texts = query_items(items)
     dims = dimension_of(words)
@@ -278,15 +281,17 @@ def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -
     idf, passages = inverse_frequencies(stored)
     index, item = windows(counts, RUN, ITEM_STRIDE)
     basis = latent_basis(stored, (dims, index), idf, passages)
-    query = _unit(project(dims, index, idf, basis))
+    weighted = (idf[:, None] * basis).astype(np.float32)
+    query = project(dims, index, weighted)
     edges = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1]))) if len(item) else np.zeros(0, dtype=np.int64)
     h, sizes = shingles_of(words, counts, RUN)
     runs = [np.unique(r) for r in np.split(h, np.cumsum(sizes)[:-1])] if len(sizes) else []
-    sent = documents.sparkSession.sparkContext.broadcast((ids, texts, query, item[edges] if len(item) else item, edges, idf, basis, runs))
+    sent = documents.sparkSession.sparkContext.broadcast((ids, texts, query, item[edges] if len(item) else item, edges, weighted, runs))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, items, query, of, edges, idf, basis, runs = sent.value
+        ids, items, query, of, edges, weighted, runs = sent.value
         known: dict[int, tuple[list[str], set[str]]] = {}
+        all_runs = np.unique(np.concatenate(runs)) if runs else np.zeros(0, dtype=np.uint64)
         for batch in batches:
             docs, texts = batch.column("doc_id").to_pylist(), ["" if t is None else t for t in batch.column("text").to_pylist()]
             for i, j in slices(texts):
@@ -297,18 +302,23 @@ def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE) -
                 dims = dimension_of(words)
                 found: set[tuple[int, int]] = set()
                 for k in range(0, len(index), _CHUNK):
-                    passages = _unit(project(dims, index[k : k + _CHUNK], idf, basis))
+                    passages = project(dims, index[k : k + _CHUNK], weighted)
                     for a, b, c, d in _blocks(edges, len(query)):
                         best = np.maximum.reduceat(passages @ query[c:d].T, edges[a:b] - c, axis=1)
                         at, q = np.nonzero(best >= cosine)
                         found.update(zip(text[k : k + _CHUNK][at].tolist(), of[a:b][q].tolist()))
                 h, sizes = shingles_of(words, counts, RUN)
+                some = np.isin(h, all_runs)
+                h, sizes = h[some], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
                 ends = np.cumsum(sizes)
                 out, last, own = [], -1, []
                 for t, q in sorted(found):
-                    if np.isin(h[ends[t] - sizes[t] : ends[t]], runs[q]).any():
+                    if sizes[t] and np.isin(h[ends[t] - sizes[t] : ends[t]], runs[q]).any():
                         out.append((docs[i + t], int(ids[q]), RUN, None, None))
                         continue
+                    if not retold:
+                        out.append((docs[i + t], int(ids[q]), 0, None, None))
+                        continue
                     if t != last:
                         last, own = t, reader_words(texts[i + t])
                     if q not in known:
@@ -340,5 +350,5 @@ def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.8, sub
     They hold half of the item's numbers and names, and share a subsequence of half of its words. Everything is
     scored where the document is read, so no text is shuffled.
     """
-    rows = candidates(documents, items, cosine).where(f"run < {RUN} AND subsequence >= {subsequence}")
+    rows = candidates(documents, items, cosine, True).where(f"run < {RUN} AND subsequence >= {subsequence}")
     return rows.select("doc_id", "item_id", F.round("subsequence", 6).alias("subsequence"), F.round("answers", 6).alias("answers")).distinct()
