@@ -156,7 +156,7 @@ def assembly_report(spark, folder):
     )
 
 
-@query(f"WITH {R} SELECT rollout_id FROM r WHERE rollout_id <= (SELECT rollout_id FROM r WHERE verifier_status = 'AC' ORDER BY rollout_id LIMIT 1 OFFSET 499)")
+@query(f"WITH {R} SELECT rollout_id FROM r WHERE rollout_id <= coalesce((SELECT rollout_id FROM r WHERE verifier_status = 'AC' ORDER BY rollout_id LIMIT 1 OFFSET 499), (SELECT max(rollout_id) FROM r))")
 def target_limited(spark, folder):
     return splits.until_target(delivered(spark, folder), "rollout_id", F.col("verifier_status") == "AC", 500).select("rollout_id")
 
