@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import json_string, split_order_key, stable_hash, stable_json, testcase_fingerprint
 from ..functions.order import ranked
-from ..functions.text import is_text, strip
+from ..functions.text import is_text, let, strip
 
 SPLITS = ("sft", "pt", "dev")
 
@@ -64,11 +62,6 @@ def hash_sample(problems: DataFrame, seed: int, k: int) -> DataFrame:
     return problems.orderBy(split_order_key("problem_id", seed), "pos").limit(k)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value evaluated once per row, however often use refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def distinct_tests(tests: Column | str) -> Column:
     """Test cases without repeated contents, first one kept; a missing id is case_<original index>_<fingerprint>."""
     c = F.col(tests) if isinstance(tests, str) else tests
