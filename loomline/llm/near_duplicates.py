@@ -13,9 +13,14 @@ Postings stay short without any cap, by two means:
   expected number of chance collisions of a record does not grow with the corpus.
 * Records with the same words are one class; only its representative is posted.
 
-A list longer than LONG (a cluster of records that are alike, but not the same) isn't merged. As a pair needs
-MATCHES > 2 collisions, it suffices to post the records of a long list again under each pair of that list and
-another of their coordinates, which splits the list. No list is dropped. Pairs that a group implies but the
+What a big group of alike records shares is frequent too, and weighted away. So each class is posted a second
+time, under BANDS triples of unweighted coordinates over its sequences less the third (DROP) that is most
+frequent in the corpus and those that occur once. All records rank sequences alike, so two of the same length n
+that share 2/3 n sequences (similarity 0.5) share 1/3 n or more of n kept ones, whatever the frequencies are.
+One triple in common makes a pair a candidate, SURE single coordinates confirm it (`group_pairs`).
+
+A list longer than LONG (a cluster of records that are alike, but not the same) is compared in blocks of BLOCK
+ids by counting the keys they share (`long_pairs`). No list is dropped. Pairs that a group implies but the
 signatures miss are compared in a second round (`group_candidates`).
 """
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import frequency_codes, mean_load, mix, occurrences, pack_counts, shingles_of, sketch_bits, slices, slots, starts_of, words_of
+from .hashing import frequency_codes, list_array, mean_load, mix, occurrences, pack_counts, shingles_of, sketch_bits, slices, slots, starts_of, words_of
 from .records import SHINGLE, batch_texts, class_ids, digests, one_per_problem, problem_records, similar
 from .storage import checkpointed
 
@@ -37,10 +42,17 @@ MATCHES = 5
 #: Sequences with at most this many occurrences have full weight.
 COMMON = 8.0
 LONG = 256
+#: Ids of a long list that are compared at once.
+BLOCK = 2048
+#: Share of a record's distinct sequences, the most frequent ones, that group coordinates leave out.
+DROP = 1 / 3
+#: BANDS triples: each coordinate is in three of them.
+BANDS, SURE = 48, 10
 SIMILARITY = 0.5
 
 _U = np.uint64
 _ROUND = np.random.default_rng(20240817).integers(1, 2**62, size=256, dtype=np.uint64) * _U(2) + _U(1)
+_TRIPLES = np.concatenate([np.random.default_rng(7 + k).permutation(COORDINATES).reshape(-1, 3) for k in range(BANDS * 3 // COORDINATES)])
 
 
 def shingle_frequencies(records: DataFrame, bits: int, n: int = SHINGLE) -> np.ndarray:
@@ -73,6 +85,70 @@ def signatures(h: np.ndarray, sizes: np.ndarray, penalty: np.ndarray, coordinate
     return keys
 
 
+def shared_sequences(h: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sequences of each text, less the DROP most frequent and those that occur once; their number per text."""
+    doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    order = np.argsort((doc << _U(40)) | ((_U(255) - codes.astype(np.uint64)) << _U(32)) | (h >> _U(32)))
+    h, codes, doc = h[order], codes[order], doc.astype(np.int64)
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, codes, doc = h[new], codes[new], doc[new]
+    distinct = np.bincount(doc, minlength=len(sizes))
+    rank = np.arange(len(h)) - starts_of(distinct)[doc]
+    keep = (rank >= np.floor(DROP * distinct)[doc]) & (codes > 1)
+    return h[keep], np.bincount(doc[keep], minlength=len(sizes))
+
+
+def group_postings(records: DataFrame, codes: np.ndarray, n: int = SHINGLE) -> DataFrame:
+    """(id, keys, signature) of each class: its posting keys under triples of group coordinates, and 8 bits of each coordinate."""
+    bits = int(np.log2(len(codes)))
+    sent = records.sparkSession.sparkContext.broadcast(codes)  # 16 MB at most, by construction
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            texts = batch_texts(batch)
+            for i, j in slices(texts):
+                words, counts = words_of(texts[i:j])
+                ids = class_ids(digests(words, counts))
+                new = np.zeros(j - i, dtype=bool)
+                for k, x in enumerate(ids.tolist()):
+                    if counts[k] >= n and x not in seen:
+                        seen.add(x)
+                        new[k] = True
+                if len(seen) > 500_000:
+                    seen.clear()
+                if not new.any():
+                    continue
+                h, sizes = shingles_of(words[np.repeat(new, counts)], counts[new], n)
+                h, sizes = shared_sequences(h, sizes, sent.value[slots(h, bits)])
+                if not len(h):
+                    continue
+                single = signatures(h, sizes, np.ones(len(h), dtype=np.float32))
+                with np.errstate(over="ignore"):
+                    keys = mix(single[:, _TRIPLES[:, 0]] + mix(single[:, _TRIPLES[:, 1]] + mix(single[:, _TRIPLES[:, 2]])))
+                low = single.astype(np.uint8)
+                columns = [pa.array(ids[new][sizes > 0]), list_array(keys.ravel().view(np.int64), np.full(len(keys), keys.shape[1])), pa.array([x.tobytes() for x in low], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "keys", "signature"])
+
+    return records.select("prompt", "reference_code").mapInArrow(post, "id long, keys array<long>, signature binary")
+
+
+def group_pairs(records: DataFrame, codes: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of classes that share a triple of group coordinates and SURE single ones."""
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= SURE))
+
+    posted = checkpointed(group_postings(records, codes))
+    pairs = candidate_pairs(posted.select(F.explode("keys").alias("key"), "id"), 1)
+    one = posted.select("id", "signature").dropDuplicates(["id"])
+    joined = pairs.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(sure, "a long, b long")
+
+
 def postings(records: DataFrame, codes: np.ndarray, n: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
     """(key, id): the posting of each class of equal records under each of its coordinate-value pairs.
 
@@ -167,22 +243,73 @@ def merge_skip(lists: DataFrame, long: int = LONG) -> DataFrame:
     return lists.repartition("key").sortWithinPartitions("key", "id").mapInArrow(merge, "a long, b long, m int")
 
 
+def _shared(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """How many keys each two of n rows have in common (x < y); keys and rows are sorted by key and row."""
+    out = np.zeros((n, n), dtype=np.float32)
+    edges = np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)])) if len(keys) else np.zeros(1, dtype=np.int64)
+    sizes = np.diff(edges)
+    often = sizes > max(n // 8, 1)
+    if often.any():
+        held = np.repeat(often, sizes)
+        has = np.zeros((n, int(often.sum())), dtype=np.float32)
+        has[rows[held], np.repeat(np.arange(has.shape[1]), sizes[often])] = 1
+        out += has @ has.T
+    for size in np.unique(sizes[~often & (sizes > 1)]):
+        members = rows[edges[:-1][~often & (sizes == size)][:, None] + np.arange(size)]
+        x, y = np.triu_indices(size, 1)
+        np.add.at(out, (members[:, x].ravel(), members[:, y].ravel()), 1)
+    return out
+
+
+def long_pairs(lists: DataFrame, hot: DataFrame, matches: int) -> DataFrame:
+    """Pairs (a, b) of ids that share a long list, rows (id, key) of hot, and `matches` keys in all.
+
+    A list is cut into blocks of about BLOCK ids, and each two blocks are compared at once. A pair comes out of the
+    first of the long lists that it shares only.
+    """
+    sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    every = hot.groupBy("id").agg(F.collect_set("key").alias("hot"))
+    if matches > 1:
+        every = every.join(lists.join(hot.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    else:
+        every = every.withColumn("keys", F.expr("array()").cast("array<long>"))
+    rows = hot.join(sizes, "key").join(every, "id").withColumn("s", F.expr("pmod(xxhash64(id), blocks)"))
+    rows = rows.withColumn("t", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "id", "s", "keys", "hot")
+
+    def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        column = column.combine_chunks()
+        rows = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+        keys = column.flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((rows, keys))
+        return keys[order], rows[order]
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        ids, s, n = table.column("id").to_numpy(), table.column("s").to_numpy(), len(table)
+        keys, at = flat(table.column("hot"))
+        good = np.triu(_shared(keys[keys < key], at[keys < key], n) == 0, 1)
+        if i != j:
+            good &= s[:, None] != s
+        if matches > 1:
+            good &= _shared(*flat(table.column("keys")), n) >= matches
+        x, y = np.nonzero(good)
+        return pa.table({"a": ids[x], "b": ids[y]})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def candidate_pairs(lists: DataFrame, matches: int = MATCHES, long: int = LONG) -> DataFrame:
-    """Pairs (a, b) of classes that share `matches` signature coordinates or more.
+    """Pairs (a, b) of classes that share `matches` posting keys or more.
 
-    A pair with l >= 1 of its matches in long lists shares l * (matches - l) + l * (l - 1) / 2 >= matches - 1
-    pairs of a long list and another coordinate, so counting these finds all pairs that short lists miss.
+    Those that short lists don't show come from `long_pairs`.
     """
     counted = merge_skip(lists, long).groupBy("a", "b", F.signum("m").alias("s")).agg(F.sum("m").alias("m"))
     counted = checkpointed(counted.where(F.expr(f"s < 0 OR m >= {matches}")))
     short, hot = counted.where("s > 0").select("a", "b"), counted.where("s < 0").select(F.col("a").alias("id"), F.col("b").alias("key"))
     if hot.isEmpty():
         return short
-    others = lists.join(hot.select("id").distinct(), "id", "left_semi").select("id", F.col("key").alias("other")).distinct()
-    again = hot.join(others, "id").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
-    left, right = again.select("key", F.col("id").alias("a")), again.select("key", F.col("id").alias("b"))
-    split = left.join(right, "key").where("a < b").groupBy("a", "b").count().where(F.col("count") >= matches - 1)
-    return short.unionByName(split.select("a", "b")).distinct()
+    return short.unionByName(long_pairs(lists, hot, matches)).distinct()
 
 
 def class_members(records: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -211,13 +338,14 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def group_candidates(pairs: DataFrame) -> DataFrame:
-    """(a, b) not among the pairs that have a near duplicate in common: every record with those of its smallest partner.
+    """(a, b) not among the pairs that have a near duplicate in common: every record with those of four of its partners.
 
     A pair whose signatures happen to match too little is found through its group. For a group of n records there are at most
-    n * n such pairs, as many as the group itself may have.
+    4 * n * n such pairs, as many as the group itself may have.
     """
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    least = both.groupBy("x").agg(F.min("y").alias("z"))
+    by = F.xxhash64("y")
+    least = both.groupBy("x").agg(F.array(F.min("y"), F.max("y"), F.min_by("y", by), F.max_by("y", by)).alias("z")).select("x", F.explode(F.array_distinct("z")).alias("z"))
     joined = least.join(both.select(F.col("x").alias("z"), "y"), "z").where("x <> y")
     found = joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
@@ -232,7 +360,8 @@ def near_duplicate_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> D
     records = problem_records(problems)
     codes = shingle_frequencies(records, sketch_bits(records.count()))
     members = checkpointed(class_members(records))
-    pairs = checkpointed(similar(records, members, candidate_pairs(postings(records, codes)), at_least))
+    found = candidate_pairs(postings(records, codes)).unionByName(group_pairs(records, codes)).distinct()
+    pairs = checkpointed(similar(records, members, found, at_least))
     more = checkpointed(group_candidates(pairs))
     if not more.isEmpty():
         pairs = pairs.unionByName(similar(records, members, more, at_least))

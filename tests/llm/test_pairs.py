@@ -139,3 +139,43 @@ def test_sketch_never_forgets_and_bitmap_holds_all(spark):
     assert hashing.in_bitmap(np.arange(1, 5000, 7), packed).mean() < 0.01
     codes = near_duplicates.shingle_frequencies(records.problem_records(problems(spark, [problem(i, f"p{i}", prompt="a b c d") for i in range(40)])), 16)
     assert abs(hashing.occurrences(codes).max() - 40) < 8
+
+
+def edited_once(rng, base, edits, tag):
+    """base with `edits` words replaced by words that no other record has."""
+    words = base.split()
+    for k, at in enumerate(rng.sample(range(len(words)), edits)):
+        words[at] = f"own{tag}x{k}"
+    return " ".join(words)
+
+
+def big_group(members, edits, copies=0):
+    """Variants of a text by a few own words, half of them held out, the text itself with copies, and other records."""
+    rng = random.Random(members + edits)
+    base = sentence(rng, 120)
+    texts = [edited_once(rng, base, edits, k) for k in range(members)] + [base] * copies + [sentence(rng, 120) for _ in range(50)]
+    return [problem(k, f"m{k}", f"{'train' if k % 2 else 'test'}:{k}", text, None) for k, text in enumerate(texts)]
+
+
+def group_truth(rows):
+    """truth(rows) by a matrix product of the sets of sequences."""
+    sets = [set(zip(w, w[1:], w[2:])) for w in (r[7].split() for r in rows)]
+    column = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(rows), len(column)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        has[i, [column[g] for g in s]] = 1
+    both, n = has @ has.T, has.sum(axis=1)
+    x, y = np.nonzero(np.triu(both / (n[:, None] + n - both) >= 0.5, 1))
+    pairs = {tuple(sorted((rows[a][1], rows[b][1]))) for a, b in zip(x, y)}
+    return pairs, {(a, b) for a, b in pairs if (int(a[1:]) + int(b[1:])) % 2}
+
+
+BIG = [(100, 3, 0), (300, 8, 0), (1000, 3, 0), (5, 3, 1000)]
+
+
+@pytest.mark.parametrize("members, edits, copies", BIG)
+def test_near_duplicates_of_big_groups(spark, members, edits, copies):
+    rows = big_group(members, edits, copies)
+    found = [tuple(r) for r in near_duplicates.near_duplicate_pairs(problems(spark, rows)).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == group_truth(rows)[0]
