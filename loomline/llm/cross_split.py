@@ -13,6 +13,9 @@ Chunks that many records have would make the join quadratic, so two steps keep t
 * Of each record the most frequent chunks, up to a fraction SKIP of its words, are not posted. Two records
   that share a fraction of OVERLAP of the longer one then still share OVERLAP - SKIP of it in posted chunks
   (the order by frequency and digest is the same for all records), which is the bound the join applies.
+
+In a group of more than FREQUENT alike records all shared chunks are frequent, and what they are joined to may be
+an edit. Such pairs are also found by the group coordinates of `near_duplicates`, which don't depend on frequency.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import frequency_codes, mean_load, mix, occurrences, pack_counts, sketch_bits, slices, slots, words_of
-from .near_duplicates import SIMILARITY, class_members
+from .near_duplicates import SIMILARITY, class_members, group_candidates, group_pairs, shingle_frequencies
 from .records import SHINGLE, batch_texts, class_ids, digests, problem_records, similar
 from .storage import checkpointed
 
@@ -166,6 +169,13 @@ def sides(records: DataFrame) -> DataFrame:
     return records.groupBy("problem_id").agg(F.min_by(side(), "pos").alias("side")).where("side <> 0")
 
 
+def across_splits(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes with a record in train and one held out."""
+    of = members.groupBy("id").agg(F.bit_or("side").alias("sides"))
+    joined = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    return joined.where(f"x | y = {TRAIN | HELD_OUT}").select("a", "b")
+
+
 def cross_split_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """Pairs of different problem_ids, one in split train, one in test or valid, with a similarity of at_least or more.
 
@@ -173,11 +183,16 @@ def cross_split_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> Data
     nulls, repeated deliveries and short texts. Columns: problem_id_a, problem_id_b (a < b).
     """
     records = problem_records(problems)
-    codes = chunk_frequencies(records, sketch_bits(records.count(), 64))
+    rows = records.count()
+    codes = chunk_frequencies(records, sketch_bits(rows, 64))
     members = class_members(records.where(side() != 0)).join(sides(records), "problem_id")
     members = checkpointed(members)
-    found = overlaps(posted_chunks(records, codes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = similar(records, members, found, at_least)
+    found = overlaps(posted_chunks(records, codes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    grouped = group_pairs(records.where(side() != 0), shingle_frequencies(records, sketch_bits(rows)))
+    pairs = checkpointed(similar(records, members, found.unionByName(grouped).distinct(), at_least))
+    more = checkpointed(across_splits(group_candidates(pairs), members))  # pairs inside a split lead to some
+    if not more.isEmpty():
+        pairs = pairs.unionByName(similar(records, members, more, at_least))
     left = members.where(F.col("side") == TRAIN).select(F.col("id").alias("a"), F.col("problem_id").alias("p"))
     right = members.where(F.col("side") == HELD_OUT).select(F.col("id").alias("b"), F.col("problem_id").alias("q"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -179,3 +179,11 @@ def test_near_duplicates_of_big_groups(spark, members, edits, copies):
     found = [tuple(r) for r in near_duplicates.near_duplicate_pairs(problems(spark, rows)).collect()]
     assert len(found) == len(set(found))
     assert set(found) == group_truth(rows)[0]
+
+
+@pytest.mark.parametrize("members, edits, copies", BIG)
+def test_cross_split_pairs_of_big_groups(spark, members, edits, copies):
+    rows = big_group(members, edits, copies)
+    found = [tuple(r) for r in cross_split.cross_split_pairs(problems(spark, rows)).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == group_truth(rows)[1]
