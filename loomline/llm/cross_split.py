@@ -82,6 +82,15 @@ def join_frequent(digest: np.ndarray, sizes: np.ndarray, text: np.ndarray, times
     return _digest(digest, starts, last - starts + 1), np.add.reduceat(sizes, starts), text[last], np.minimum.reduceat(times, starts)
 
 
+def once(digest: np.ndarray, sizes: np.ndarray, text: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each chunk once per text, however often the text repeats it."""
+    order = np.lexsort((digest, text))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (digest[order][1:] != digest[order][:-1]) | (text[order][1:] != text[order][:-1])
+    first = order[new]
+    return digest[first], sizes[first], text[first], times[first]
+
+
 def posted(digest: np.ndarray, sizes: np.ndarray, text: np.ndarray, times: np.ndarray, counts: np.ndarray, frequent: float, skip: float) -> np.ndarray:
     """Which chunks are posted: all but the most frequent ones, up to a fraction skip of their text's words."""
     order = np.lexsort((digest, -times, text))
@@ -120,6 +129,7 @@ def side():
 def posted_chunks(records: DataFrame, codes: np.ndarray) -> DataFrame:
     """(chunk, id, side, words, size) of the posted chunks of each class of equal records on each side.
 
+    words is the length of the record's distinct chunks: a repeated passage counts once, as in the similarity.
     A task posts a class and side once, however many copies it reads.
     """
     bits = int(np.log2(len(codes)))
@@ -145,9 +155,11 @@ def posted_chunks(records: DataFrame, codes: np.ndarray) -> DataFrame:
                     continue
                 digest, sizes, text = chunks(words[np.repeat(new, counts)], counts[new])
                 digest, sizes, text, times = join_frequent(digest, sizes, text, table[sent.value[slots(digest, bits)]], frequent)
-                keep = posted(digest, sizes, text, times, counts[new], frequent, SKIP)
+                digest, sizes, text, times = once(digest, sizes, text, times)
+                total = np.bincount(text, weights=sizes, minlength=int(new.sum())).astype(np.int64)
+                keep = posted(digest, sizes, text, times, total, frequent, SKIP)
                 text = text[keep]
-                columns = [digest[keep].view(np.int64), ids[new][text], sides[i:j][new][text].astype(np.int8), counts[new][text].astype(np.int32), sizes[keep].astype(np.int32)]
+                columns = [digest[keep].view(np.int64), ids[new][text], sides[i:j][new][text].astype(np.int8), total[text].astype(np.int32), sizes[keep].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "id", "side", "words", "size"])
 
     rows = records.select(side().alias("side"), "prompt", "reference_code").where("side <> 0")
@@ -155,7 +167,7 @@ def posted_chunks(records: DataFrame, codes: np.ndarray) -> DataFrame:
 
 
 def overlaps(chunks: DataFrame, at_least: float = OVERLAP) -> DataFrame:
-    """(a, b, shared) of a class in train and one held out; shared: fraction of the longer record in shared posted chunks."""
+    """(a, b, shared) of a class in train and one held out; shared: fraction of the longer record's distinct chunks in shared posted chunks."""
     one = chunks.groupBy("chunk", "id", "side").agg(F.max("words").alias("words"), F.max("size").alias("size"))
     a = one.where(f"side = {TRAIN}").select("chunk", F.col("id").alias("a"), F.col("words").alias("wa"), F.col("size").alias("sa"))
     b = one.where(f"side = {HELD_OUT}").select("chunk", F.col("id").alias("b"), F.col("words").alias("wb"), F.col("size").alias("sb"))

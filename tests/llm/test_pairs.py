@@ -187,3 +187,18 @@ def test_cross_split_pairs_of_big_groups(spark, members, edits, copies):
     found = [tuple(r) for r in cross_split.cross_split_pairs(problems(spark, rows)).collect()]
     assert len(found) == len(set(found))
     assert set(found) == group_truth(rows)[1]
+
+
+def test_repeated_passages_count_once_in_overlaps(spark):
+    """Records of 30 words and a line repeated 60 or 100 times, against the same with one word changed."""
+    rng, rows, pairs = random.Random(8), [], set()
+    for k, (line, times) in enumerate([(10, 60), (20, 100)] * 5):
+        text = sentence(rng, 30) + f" {sentence(rng, line)}" * times
+        words = text.split()
+        words[15] = f"own{k}"
+        rows += [problem(2 * k, f"a{k}", "train:1", text, None), problem(2 * k + 1, f"b{k}", "test:1", " ".join(words), None)]
+        pairs.add((f"a{k}", f"b{k}"))
+    found = records.problem_records(problems(spark, rows))
+    codes = cross_split.chunk_frequencies(found, 16)
+    assert cross_split.overlaps(cross_split.posted_chunks(found, codes)).count() == len(pairs)
+    assert {tuple(r) for r in cross_split.cross_split_pairs(problems(spark, rows)).collect()} == pairs == truth(rows)[1]
