@@ -10,16 +10,16 @@ from ..functions.storage import checkpointed
 from ..functions.text import jaccard, ngram_set, normalize, normalized_hash, tokens_of
 
 
-def shingled(problems: DataFrame, n: int, text: str = "prompt") -> DataFrame:
-    """(problem_id, norm_hash, grams): distinct problem_ids with normalised text hash and set of n-gram hashes.
+def shingled(problems: DataFrame, n: int, text: str = "prompt", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(problem_id, norm_hash, grams, keep...): distinct problem_ids with normalised text hash and set of n-gram hashes.
 
-    n-grams are kept as 64-bit hashes, so a set takes 8 bytes per n-gram in memory and shuffles. The sets are checkpointed, as every
-    operator below reads them several times.
+    Texts stay where they are read: hashes and sets are made there, n-grams as 64-bit hashes, so a set takes 8 bytes per n-gram in memory
+    and shuffles. The sets are checkpointed, as every operator below reads them several times.
     """
-    one = problems.where(F.col("problem_id").isNotNull()).groupBy("problem_id").agg(F.min_by(F.coalesce(text, F.lit("")), "pos").alias("_text"))
-    one = one.select("problem_id", normalize("_text").alias("_norm"))
+    rows = problems.where(F.col("problem_id").isNotNull()).select("problem_id", "pos", *keep, normalize(F.coalesce(text, F.lit(""))).alias("_norm"))
     grams = F.array_distinct(F.transform(ngram_set(tokens_of(F.col("_norm")), n), lambda g: F.xxhash64(g)))
-    return checkpointed(one.select("problem_id", F.sha2("_norm", 256).alias("norm_hash"), grams.alias("grams")))
+    made = rows.select("problem_id", "pos", *keep, F.sha2("_norm", 256).alias("norm_hash"), grams.alias("grams"))
+    return checkpointed(made.groupBy("problem_id").agg(*(F.min_by(c, "pos").alias(c) for c in ("norm_hash", "grams", *keep))))
 
 
 def exact_groups(problems: DataFrame, text: str = "prompt") -> DataFrame:

@@ -12,9 +12,12 @@ from .validate import assert_none
 
 
 def one_delivery(rollouts: DataFrame) -> DataFrame:
-    """Each rollout_id once: the delivery that arrived first."""
+    """Each rollout_id once: the delivery that arrived first.
+
+    Each column is an aggregate of its own, so the optimiser drops those that a query does not use: they are neither read nor shuffled.
+    """
     kept = [c for c in rollouts.columns if c != "rollout_id"]
-    return rollouts.groupBy("rollout_id").agg(F.min_by(F.struct(*kept), "arrived_at").alias("r")).select("rollout_id", "r.*")
+    return rollouts.groupBy("rollout_id").agg(*(F.min_by(c, "arrived_at").alias(c) for c in kept))
 
 
 def combined_status(reward: Column, heldout: Column) -> Column:

@@ -61,10 +61,13 @@ def _valid_reasoning() -> str:
 ORDER_KEY = "sha256('{\"problem_id\":' || to_json(problem_id)::VARCHAR || ',\"seed\":" + str(SEED) + "}')"
 
 
-def one_problem(problems: DataFrame) -> DataFrame:
-    """Each problem_id once: the delivery with the smallest pos."""
-    kept = [c for c in problems.columns if c != "problem_id"]
-    return problems.groupBy("problem_id").agg(F.min_by(F.struct(*kept), "pos").alias("r")).select("problem_id", "r.*")
+def one_problem(problems: DataFrame, **derived: Column) -> DataFrame:
+    """Each problem_id once: the delivery with the smallest pos, with columns that are derived from a row where it is read.
+
+    Each column is an aggregate of its own, so the optimiser drops those that a query does not use: they are neither read nor shuffled.
+    """
+    rows = problems.withColumns(derived) if derived else problems
+    return rows.groupBy("problem_id").agg(*(F.min_by(c, "pos").alias(c) for c in rows.columns if c != "problem_id"))
 
 
 @query("SELECT pos, trim(regexp_replace(lower(coalesce(prompt, '')), '[^a-z0-9_]+', ' ', 'g')) AS normalized, sha256(trim(regexp_replace(lower(coalesce(prompt, '')), '[^a-z0-9_]+', ' ', 'g'))) AS norm_hash FROM problems")
@@ -176,7 +179,8 @@ u AS (SELECT *, coalesce(given, 'case_' || lpad((i - 1)::VARCHAR, 4, '0') || '_'
 
 @query(f"WITH {_TESTS} SELECT problem_id, test_id, fingerprint FROM u")
 def testcase_dedup(spark, folder):
-    rows = one_problem(table(spark, folder, "problems")).select("problem_id", F.explode(splits.distinct_tests("tests")).alias("t"))
+    tests = F.transform(splits.distinct_tests("tests"), lambda t: F.struct(t["test_id"].alias("test_id"), t["fingerprint"].alias("fingerprint")))
+    rows = one_problem(table(spark, folder, "problems"), distinct_tests=tests).select("problem_id", F.explode("distinct_tests").alias("t"))
     return rows.select("problem_id", "t.test_id", "t.fingerprint")
 
 
@@ -247,9 +251,8 @@ def ngram_sets(spark, folder):
 
 
 def _sides(spark, folder) -> tuple[DataFrame, DataFrame]:
-    rows = one_problem(table(spark, folder, "problems"))
-    split = keys.source_split("source_id")
-    return overlap.shingled(rows.where(split == "train"), 5), overlap.shingled(rows.where(split.isin("test", "valid")), 5)
+    rows = overlap.shingled(table(spark, folder, "problems").withColumn("side", keys.source_split("source_id")), 5, keep=("side",))
+    return rows.where("side = 'train'").drop("side"), rows.where("side IN ('test', 'valid')").drop("side")
 
 
 _PAIRS = """
@@ -280,8 +283,8 @@ def blocked_ids(spark, folder):
 
 
 def _three(spark, folder) -> list[DataFrame]:
-    rows = _split(spark, folder)
-    return [overlap.shingled(rows.where(F.col("split") == s), 5) for s in splits.SPLITS]
+    rows = overlap.shingled(_split(spark, folder), 5, keep=("split",))
+    return [rows.where(F.col("split") == s).drop("split") for s in splits.SPLITS]
 
 
 _BLOCK = """
@@ -349,8 +352,8 @@ def json_tests_roundtrip(spark, folder):
 
 @query(f"WITH {ONE} SELECT problem_id, coalesce(regexp_matches(lower(prompt), 'any valid|any one|any of|any order|print any|output any|if there are multiple|if multiple|multiple answers|multiple correct|all possible|in any order|arbitrary'), false) AS several, coalesce(regexp_matches(lower(prompt), '\\binteractive\\b'), false) AS interactive FROM one")
 def prompt_hints(spark, folder):
-    rows = one_problem(table(spark, folder, "problems"))
-    return rows.select("problem_id", text.allows_several_answers("prompt").alias("several"), validate.interactive("prompt").alias("interactive"))
+    rows = one_problem(table(spark, folder, "problems"), several=text.allows_several_answers("prompt"), interactive=validate.interactive("prompt"))
+    return rows.select("problem_id", "several", "interactive")
 
 
 @query("""WITH m AS (SELECT problem_id, min(split) AS split FROM split_manifest GROUP BY 1), v AS (SELECT problem_id, bool_or(verifier_status = 'AC') AS ok, bool_or(heldout_passed = heldout_total) AS held FROM rollouts GROUP BY 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
@@ -35,15 +35,17 @@ REWARD = "CASE WHEN verifier_status IN ('CE', 'RE', 'TLE') THEN 0.0 ELSE coalesc
 FIRST = "f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY problem_id, model_revision ORDER BY rollout_id) = 1), lo AS (SELECT min(model_revision) AS a, max(model_revision) AS b FROM r), old AS (SELECT f.* FROM f, lo WHERE model_revision = a), new AS (SELECT f.* FROM f, lo WHERE model_revision = b)"
 
 
-def delivered(spark: SparkSession, folder: str) -> DataFrame:
-    return rollouts.one_delivery(table(spark, folder, "rollouts"))
+def delivered(spark: SparkSession, folder: str, **derived: Column) -> DataFrame:
+    """Each rollout once, with columns that are derived from a row where it is read."""
+    rows = table(spark, folder, "rollouts")
+    return rollouts.one_delivery(rows.withColumns(derived) if derived else rows)
 
 
 def runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """First rollout per problem of the first and of the last model revision by name."""
     rows = delivered(spark, folder)
     kept = [c for c in rows.columns if c not in ("problem_id", "model_revision")]
-    first = rows.groupBy("problem_id", "model_revision").agg(F.min_by(F.struct(*kept), "rollout_id").alias("r")).select("problem_id", "model_revision", "r.*")
+    first = rows.groupBy("problem_id", "model_revision").agg(*(F.min_by(c, "rollout_id").alias(c) for c in kept))
     ends = table(spark, folder, "rollouts").agg(F.min("model_revision").alias("a"), F.max("model_revision").alias("b"))
     both = first.crossJoin(F.broadcast(ends))  # one row
     return both.where("model_revision = a").drop("a", "b"), both.where("model_revision = b").drop("a", "b")
@@ -244,8 +246,8 @@ p AS (SELECT *, list_position(list_transform(l, lambda x: lower(x) IN ('python',
 SELECT rollout_id, CASE WHEN b IS NULL THEN NULL WHEN b = '' THEN 'empty' WHEN k > 0 THEN 'fenced:' || lower(l[k]) WHEN len(l) > 0 THEN 'fenced:untyped' WHEN starts_with(b, '```') AND ends_with(b, '```') THEN 'fence-stripped' ELSE 'direct' END AS strategy,
 sha256(CASE WHEN b = '' THEN '' WHEN k > 0 THEN trim(c[k], chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) WHEN len(l) > 0 THEN trim(c[1], chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) WHEN starts_with(b, '```') AND ends_with(b, '```') THEN trim(trim(b, '`'), chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) ELSE b || chr(10) END) AS code_hash FROM p""")
 def extract_code(spark, folder):
-    rows = delivered(spark, folder).select("rollout_id", text.extract_code("raw_response").alias("x"))
-    return rows.select("rollout_id", "x.strategy", F.sha2("x.code", 256).alias("code_hash"))
+    found = text.let(text.extract_code("raw_response"), lambda x: F.struct(x["strategy"].alias("strategy"), F.sha2(x["code"], 256).alias("code_hash")))
+    return delivered(spark, folder, x=found).select("rollout_id", "x.strategy", "x.code_hash")
 
 
 @query(f"""WITH {R}, a AS (SELECT rollout_id, raw_response AS c, regexp_replace(raw_response, '^\\s+', '') AS b FROM r WHERE raw_response IS NOT NULL),
@@ -284,8 +286,8 @@ _MEMBER = {f"clean_response_le_{n}": f"r <= {n}" for n in (1024, 2048, 3072, 409
 
 @query(f"WITH {R}, x AS (SELECT rollout_id, response_token_count + 1 AS r, instr(raw_response, '```') - 1 AS c, prompt_token_count + response_token_count + 1 <= 8192 AND contains(raw_response, '```') AS ok FROM r) SELECT rollout_id, " + ", ".join(f"coalesce(ok AND {v}, false) AS {k}" for k, v in _MEMBER.items()) + " FROM x")
 def v3_membership(spark, folder):
-    rows = delivered(spark, folder)
-    rules = sequences.membership(F.col("raw_response").contains("```"), F.col("prompt_token_count") + F.col("response_token_count") + 1 <= 8192, F.col("response_token_count") + 1, F.instr("raw_response", "```") - 1)
+    rows = delivered(spark, folder, at=F.instr("raw_response", "```") - 1)
+    rules = sequences.membership(F.col("at") >= 0, F.col("prompt_token_count") + F.col("response_token_count") + 1 <= 8192, F.col("response_token_count") + 1, F.col("at"))
     return rows.select("rollout_id", *(v.alias(k) for k, v in rules.items()))
 
 
@@ -293,8 +295,8 @@ def v3_membership(spark, folder):
 def prompt_serialization(spark, folder):
     from .curation import one_problem
 
-    rows = one_problem(table(spark, folder, "problems"))
-    return rows.select("problem_id", F.sha2(sequences.prompt_text(F.col("prompt")), 256).alias("prompt_hash"), F.sha2(sequences.target_text(F.col("prompt"), F.col("reference_code")), 256).alias("target_hash"))
+    hashes = {"prompt_hash": F.sha2(sequences.prompt_text(F.col("prompt")), 256), "target_hash": F.sha2(sequences.target_text(F.col("prompt"), F.col("reference_code")), 256)}
+    return one_problem(table(spark, folder, "problems"), **hashes).select("problem_id", *hashes)
 
 
 @query("SELECT pos % 8 AS shard, count(*) AS n FROM problems GROUP BY 1")

@@ -53,14 +53,14 @@ def read_splits(spark: SparkSession, root: str, splits: list[str]) -> tuple[Data
 
 
 def merge_shards(shards: list[DataFrame], key: str, content: str) -> DataFrame:
-    """Union of shards, one row per key; a key with two contents fails the query."""
+    """Union of shards, one row per key; a key with two contents fails the query. Columns that are not used later are not read."""
     rows = shards[0]
     for s in shards[1:]:
         rows = rows.unionByName(s)
     kept = [c for c in rows.columns if c != key]
-    one = rows.groupBy(key).agg(F.min_by(F.struct(*kept), content).alias("r"), F.min(content).alias("lo"), F.max(content).alias("hi"))
-    same = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.lit(True)).otherwise(F.raise_error(F.lit("shards disagree")).cast("boolean"))
-    return one.where(same).select(key, "r.*")
+    one = rows.groupBy(key).agg(*(F.min_by(c, content).alias(c) for c in kept), F.min(content).alias("_lo"), F.max(content).alias("_hi"))
+    same = F.when(F.col("_lo").eqNullSafe(F.col("_hi")), F.lit(True)).otherwise(F.raise_error(F.lit("shards disagree")).cast("boolean"))
+    return one.where(same).drop("_lo", "_hi")
 
 
 def logger(name: str, path: str | None = None) -> logging.Logger:
