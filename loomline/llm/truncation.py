@@ -1,11 +1,14 @@
 """Texts cut off by field limits or in transfer.
 
-Method: per source, lengths follow a log-normal law whose upper end is censored at the source's own limit.
-The law is fitted by maximum likelihood to the length histogram of the whole source, with the texts at the
-limit as right-censored observations. Candidate limits are lengths, in characters or in UTF-8 bytes, at which
-texts pile up. The censoring posterior of a length is the share of the texts there that the law explains as
-longer texts cut down. It is the prior odds with which the evidence of a text's ending is combined; away from
-limits the prior is the source's rate of cuts in transfer.
+Method: per source, lengths follow a log-normal law whose upper end is censored at the source's own limit. The law is fitted by maximum
+likelihood to the length histogram of the whole source, with the texts at the limit as right-censored observations. Candidate limits are
+lengths, in characters or in UTF-8 bytes, at which texts pile up. The censoring posterior of a length is the share of the texts there
+that the law explains as longer texts cut down.
+
+It is combined with evidence of the ending. How often cut and finished texts end in each way is estimated over all texts by
+expectation-maximisation: at a limit a text is cut with the censoring posterior, elsewhere with a rate of cuts in transfer that is
+estimated too. So a result that ends in a digit, a full stop after a number or a line without a stop is judged by where it stands: at a
+limit it may be a cut, elsewhere it is not. Endings that settle the matter (see `endings.DECIDED`) are known labels in this estimate.
 """
 
 from __future__ import annotations
@@ -19,13 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .endings import EVIDENCE, ending
+from .endings import BELIEF, DECIDED, ending
 from .storage import checkpointed
 
 #: A limit that is met at a word boundary shows as a pile of this width below it.
 WIDTH = 24
 #: A pile has at least this many texts and this many times what its surroundings suggest.
 LEAST, EXCESS = 8, 4.0
+#: What BELIEF of cut and of finished texts weighs, in texts, against the counts of endings.
+WORTH = np.array([40.0, 1000.0])
+#: What the censoring posterior of a limit weighs, in texts, against the endings seen there.
+WORTH_OF_LIMIT = 50.0
+#: What the rate of cuts in transfer of all sources weighs, in texts, against that of one source.
+WORTH_OF_RATE = 20.0
 
 
 def source_name(column: str = "source"):
@@ -81,12 +90,8 @@ def _tail(x: float, mu: float, sigma: float) -> float:
 
 
 def limits_of(histogram: pd.DataFrame) -> pd.DataFrame:
-    """One source's histogram (source, unit, length, texts, cut) -> its limits (source, unit, low, high, posterior, mu, sigma).
-
-    The row with unit '' holds the rate of cuts away from any limit.
-    """
+    """One source's histogram (source, unit, length, texts, cut) -> its limits (source, unit, low, high, posterior, mu, sigma)."""
     source, rows = str(histogram["source"].iloc[0]), []
-    left = None
     for unit in ("bytes", "chars"):
         part = histogram[histogram["unit"] == unit].groupby("length", as_index=False)[["texts", "cut"]].sum().sort_values("length")
         length, texts, cut = (part[c].to_numpy(dtype=float) for c in ("length", "texts", "cut"))
@@ -106,11 +111,7 @@ def limits_of(histogram: pd.DataFrame) -> pd.DataFrame:
             longer = max(_tail(end + 1, mu, sigma) * top - beyond, 0)
             if texts[inside].sum() > EXCESS * max(own, 1) and longer > 0:
                 rows.append((source, unit, int(low), int(end), longer / (longer + own), mu, sigma))
-                left = (cut[~inside].sum(), texts[~inside].sum()) if left is None else left
                 break
-    bytes_ = histogram[histogram["unit"] == "bytes"]
-    cuts, all_ = left or (bytes_["cut"].sum(), bytes_["texts"].sum())
-    rows.append((source, "", 0, 0, float((cuts + 0.5) / (all_ + 1.0)), 0.0, 0.0))
     return pd.DataFrame(rows, columns=["source", "unit", "low", "high", "posterior", "mu", "sigma"])
 
 
@@ -122,7 +123,7 @@ def source_limits(endings: DataFrame) -> DataFrame:
 
     A group holds one row per distinct length of a source, not its texts.
     """
-    cut = F.when(F.col("kind").isin("think", "code", "omitted", "marker", "open"), 1).otherwise(0)
+    cut = F.when(F.col("kind").isin("bare", "item", *(k for k, is_cut in DECIDED.items() if is_cut)), 1).otherwise(0)
     counted = endings.where("kind <> 'nothing'").groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("texts"), F.sum(cut).alias("cut"))
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
     long = counted.select("source", "texts", "cut", units.alias("u")).select("source", "u.unit", "u.length", "texts", "cut")
@@ -130,19 +131,62 @@ def source_limits(endings: DataFrame) -> DataFrame:
     return histogram.groupBy("source").applyInPandas(limits_of, _LIMITS)
 
 
-def cut_scores(endings: DataFrame, limits: DataFrame) -> DataFrame:
-    """endings with `at_limit` and `score`, the posterior log-odds that the text is cut off."""
-    per = limits.groupBy("source").agg(
-        F.max(F.when(F.col("unit") == "", F.col("posterior"))).alias("rate"),
-        *(F.max(F.when(F.col("unit") == u, F.col(c))).alias(f"{u}_{c}") for u in ("chars", "bytes") for c in ("low", "high", "posterior")),
-    )
+def located(endings: DataFrame, limits: DataFrame) -> DataFrame:
+    """endings that say something, with `prior`: the censoring posterior at a limit, null away from limits."""
+    per = limits.groupBy("source").agg(*(F.max(F.when(F.col("unit") == u, F.col(c))).alias(f"{u}_{c}") for u in ("chars", "bytes") for c in ("low", "high", "posterior")))
     at = [F.when((F.col(u) > F.col(f"{u}_low")) & (F.col(u) <= F.col(f"{u}_high")), F.col(f"{u}_posterior")) for u in ("chars", "bytes")]
-    prior = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.coalesce(F.greatest(*at), F.col("rate"), F.lit(0.02))))
-    weight = F.element_at(F.create_map(*(F.lit(x) for kv in EVIDENCE.items() for x in kv)), F.col("kind"))
-    # The prior moves the odds by at most 4.6 either way, so clear evidence of the ending decides.
-    odds = F.greatest(F.lit(-4.6), F.least(F.lit(4.6), F.log(prior / (1 - prior))))
-    joined = endings.join(per, "source", "left")
-    return joined.select("reasoning_id", "source", "chars", "bytes", "kind", F.coalesce(*at).isNotNull().alias("at_limit"), (odds + weight).alias("score"))
+    prior = F.greatest(*at)
+    joined = endings.where("kind <> 'nothing'").join(per, "source", "left")
+    return joined.select("reasoning_id", "source", "kind", F.when(prior.isNotNull(), F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.round(prior, 2)))).alias("prior"))
+
+
+def ending_evidence(counts: pd.DataFrame) -> tuple[dict[str, float], dict[float, float], float]:
+    """(log-likelihood ratio of each kind, share of cut texts by prior, rate of cuts away from limits) by expectation-maximisation.
+
+    counts: (prior, kind, texts); a null prior means away from limits. Kinds of DECIDED are labels: their ratio is +99 or -99. The
+    endings seen at limits correct the share that the fitted law expects there.
+    """
+    kinds = [*BELIEF, *DECIDED]
+    believed = np.array([BELIEF.get(k, (0.0, 0.0)) for k in kinds])
+    labels = np.array([np.nan if k in BELIEF else float(DECIDED[k]) for k in kinds])
+    of = counts["kind"].map({k: i for i, k in enumerate(kinds)}).to_numpy(dtype=np.int64)
+    texts, prior = counts["texts"].to_numpy(dtype=float), counts["prior"].to_numpy(dtype=float)
+    away, known = np.isnan(prior), labels[of]
+    levels, at = np.unique(prior[~away], return_inverse=True)
+    share, rate, shares = believed + 1e-9, 0.02, levels.copy()
+    for _ in range(500):
+        p = np.full(len(prior), rate)
+        p[~away] = shares[at]
+        up, down = p * share[of, 0], (1 - p) * share[of, 1]
+        cut = np.where(np.isnan(known), up / (up + down), known)
+        sums = np.stack([np.bincount(of, weights=texts * w, minlength=len(kinds)) for w in (cut, 1 - cut)], axis=1) + WORTH * believed
+        new = (sums + 1e-9) / (sums + 1e-9).sum(axis=0)
+        new_rate = float(((texts * cut)[away].sum() + 0.4) / (texts[away].sum() + 20.0))
+        held, cuts = (np.bincount(at, weights=x[~away], minlength=len(levels)) for x in (texts, texts * cut))
+        new_shares = (cuts + WORTH_OF_LIMIT * levels) / (held + WORTH_OF_LIMIT)
+        moved = np.abs(new - share).max() + abs(new_rate - rate) + np.abs(new_shares - shares).sum()
+        share, rate, shares = new, new_rate, new_shares
+        if moved < 1e-10:
+            break
+    ratio = np.where(np.isnan(labels), np.log(share[:, 0] / share[:, 1]), np.where(labels > 0, 99.0, -99.0))
+    return dict(zip(kinds, ratio.tolist())), dict(zip(levels.tolist(), shares.tolist())), rate
+
+
+def cut_scores(endings: DataFrame, limits: DataFrame) -> DataFrame:
+    """(reasoning_id, source, kind, at_limit, score) of the texts that say something; score: posterior log-odds that a text is cut off.
+
+    The counts that come to the driver have at most 100 priors and one row per kind of ending, whatever the table holds.
+    """
+    rows = located(endings, limits)
+    counts = rows.groupBy("prior", "kind").agg(F.count(F.lit(1)).alias("texts")).toPandas()
+    ratio, shares, rate = ending_evidence(counts)
+    weight = F.element_at(F.create_map(*(F.lit(x) for kv in ratio.items() for x in kv)), F.col("kind"))
+    cut = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(math.log(rate / (1 - rate))) + weight)))
+    own = rows.where("prior IS NULL").groupBy("source").agg(((F.sum(cut) + WORTH_OF_RATE * rate) / (F.count(F.lit(1)) + WORTH_OF_RATE)).alias("rate"))
+    at_limit = F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("prior")) if shares else F.lit(None).cast("double")
+    prior = F.coalesce(at_limit, "rate", F.lit(rate))
+    joined = rows.join(own, "source", "left")
+    return joined.select("reasoning_id", "source", "kind", F.col("prior").isNotNull().alias("at_limit"), (F.log(prior / (1 - prior)) + weight).alias("score"))
 
 
 def truncated(reasoning: DataFrame) -> DataFrame:
@@ -158,7 +202,7 @@ def truncated(reasoning: DataFrame) -> DataFrame:
 def truncation_report(reasoning: DataFrame) -> DataFrame:
     """(source, texts, truncated, at_limit, share) of every source; texts that say nothing are not counted."""
     endings = text_endings(reasoning)
-    scored = cut_scores(endings, source_limits(endings)).where("kind <> 'nothing'")
+    scored = cut_scores(endings, source_limits(endings))
     out = scored.groupBy("source").agg(
         F.count(F.lit(1)).alias("texts"), F.count_if(F.col("score") > 0).alias("truncated"), F.count_if((F.col("score") > 0) & F.col("at_limit")).alias("at_limit")
     )

@@ -53,9 +53,9 @@ def test_look_alike_pairs(spark):
     "text, kind",
     [
         (None, "nothing"), ("", "nothing"), ("﻿", "nothing"), ("N/A", "nothing"), ("<think>\n</think>", "nothing"), ("```\n\n```", "nothing"), ("...", "nothing"), ("<think>\nWe start by", "think"),
-        ("So.\n```python\nfor x in", "code"), ("We sort the wel", "open"), ("We sort the wells and…", "omitted"), ("We sort the [...]", "omitted"), ("We sort the wells.", "stop"), ("Fine.\n\nAnswer: 42", "result"),
-        ("Fine.\n\nTime O(n), memory O(1)", "result"), ("Fine.\n\nComplexity: O(n log k)", "result"), ("Fine.\n\nComplexity: O(n lo", "open"), ("Код готов.\n\nОтвет: 7", "result"), ("a.\n```py\nx\n```", "block"),
-        ("1. One is done.\n2.", "marker"), ("<think>\nSorry.\n</think>", "tags"), ("<think>\nSo the\n</think>", "open"), ("«Fini.»", "stop"),
+        ("So.\n```python\nfor x in", "code"), ("We sort the wel", "bare"), ("It is so. We sort the wel", "open"), ("Steps\n- one\n- two", "item"), ("Done.\nIt is 3.", "dot"), ("We sort the wells and…", "omitted"), ("We sort the [...]", "omitted"), ("We sort the wells.", "stop"), ("Fine.\n\nAnswer: 42", "number"),
+        ("Fine.\n\nTime O(n), memory O(1)", "result"), ("Fine.\n\nComplexity: O(n log k)", "result"), ("Fine.\n\nComplexity: O(n lo", "open"), ("Код готов.\n\nОтвет: 7", "number"), ("a.\n```py\nx\n```", "block"),
+        ("1. One is done.\n2.", "marker"), ("<think>\nSorry.\n</think>", "tags"), ("<think>\nSo the\n</think>", "bare"), ("«Fini.»", "stop"),
     ],
 )
 def test_endings(text, kind):
@@ -87,6 +87,59 @@ def test_truncation(spark):
     assert truncation.truncated(spark.createDataFrame([], REASONING)).count() == 0
 
 
+def numbered(rng, n, digits):
+    return sentence(rng, n) + ".\n\nAnswer: " + str(rng.randrange(10 ** (digits - 1), 10**digits))
+
+
+def test_the_fit_decides_ambiguous_endings(spark):
+    """A result that ends in a digit, or a stop after a digit, is cut at a limit and finished elsewhere; without limits all would be finished."""
+    rng = random.Random(5)
+    rows = [answer(k, numbered(rng, rng.randrange(20, 120), 4) if k % 2 else sentence(rng, rng.randrange(20, 120)) + " by 3.", "free") for k in range(400)]
+    rows += [answer(1000 + k, sentence(rng, rng.randrange(20, 60)) + ".", "limited") for k in range(300)]
+    cut = set()
+    for k in range(2000, 2120):
+        head = sentence(rng, 160)
+        if k % 3 == 0:
+            text = head[: 585 - rng.randrange(3)].rstrip() + ".\n\nAnswer: " + str(rng.randrange(10**40, 10**41))
+        elif k % 3 == 1:
+            text = head[:588].rstrip() + " by 3."
+            text = text.rjust(600, "x") + "14159"
+        else:
+            text = sentence(rng, 20) + ". " + sentence(rng, 300)
+        rows.append(answer(k, text[:600], "limited"))
+        cut.add(k)
+    df = spark.createDataFrame(rows, REASONING)
+    ends = truncation.text_endings(df)
+    kinds = {r.reasoning_id: r.kind for r in ends.collect()}
+    ambiguous = {k for k in cut if kinds[k] in ("number", "dot")}
+    assert len(ambiguous) > 60
+    limits = truncation.source_limits(ends)
+
+    def found(limits):
+        return {r.reasoning_id for r in truncation.cut_scores(ends, limits).where("score > 0").collect()}
+
+    assert found(limits) == cut == {r.reasoning_id for r in truncation.truncated(df).collect()}
+    assert found(limits.where("false")) == cut - ambiguous
+
+
+def test_neighbours_decide_what_the_ending_leaves_open(spark, monkeypatch):
+    """A response whose last number goes on in a longer version of it is cut; without the sorted neighbours it would pass."""
+    rng = random.Random(15)
+    prompt = sentence(rng, 40)
+    texts = [numbered(rng, 30, 6) for _ in range(120)]
+    rows = [answer(k, t) for k, t in enumerate(texts)] + [answer(500 + k, texts[k][:-3]) for k in range(0, 40, 4)]
+    rows += [answer(700, sentence(rng, 20) + "."), answer(701, rows[-1][4].split("\n")[0])]  # a whole sentence stays finished, though it is a prefix
+    p, df = problems(spark, [problem(1, "s:train:1", "train:1", prompt)]), spark.createDataFrame(rows, REASONING)
+
+    def cut():
+        return {r.reasoning_id for r in defects.defects(p, df).where("defect = 'truncated'").collect()}
+
+    assert cut() == {500 + k for k in range(0, 40, 4)}
+    shortened = defects.shortened
+    monkeypatch.setattr(defects, "shortened", lambda reasoning: shortened(reasoning).where("false"))
+    assert cut() == set()
+
+
 def test_censored_fit_recovers_the_law():
     import numpy as np
 
@@ -147,8 +200,11 @@ def test_shortened_finds_proper_prefixes_across_partitions(spark):
     want = {a for a, b in zip(kept, kept[1:]) if b.startswith(a)}
     import xxhash
 
-    found = {bytes(r.digest) for r in defects.shortened(df).collect()}
-    assert found == {xxhash.xxh3_128_digest(t.encode()) for t in want}
+    for spread in (df, df.repartition(9)):
+        found = {bytes(r.digest): r.inside for r in defects.shortened(spread).collect()}
+        assert set(found) == {xxhash.xxh3_128_digest(t.encode()) for t in want}
+    longer = {a: b for a, b in zip(kept, kept[1:]) if b.startswith(a)}
+    assert found == {xxhash.xxh3_128_digest(a.encode()): a[-1].isalnum() and b[len(a)].isalnum() for a, b in longer.items()}
 
 
 def item(i, text):
