@@ -17,9 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .endings import says_nothing
+from .language import LanguageModel, fit_languages
 from .pair_rules import COPIED, copied_share, is_refusal, wrong_language
 from .storage import checkpointed
-from .tokens import content_hash
+from .tokens import content_hash, language_code
 from .truncation import cut_scores, source_limits, text_endings
 
 #: What it adds to the log-odds of being cut off that the last word or number of a response goes on in a longer version of it.
@@ -142,12 +143,15 @@ def defects(problems: DataFrame, reasoning: DataFrame) -> DataFrame:
     rows = reasoning.where("source IS NOT NULL AND source_id IS NOT NULL AND reasoning_id IS NOT NULL")
     rows = rows.select(F.col("reasoning_id").cast("long").alias("reasoning_id"), "source", "source_id", F.col("reasoning").cast("string").alias("reasoning"))
     pairs = rows.join(prompts(problems), ["source", "source_id"]).join(cut, "reasoning_id", "left")
+    model = fit_languages(problems.select(F.nullif(language_code(), F.lit("unknown")).alias("lang"), F.col("prompt").alias("text")))
+    sent = reasoning.sparkSession.sparkContext.broadcast(model)  # MOST_LANGUAGES x DIMENSIONS numbers at most: 8 MB
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages = sent.value
         for batch in batches:
             found = []
             for i, text, prompt, is_cut in zip(*(batch.column(c).to_pylist() for c in ("reasoning_id", "reasoning", "prompt", "cut"))):
-                defect = defect_of(text, prompt or "", bool(is_cut))
+                defect = defect_of(text, prompt or "", bool(is_cut), languages)
                 if defect:
                     found.append((i, defect))
             if found:
@@ -157,7 +161,7 @@ def defects(problems: DataFrame, reasoning: DataFrame) -> DataFrame:
     return pairs.select("reasoning_id", "reasoning", "prompt", "cut").mapInArrow(judge, "reasoning_id long, defect string").distinct()
 
 
-def defect_of(text: str | None, prompt: str, is_cut: bool) -> str | None:
+def defect_of(text: str | None, prompt: str, is_cut: bool, languages: LanguageModel) -> str | None:
     if says_nothing(text):
         return "empty"
     if is_cut:
@@ -166,6 +170,6 @@ def defect_of(text: str | None, prompt: str, is_cut: bool) -> str | None:
         return "refusal"
     if prompt and copied_share(text, prompt) >= COPIED:
         return "copy"
-    if prompt and wrong_language(text, prompt):
+    if prompt and wrong_language(text, prompt, languages):
         return "language"
     return None

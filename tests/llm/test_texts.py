@@ -7,6 +7,7 @@ from loomline.llm import canonical_text, defects, endings, language, leaks, pair
 from tests.llm.tables import DOCUMENTS, ITEMS, REASONING, problem, problems, sentence
 
 FORM = canonical_text.canonical()
+MODEL = language.LanguageModel.of({})
 
 
 @pytest.mark.parametrize(
@@ -156,10 +157,11 @@ def test_censored_fit_recovers_the_law():
         ("The weights of the wells are sorted and each of them is used once.", "en"), ("Die Gewichte der Brunnen sind sortiert und jede davon wird nur einmal benutzt.", "de"),
         ("Les poids des puits sont triés et chacun est utilisé une fois.", "fr"), ("Los pesos de las torres se ordenan y cada una se usa una vez.", "es"), ("Сначала отсортируем веса и пройдём слева направо.", "ru"),
         ("«Les poids des puits sont triés et chacun est utilisé.» Then the rest of the work is done in order by the stack.", "en"), ("x = 1", None), (None, None),
+        ("まず重みを並べ替えて、左から右へ調べます。", "hiragana"), ("先对权重排序，然后从左到右扫描一遍。", "han"),
     ],
 )
 def test_language(text, told):
-    assert language.language(text) == told
+    assert MODEL.language(text) == told
 
 
 @pytest.mark.parametrize(
@@ -168,6 +170,8 @@ def test_language(text, told):
         ("I'm sorry, but I can't help with solving this.", True), ("Leider darf ich zu dieser Frage keine Lösung angeben.", True), ("Je suis désolé, mais je ne peux pas aider.", True), ("Lo siento, pero no puedo ayudar.", True),
         ("К сожалению, дать решение этого вопроса мне нельзя.", True), ("I cannot sort the nets here because the order matters, so I index them instead. Then we sum. The rest is easy. It works. Done.", False),
         ("Unfortunately the first idea fails.\n```python\nprint(1)\n```", False), ("We sort the wells.", False),
+        ("That request falls outside my remit, so there will be no code from me.", True), ("Ich helfe dabei nicht.", True), ("Mi dispiace, non posso aiutarti con questo compito.", True), ("抱歉，我无法提供解答。", True),
+        ("Unfortunately the greedy approach fails. Use DP instead.", False), ("I never sort twice. The answer is the sum.", False), ("We do not need the code of the heap here. We count the wells and add the weights. Then we stop. The total is printed.", False),
     ],
 )
 def test_refusal(text, refusal):
