@@ -14,7 +14,7 @@ from .leaks import leaked, paraphrases
 from .mixing import mix, mixing_report
 from .near_duplicates import near_duplicate_pairs
 from .oracles import ORACLES
-from .tokens import token_cube
+from .tokens import token_cube, token_update
 from .truncation import truncated, truncation_report
 
 
@@ -43,6 +43,10 @@ def p3_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_cube(table(spark, folder, "problems"), table(spark, folder, "reasoning"))
 
 
+def p3_update(spark: SparkSession, folder: str) -> DataFrame:
+    return token_update(table(spark, folder, "problems"), table(spark, folder, "reasoning"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, folder, "problems"))
 
@@ -85,7 +89,7 @@ def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_report, p2_found, p2_report, p3_tokens, p4_found, p5_found, p6_found, p6_collapsed,
+        p1_found, p1_report, p2_found, p2_report, p3_tokens, p3_update, p4_found, p5_found, p6_found, p6_collapsed,
         p7_found, p7_paraphrases, p8_mix, p8_report, p9_found, p9_canonical,
     )
     return {query.__name__: query for query in every}

@@ -1,8 +1,12 @@
 """Token budget per source, language and topic under an existing tokenizer.
 
-Method: a count table keyed by content hash and tokenizer hash (`encode`, `update_counts`). Only contents that
-the table lacks are encoded. Cubes are kept up to date by signed deltas (`cube_delta`): texts that appeared
-count +1, texts that went or moved to another slice -1, so removed documents leave the totals.
+Method: a count table keyed by content hash and tokenizer hash (`update_counts`). Only contents that the table lacks are encoded. What is
+kept per slice is how often it holds each content; snapshots change that by signed deltas (`slice_delta`, `apply_delta`): texts that
+appeared count +1, texts that went or moved to another slice -1, so removed documents leave the totals. A cube is read off the slices and
+the count table (`cube`). `TokenBudget` holds both tables and takes one snapshot after the other.
+
+Content moves as 16-byte hashes; texts are read and encoded where they are stored. A content that tasks read several times is encoded once
+per task at most (of the last MOST_CONTENTS contents).
 """
 
 from __future__ import annotations
@@ -10,7 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +32,9 @@ RANKS = os.environ.get("LOOMLINE_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tik
 # Fixed value: the pattern that splits text before the merges of byte-level BPE rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: A task forgets the counts of contents it has encoded beyond this many.
+MOST_CONTENTS = 200_000
+
 
 @lru_cache(maxsize=4)
 def encoding(ranks: str = RANKS):
@@ -54,16 +62,19 @@ def count_tokens(texts: list[str | None], ranks: str = RANKS) -> list[int]:
 
 
 def encode(texts: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """texts (..., text) with `content` and `tokens` in place of text; equal texts of a batch are encoded once."""
+    """texts (..., text) with `content` and `tokens` in place of text; equal texts of a task are encoded once."""
     kept = [c for c in texts.columns if c != "text"]
     rows = texts.select(*kept, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
             all_texts = batch.column("text").to_pylist()
             keys = [None if t is None else content_hash(t) for t in all_texts]
-            first = {k: t for k, t in zip(keys, all_texts) if k is not None}
-            known = dict(zip(first, count_tokens(list(first.values()), ranks)))
+            if len(known) > MOST_CONTENTS:
+                known.clear()
+            first = {k: t for k, t in zip(keys, all_texts) if k is not None and k not in known}
+            known.update(zip(first, count_tokens(list(first.values()), ranks)))
             counts = [0 if k is None else known[k] for k in keys]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=[*kept, "content", "tokens"])
 
@@ -111,22 +122,26 @@ def update_counts(counts: DataFrame | None, texts: DataFrame, ranks: str = RANKS
     return counts.unionByName(new.select("content", tokenizer, "tokens"))
 
 
-def cube_delta(before: DataFrame | None, after: DataFrame, counts: DataFrame, slices: list[str], ranks: str = RANKS) -> DataFrame:
-    """Signed change (slices..., texts, tokens) between two snapshots (key, slices..., content)."""
+def slice_delta(before: DataFrame | None, after: DataFrame, slices: list[str]) -> DataFrame:
+    """Signed change (slices..., content, texts) between two snapshots (key, slices..., content)."""
     columns = ["key", *slices, "content"]
     rows = after.select(*columns, F.lit(1).alias("sign"))
     if before is not None:
         rows = rows.unionByName(before.select(*columns, F.lit(-1).alias("sign")))
         rows = rows.groupBy(*columns).agg(F.sum("sign").alias("sign")).where("sign <> 0")
-    per = rows.groupBy(*slices, "content").agg(F.sum("sign").alias("sign")).where("sign <> 0")
-    known = counts.where(F.col("tokenizer") == tokenizer_hash(ranks)).select("content", "tokens")
-    joined = per.join(known, "content", "left")
-    return joined.groupBy(*slices).agg(F.sum("sign").alias("texts"), F.sum(F.col("sign") * F.coalesce("tokens", F.lit(0))).alias("tokens"))
+    return rows.groupBy(*slices, "content").agg(F.sum("sign").alias("texts")).where("texts <> 0")
 
 
-def apply_delta(cube: DataFrame | None, delta: DataFrame, slices: list[str]) -> DataFrame:
-    rows = delta if cube is None else cube.unionByName(delta)
-    return rows.groupBy(*slices).agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).where("texts <> 0")
+def apply_delta(held: DataFrame | None, delta: DataFrame, slices: list[str]) -> DataFrame:
+    """How often each slice holds each content after a delta."""
+    return delta if held is None else held.unionByName(delta).groupBy(*slices, "content").agg(F.sum("texts").alias("texts")).where("texts <> 0")
+
+
+def cube(held: DataFrame, counts: DataFrame, slices: list[str], ranks: str = RANKS) -> DataFrame:
+    """(slices..., texts, tokens, unique_tokens): repeated contents of a slice count in tokens, and once in unique_tokens."""
+    known = counts.where(F.col("tokenizer") == tokenizer_hash(ranks)).select("content", "tokens")
+    joined = held.join(known, "content", "left").select(*slices, "texts", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return joined.groupBy(*slices).agg(F.sum("texts").alias("texts"), F.sum(F.col("texts") * F.col("tokens")).alias("tokens"), F.sum("tokens").alias("unique_tokens"))
 
 
 def clean(column: str):
@@ -138,32 +153,83 @@ def language_code(column: str = "lang"):
     return F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim(F.col(column).cast("string"))), "^[a-z]{2,3}", 0), F.lit("")), F.lit("unknown"))
 
 
-def token_cube(problems: DataFrame, reasoning: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """(field, source, language, topic, texts, tokens, unique_tokens) of problems.prompt and reasoning.reasoning.
+SLICES = ["field", "source", "language", "topic"]
+
+
+def snapshot(problems: DataFrame, reasoning: DataFrame, read: Callable[[DataFrame], DataFrame] = contents) -> DataFrame:
+    """(key, field, source, language, topic, content) of problems.prompt and reasoning.reasoning, with the columns that `read` adds.
 
-    A problem_id counts once (smallest pos). Reasoning takes language and topic of the problem it matches by
-    (source, source_id), 'unknown' without one; repeated texts of one problem count in tokens, and once in
-    unique_tokens. Null texts count as no text. Sources, languages and topics are compared without case and
-    outer blanks; null reads as 'unknown'. Empty tables give no rows.
+    A problem_id counts once (smallest pos), a row of reasoning each time. Reasoning takes language and topic of the problem it matches by
+    (source, source_id), 'unknown' without one. Null texts count as no text. Sources, languages and topics are compared without case and
+    outer blanks; null reads as 'unknown'.
     """
     slices = [clean("source").alias("source"), language_code().alias("language"), clean("topic").alias("topic")]
     rows = problems.where("problem_id IS NOT NULL").select("problem_id", "pos", F.col("source").alias("raw_source"), "source_id", *slices, F.col("prompt").alias("text"))
-    each = encode(rows, ranks)
-    best = F.min_by(F.struct("raw_source", "source_id", "source", "language", "topic", "content", "tokens"), "pos").alias("r")
-    one = checkpointed(each.groupBy("problem_id").agg(best).select("r.*"))
-    prompts = one.where("content IS NOT NULL").select(F.lit("prompt").alias("field"), "source", "language", "topic", "content", "tokens")
-    texts = encode(reasoning.where("reasoning IS NOT NULL").select(F.col("source").alias("raw_source"), "source_id", F.col("reasoning").alias("text")), ranks)
+    each = read(rows)
+    added = [c for c in each.columns if c not in rows.columns]
+    best = F.min_by(F.struct("raw_source", "source_id", "source", "language", "topic", *added), F.struct("pos", "content")).alias("r")
+    one = checkpointed(each.groupBy("problem_id").agg(best).select("problem_id", "r.*"))
+    prompts = one.where("content IS NOT NULL").select(F.col("problem_id").alias("key"), F.lit("prompt").alias("field"), "source", "language", "topic", *added)
     known = one.groupBy("raw_source", "source_id").agg(F.min(F.struct("source", "language", "topic")).alias("p"))
-    # Repeated texts of a problem become one row with a count before the join.
-    texts = texts.groupBy("raw_source", "source_id", "content").agg(F.count(F.lit(1)).alias("n"), F.max("tokens").alias("tokens"))
-    matched = texts.join(known, ["raw_source", "source_id"], "left")
+    texts = read(reasoning.where("reasoning IS NOT NULL").select(F.col("reasoning_id").cast("string").alias("key"), F.col("source").alias("raw_source"), "source_id", F.col("reasoning").alias("text")))
     unknown = F.lit("unknown")
-    answers = matched.select(
-        F.lit("reasoning").alias("field"), F.coalesce("p.source", F.lower(F.trim("raw_source")), unknown).alias("source"), F.coalesce("p.language", unknown).alias("language"),
-        F.coalesce("p.topic", unknown).alias("topic"), "n", "tokens",
-    )
-    every = prompts.select("field", "source", "language", "topic", F.lit(1).cast("long").alias("n"), "tokens").unionByName(answers)
-    return every.groupBy("field", "source", "language", "topic").agg(F.sum("n").alias("texts"), F.sum(F.col("n") * F.col("tokens")).alias("tokens"), F.sum("tokens").alias("unique_tokens"))
+    answers = texts.join(known, ["raw_source", "source_id"], "left").select(
+        "key", F.lit("reasoning").alias("field"), F.coalesce("p.source", F.lower(F.trim("raw_source")), unknown).alias("source"), F.coalesce("p.language", unknown).alias("language"),
+        F.coalesce("p.topic", unknown).alias("topic"), *added,
+    )
+    return prompts.unionByName(answers)
+
+
+@dataclass(frozen=True)
+class TokenBudget:
+    """What is kept from snapshot to snapshot: the count table, the last snapshot, and how often each slice holds each content."""
+
+    counts: DataFrame
+    seen: DataFrame
+    held: DataFrame
+    ranks: str = RANKS
+
+    @classmethod
+    def first(cls, problems: DataFrame, reasoning: DataFrame, ranks: str = RANKS) -> TokenBudget:
+        """Every content is unseen, so contents are hashed and encoded in one reading of the texts."""
+        rows = checkpointed(snapshot(problems, reasoning, lambda texts: encode(texts, ranks)))
+        counts = rows.groupBy("content").agg(F.max("tokens").alias("tokens")).select("content", F.lit(tokenizer_hash(ranks)).alias("tokenizer"), "tokens")
+        seen = rows.drop("tokens")
+        return cls(checkpointed(counts), seen, checkpointed(apply_delta(None, slice_delta(None, seen, SLICES), SLICES)), ranks)
+
+    def then(self, problems: DataFrame, reasoning: DataFrame) -> TokenBudget:
+        """The budget after another snapshot: contents are hashed, the unseen ones encoded, and the slices changed by the signed delta."""
+        seen = checkpointed(snapshot(problems, reasoning))
+        texts = problems.select(F.col("prompt").alias("text")).unionByName(reasoning.select(F.col("reasoning").alias("text")))
+        counts = checkpointed(update_counts(self.counts, texts, self.ranks))
+        return TokenBudget(counts, seen, checkpointed(apply_delta(self.held, slice_delta(self.seen, seen, SLICES), SLICES)), self.ranks)
+
+    def cube(self) -> DataFrame:
+        return cube(self.held, self.counts, SLICES, self.ranks)
+
+
+def token_cube(problems: DataFrame, reasoning: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """(field, source, language, topic, texts, tokens, unique_tokens) of problems.prompt and reasoning.reasoning; see `snapshot`, `cube`.
+
+    Empty tables give no rows.
+    """
+    return TokenBudget.first(problems, reasoning, ranks).cube()
+
+
+def token_update(problems: DataFrame, reasoning: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """The cube after a second snapshot, beside its recount: (field, source, language, topic, texts, tokens, recounted_texts, recounted_tokens).
+
+    The first snapshot is what had been ingested by the middle of the tables' period of ingestion, the second everything but what was
+    ingested in the first tenth of it, so that texts are new, changed and removed. Undated rows are in both. Empty tables give no rows.
+    """
+    at = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    ends = problems.select(at.alias("t")).unionByName(reasoning.select(at.alias("t"))).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    a, b = ends.a or 0, ends.b or 0
+    old = [t.where(F.coalesce(at <= (a + b) // 2, F.lit(True))) for t in (problems, reasoning)]
+    new = [t.where(F.coalesce(at > a + (b - a) // 10, F.lit(True))) for t in (problems, reasoning)]
+    kept = TokenBudget.first(*old, ranks).then(*new).cube().drop("unique_tokens")
+    again = snapshot(*new, lambda texts: encode(texts, ranks)).groupBy(*SLICES).agg(F.count(F.lit(1)).alias("recounted_texts"), F.sum("tokens").alias("recounted_tokens"))
+    return kept.join(again, SLICES, "full_outer").na.fill(0)
 
 
 def document_tokens(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
