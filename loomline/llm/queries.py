@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .canonical_text import canonical_documents, look_alike_pairs
+from .canonical_text import canonical_documents, look_alike_classes, look_alike_pairs
 from .cross_split import cross_split_pairs, cross_split_report
 from .defects import defects
 from .layout_copies import collapse, layout_copies
@@ -83,6 +83,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return look_alike_pairs(table(spark, folder, "documents"))
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return look_alike_classes(table(spark, folder, "documents"))
+
+
 def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_documents(table(spark, folder, "documents"))
 
@@ -90,7 +94,7 @@ def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         p1_found, p1_report, p2_found, p2_report, p3_tokens, p3_update, p4_found, p5_found, p6_found, p6_collapsed,
-        p7_found, p7_paraphrases, p8_mix, p8_report, p9_found, p9_canonical,
+        p7_found, p7_paraphrases, p8_mix, p8_report, p9_found, p9_classes, p9_canonical,
     )
     return {query.__name__: query for query in every}
 

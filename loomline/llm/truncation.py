@@ -128,7 +128,7 @@ def source_limits(endings: DataFrame) -> DataFrame:
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
     long = counted.select("source", "texts", "cut", units.alias("u")).select("source", "u.unit", "u.length", "texts", "cut")
     histogram = long.groupBy("source", "unit", "length").agg(F.sum("texts").alias("texts"), F.sum("cut").alias("cut"))
-    return histogram.groupBy("source").applyInPandas(limits_of, _LIMITS)
+    return checkpointed(histogram.groupBy("source").applyInPandas(limits_of, _LIMITS))
 
 
 def located(endings: DataFrame, limits: DataFrame) -> DataFrame:
