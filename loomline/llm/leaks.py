@@ -1,21 +1,24 @@
 """Evaluation texts leaking into training text.
 
-Method: latent semantic retrieval. Passages (windows of words) are TF-IDF vectors over hashed words; a
-randomised SVD, computed distributedly by two passes of subspace iteration over all passages, gives a latent
-space of RANK dimensions. Every passage of the corpus is compared with every window of the evaluation items
-by cosine, and the pairs above COSINE are candidates. A document and an item that are candidates are then
-compared word by word: the longest common run decides on leaks, the longest common subsequence and the item's
-own numbers and names (its answers) on paraphrases.
-
-What moves: the accumulators of the SVD are DIMENSIONS x RANK numbers per task, whatever the corpus holds.
-The items are the fixed query side and are sent to every task; MOST_ITEM_CHARS bounds their size. Documents
-stay in their partitions; only (doc_id, item_id) rows of candidates leave them.
+Method: latent semantic retrieval. Passages (windows of words) are TF-IDF vectors over hashed words; a randomised SVD, computed
+distributedly by two passes of subspace iteration over all passages, gives a latent space of RANK dimensions. The windows of the
+evaluation items are indexed there by their nearest centroids (`WindowIndex`); each passage of the corpus looks up the windows of its
+nearest centroids, and those above a cosine make (document, item) candidates. A candidate pair is then compared word by word: the longest
+common run decides on leaks, the longest common subsequence and the item's own numbers and names (its answers) on paraphrases.
+
+For leaks every run of RUN words of a document and of an item is a passage. A run that both hold has one vector and so one nearest
+centroid and a cosine of 1: no threshold, rank or weighting can lose it. For paraphrases PROBES centroids are looked up.
+
+What moves: the accumulators of the SVD are DIMENSIONS x RANK numbers per task, whatever the corpus holds. The items are the query side.
+They are taken in blocks of at most MOST_ITEM_CHARS characters, each of which is indexed and sent to every task. Documents stay in their
+partitions; only (doc_id, item_id) rows of candidates leave them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -30,16 +33,18 @@ from .storage import checkpointed
 DIMENSIONS, RANK = 8192, 48
 #: Consecutive words that make a leak.
 RUN = 12
-#: A passage of RUN + STRIDE words, begun every STRIDE words, holds any run of RUN words whole.
-STRIDE = 6
-PASSAGE = RUN + STRIDE
-#: Windows of an item begin every so many words.
-ITEM_STRIDE = 4
-#: Latent cosine from which a passage and an item window are compared; see the tests for its recall.
-COSINE = 0.6
-MOST_ITEM_CHARS = 2_000_000
-#: Passages and item windows are compared in blocks of this many.
-_CHUNK, _BLOCK = 2000, 4096
+#: Words of the passages that the SVD is fitted on.
+PASSAGE = 18
+#: Passages begin at every word for leaks, and at every STRIDE-th word for paraphrases.
+STRIDE = 3
+#: Latent cosine from which a passage and an item window make a candidate: of leaks, whose windows are equal, and of paraphrases.
+SAME, ALIKE = 0.999, 0.8
+#: Centroids that a passage looks up for paraphrases.
+PROBES = 4
+#: Characters of items that are indexed and sent at once.
+MOST_ITEM_CHARS = 1_000_000
+#: Passages are projected and looked up in chunks of this many.
+_CHUNK = 16_384
 
 
 def reader_words(text: str | None) -> list[str]:
@@ -81,23 +86,12 @@ def dimension_of(words: np.ndarray) -> np.ndarray:
     return (mix(words) >> np.uint64(40)).astype(np.int64) % DIMENSIONS
 
 
-def windows(counts: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index, text): rows of word positions of the windows of each text, -1 where a text is shorter."""
-    firsts, texts = [], []
-    ends = np.cumsum(counts)
-    for t in np.flatnonzero(counts):
-        n = int(counts[t])
-        at = np.arange(0, max(n - size, 0) + stride, stride)
-        at = np.minimum(at, max(n - size, 0))
-        at = np.unique(at) + (ends[t] - n)
-        firsts.append(at)
-        texts.append(np.full(len(at), t))
-    if not firsts:
-        return np.zeros((0, size), dtype=np.int64), np.zeros(0, dtype=np.int64)
-    first, text = np.concatenate(firsts), np.concatenate(texts)
+def windows(counts: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """Rows of word positions of the passages of all texts, -1 where a text is shorter."""
+    first, n, _ = passages_of(counts, size, stride)
     index = first[:, None] + np.arange(size)
-    index[index >= ends[text][:, None]] = -1
-    return index, text
+    index[np.arange(size) >= n[:, None]] = -1
+    return index
 
 
 def _weighted(dims: np.ndarray, index: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,20 +101,93 @@ def _weighted(dims: np.ndarray, index: np.ndarray, idf: np.ndarray) -> tuple[np.
     return at, weight / np.maximum(norm, 1e-9)
 
 
-def project(dims: np.ndarray, index: np.ndarray, weighted: np.ndarray) -> np.ndarray:
-    """Unit rows of passages in the latent space; weighted: the basis with its rows times their idf.
+def project(dims: np.ndarray, first: np.ndarray, size: np.ndarray, weighted: np.ndarray) -> np.ndarray:
+    """Unit rows of passages in the latent space: `size` words from `first` on; weighted: the basis with its rows times their idf.
 
     A passage is a range of words, so its row is a difference of running sums over the words' rows.
     """
-    out = np.zeros((len(index), weighted.shape[1]), dtype=np.float32)
-    for i in range(0, len(index), _CHUNK):
-        part = index[i : i + _CHUNK]
-        first, size = part[:, 0], (part >= 0).sum(axis=1)
-        low = int(first.min())
-        sums = np.zeros((int((first + size).max()) - low + 1, weighted.shape[1]))
+    out = np.zeros((len(first), weighted.shape[1]), dtype=np.float32)
+    for i in range(0, len(first), _CHUNK):
+        at, n = first[i : i + _CHUNK], size[i : i + _CHUNK]
+        low = int(at.min())
+        sums = np.zeros((int((at + n).max()) - low + 1, weighted.shape[1]))
         np.cumsum(weighted[dims[low : low + len(sums) - 1]], axis=0, out=sums[1:])
-        out[i : i + _CHUNK] = sums[first + size - low] - sums[first - low]
-    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)
+        out[i : i + _CHUNK] = sums[at + n - low] - sums[at - low]
+    return out / np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out))[:, None], 1e-9)
+
+
+def passages_of(counts: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, text) of the passages of each text; a shorter text is one passage, the last passage ends with its text."""
+    if not counts.sum():
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    starts = np.cumsum(counts) - counts
+    last = np.maximum(counts - size, 0)
+    n = np.where(counts > 0, (last + stride - 1) // stride + 1, 0)
+    text = np.repeat(np.arange(len(counts)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.minimum(k * stride, last[text])
+    return starts[text] + at, np.minimum(counts[text], size), text
+
+
+class WindowIndex:
+    """Item windows (unit rows of the latent space) by their nearest centroids.
+
+    Centroids come from a few rounds of spherical k-means. A window that is as near to several centroids, up to rounding, is kept under
+    each, so that equal windows always meet. A centroid is passed over where the triangle inequality excludes all of its windows.
+    """
+
+    ROUNDING = 1e-3
+
+    def __init__(self, windows: np.ndarray, of: np.ndarray) -> None:
+        count = max(1, int(np.sqrt(len(windows))))
+        self.centroids = windows[np.linspace(0, len(windows) - 1, count).astype(np.int64)].copy() if len(windows) else np.zeros((0, windows.shape[1]), dtype=np.float32)
+        for _ in range(5 if len(windows) else 0):
+            nearest = self._near(windows)
+            sums = np.zeros_like(self.centroids)
+            np.add.at(sums, nearest, windows)
+            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            self.centroids = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), self.centroids).astype(np.float32)
+        rows, lists = [], []
+        for i in range(0, len(windows), _CHUNK):
+            close = windows[i : i + _CHUNK] @ self.centroids.T
+            w, c = np.nonzero(close >= close.max(axis=1, keepdims=True) - self.ROUNDING)
+            rows.append(w + i)
+            lists.append(c)
+        row, of_list = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (rows, lists))
+        order = np.lexsort((of[row], of_list))
+        row, of_list = row[order], of_list[order]
+        self.windows, self.of = np.ascontiguousarray(windows[row]), of[row]
+        self.edges = np.searchsorted(of_list, np.arange(count + 1))
+        cosine = np.einsum("ij,ij->i", self.windows, self.centroids[of_list]) if len(row) else np.zeros(0)
+        self.radius = np.array([np.arccos(np.clip(cosine[a:b].min(), -1, 1)) if b > a else 0.0 for a, b in zip(self.edges[:-1], self.edges[1:])])
+
+    def _near(self, vectors: np.ndarray) -> np.ndarray:
+        return np.concatenate([(vectors[i : i + _CHUNK] @ self.centroids.T).argmax(axis=1) for i in range(0, len(vectors), _CHUNK)])
+
+    def search(self, passages: np.ndarray, cosine: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) of the windows above the cosine under the passages' nearest centroids."""
+        none = np.zeros(0, dtype=np.int64)
+        if not len(self.windows) or not len(passages):
+            return none, none
+        close = passages @ self.centroids.T
+        probes = min(probes, close.shape[1])
+        lists = close.argmax(axis=1)[:, None] if probes == 1 else np.argpartition(-close, probes - 1, axis=1)[:, :probes]
+        row = np.repeat(np.arange(len(passages)), probes)
+        at = lists.ravel()
+        angle = np.arccos(np.clip(close[row, at], -1, 1))
+        keep = angle <= self.radius[at] + np.arccos(cosine) + self.ROUNDING
+        row, at = row[keep], at[keep]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        cuts = np.searchsorted(at, np.arange(len(self.centroids) + 1))
+        found = []
+        for c in np.flatnonzero(np.diff(cuts)):
+            mine = row[cuts[c] : cuts[c + 1]]
+            a, b = self.edges[c], self.edges[c + 1]
+            i, j = np.nonzero(passages[mine] @ self.windows[a:b].T >= cosine)
+            found.append(np.unique(np.stack((mine[i], self.of[a:b][j])), axis=1))
+        return tuple(np.concatenate(found, axis=1)) if found else (none, none)
 
 
 def gram(dims: np.ndarray, index: np.ndarray, idf: np.ndarray, basis: np.ndarray, into: np.ndarray) -> None:
@@ -176,7 +243,7 @@ def document_dimensions(documents: DataFrame) -> DataFrame:
 def _passages(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for raw, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         dims = np.frombuffer(raw, dtype="<i2").astype(np.int64)
-        index, _ = windows(np.frombuffer(sizes, dtype="<i4").astype(np.int64), PASSAGE, PASSAGE)
+        index = windows(np.frombuffer(sizes, dtype="<i4").astype(np.int64), PASSAGE, PASSAGE)
         if len(index):
             yield dims, index
 
@@ -201,10 +268,36 @@ def inverse_frequencies(stored: DataFrame) -> tuple[np.ndarray, int]:
     return np.log((1.0 + passages) / (1.0 + total[:DIMENSIONS])).astype(np.float32) + 1, passages
 
 
-def latent_basis(stored: DataFrame, items: tuple[np.ndarray, np.ndarray], idf: np.ndarray, passages: int) -> np.ndarray:
-    """Right singular vectors (DIMENSIONS x RANK) of the passages, with the items' windows weighted up to half of them."""
-    dims, index = items
-    share = 0.5 * max(passages, 1) / max(len(index), 1)
+@dataclass(frozen=True)
+class Items:
+    """A block of evaluation items: ids, texts, word hashes and their numbers."""
+
+    ids: np.ndarray
+    texts: list[str]
+    words: np.ndarray
+    counts: np.ndarray
+
+
+def item_blocks(items: DataFrame) -> list[DataFrame]:
+    """The items that have an id and a text, in blocks of about MOST_ITEM_CHARS characters by a hash of the item."""
+    rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // MOST_ITEM_CHARS))
+    return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def query_items(block: DataFrame) -> Items:
+    found = block.orderBy("item_id", "text").collect()
+    words, counts = word_hashes([r.text for r in found])
+    return Items(np.array([r.item_id for r in found], dtype=np.int64), [r.text for r in found], words, counts)
+
+
+def latent_basis(stored: DataFrame, blocks: list[DataFrame], idf: np.ndarray, passages: int) -> np.ndarray:
+    """Right singular vectors (DIMENSIONS x RANK) of the passages, with the items' passages weighted up to half of them."""
+    item_words = 0
+    for block in blocks:
+        item_words += int(query_items(block).counts.sum())
+    share = 0.5 * max(passages, 1) / max(item_words / PASSAGE, 1.0)
     basis = np.random.default_rng(11).standard_normal((DIMENSIONS, RANK)).astype(np.float32)
     context = stored.sparkSession.sparkContext
     for _ in range(2):
@@ -220,25 +313,17 @@ def latent_basis(stored: DataFrame, items: tuple[np.ndarray, np.ndarray], idf: n
 
         product = _sum_rows(stored.mapInArrow(multiply, "part int, raw binary"), (DIMENSIONS, RANK), "float64")
         own = np.zeros((DIMENSIONS, RANK))
-        if len(index):
-            gram(dims, index, idf, basis, own)
+        for block in blocks:
+            held = query_items(block)
+            index = windows(held.counts, PASSAGE, PASSAGE)
+            if len(index):
+                gram(dimension_of(held.words), index, idf, basis, own)
         product += share * own
         last, basis = basis, product.astype(np.float32)
     values, vectors = np.linalg.eigh(last.T @ product)
     return (last @ vectors[:, ::-1]).astype(np.float32)
 
 
-def query_items(items: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(item ids, word hashes, counts, texts) of the evaluation items, which are the query side."""
-    rows = items.where("item_id IS NOT NULL AND text IS NOT NULL")
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MOST_ITEM_CHARS:
-        raise ValueError(f"{size} characters of evaluation items; search them in blocks of at most {MOST_ITEM_CHARS}")
-    found = rows.select("item_id", "text").orderBy("item_id", "text").collect()
-    words, counts = word_hashes([r.text for r in found])
-    return np.array([r.item_id for r in found], dtype=np.int64), words, counts, [r.text for r in found]
-
-
 def longest_common_subsequence(a: list[str], b: list[str]) -> int:
     """Bit-parallel: one big-integer step per word of b."""
     places: dict[str, int] = {}
@@ -257,56 +342,49 @@ def answers_of(text: str) -> set[str]:
     return {w.casefold() for w in re.findall(r"\d+|(?<!^)(?<![.!?] )\b[A-ZÀ-ÞА-Я][^\W\d_]+", canonical()(text))}
 
 
-def _blocks(edges: np.ndarray, windows: int) -> list[tuple[int, int, int, int]]:
-    """(first item, end, first window, end) of runs of whole items with about _BLOCK windows each."""
-    out, first = [], 0
-    ends = np.concatenate((edges[1:], [windows])) if len(edges) else np.zeros(0, dtype=np.int64)
-    for k in range(len(edges)):
-        if k + 1 == len(edges) or ends[k + 1] - edges[first] > _BLOCK:
-            out.append((first, k + 1, int(edges[first]), int(ends[k])))
-            first = k + 1
-    return out
-
-
-def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE, retold: bool = False) -> DataFrame:
+def candidates(documents: DataFrame, items: DataFrame, retold: bool = False, cosine: float | None = None) -> DataFrame:
     """(doc_id, item_id, run, subsequence, answers): pairs of a document and an item with a passage above the cosine.
 
-    run is RUN if they have as many consecutive words in common, else 0. Only where retold is set, subsequence and answers are told of
-    pairs without such a run. subsequence: longest common subsequence of words by the item's number of words, null where fewer than
-    half of the answers are held; answers: share of the item's numbers and names that the document holds.
+    run is RUN if they have as many consecutive words in common, else 0. Only where retold is set, passages need not be equal, and
+    subsequence and answers are told of pairs without such a run. subsequence: longest common subsequence of words by the item's number
+    of words, null where fewer than half of the answers are held; answers: share of the item's numbers and names that the document holds.
     """
-    ids, words, counts, texts = query_items(items)
-    dims = dimension_of(words)
+    blocks = item_blocks(items)
     stored = checkpointed(document_dimensions(documents))
     idf, passages = inverse_frequencies(stored)
-    index, item = windows(counts, RUN, ITEM_STRIDE)
-    basis = latent_basis(stored, (dims, index), idf, passages)
-    weighted = (idf[:, None] * basis).astype(np.float32)
-    query = project(dims, index, weighted)
-    edges = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1]))) if len(item) else np.zeros(0, dtype=np.int64)
-    h, sizes = shingles_of(words, counts, RUN)
+    weighted = (idf[:, None] * latent_basis(stored, blocks, idf, passages)).astype(np.float32)
+    out = None
+    for block in blocks:
+        found = _search(documents, query_items(block), weighted, retold, cosine or (ALIKE if retold else SAME))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(documents: DataFrame, items: Items, weighted: np.ndarray, retold: bool, cosine: float) -> DataFrame:
+    first, size, of = passages_of(items.counts, RUN, 1)
+    if not retold:  # a shorter item has no run to leak
+        first, size, of = (x[size == RUN] for x in (first, size, of))
+    index = WindowIndex(project(dimension_of(items.words), first, size, weighted), of)
+    h, sizes = shingles_of(items.words, items.counts, RUN)
     runs = [np.unique(r) for r in np.split(h, np.cumsum(sizes)[:-1])] if len(sizes) else []
-    sent = documents.sparkSession.sparkContext.broadcast((ids, texts, query, item[edges] if len(item) else item, edges, weighted, runs))
+    sent = documents.sparkSession.sparkContext.broadcast((items.ids, items.texts if retold else [], index, weighted, runs))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, items, query, of, edges, weighted, runs = sent.value
+        ids, items, index, weighted, runs = sent.value
         known: dict[int, tuple[list[str], set[str]]] = {}
         all_runs = np.unique(np.concatenate(runs)) if runs else np.zeros(0, dtype=np.uint64)
         for batch in batches:
             docs, texts = batch.column("doc_id").to_pylist(), ["" if t is None else t for t in batch.column("text").to_pylist()]
             for i, j in slices(texts):
                 words, counts = word_hashes(texts[i:j])
-                index, text = windows(counts, PASSAGE, STRIDE)
-                if not len(index) or not len(query):
-                    continue
+                first, size, text = passages_of(counts, RUN, STRIDE if retold else 1)
                 dims = dimension_of(words)
                 found: set[tuple[int, int]] = set()
-                for k in range(0, len(index), _CHUNK):
-                    passages = project(dims, index[k : k + _CHUNK], weighted)
-                    for a, b, c, d in _blocks(edges, len(query)):
-                        best = np.maximum.reduceat(passages @ query[c:d].T, edges[a:b] - c, axis=1)
-                        at, q = np.nonzero(best >= cosine)
-                        found.update(zip(text[k : k + _CHUNK][at].tolist(), of[a:b][q].tolist()))
+                for k in range(0, len(first), _CHUNK):
+                    at, q = index.search(project(dims, first[k : k + _CHUNK], size[k : k + _CHUNK], weighted), cosine, PROBES if retold else 1)
+                    found.update(zip(text[k : k + _CHUNK][at].tolist(), q.tolist()))
+                if not found:
+                    continue
                 h, sizes = shingles_of(words, counts, RUN)
                 some = np.isin(h, all_runs)
                 h, sizes = h[some], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
@@ -338,17 +416,17 @@ def candidates(documents: DataFrame, items: DataFrame, cosine: float = COSINE, r
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): the document holds at least RUN consecutive words of the item's text.
 
-    Exact copies of a document count each. Null texts and texts or items of fewer than RUN words have no
+    Exact copies of a document count each, repeated rows of an item once. Null texts and texts or items of fewer than RUN words have no
     leak. Empty tables give no rows.
     """
     return candidates(documents, items).where(f"run >= {RUN}").select("doc_id", "item_id").distinct()
 
 
-def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.8, subsequence: float = 0.5) -> DataFrame:
+def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = ALIKE, subsequence: float = 0.5) -> DataFrame:
     """(doc_id, item_id, subsequence, answers) of documents that retell an item without holding a run of it.
 
     They hold half of the item's numbers and names, and share a subsequence of half of its words. Everything is
     scored where the document is read, so no text is shuffled.
     """
-    rows = candidates(documents, items, cosine, True).where(f"run < {RUN} AND subsequence >= {subsequence}")
+    rows = candidates(documents, items, True, cosine).where(f"run < {RUN} AND subsequence >= {subsequence}")
     return rows.select("doc_id", "item_id", F.round("subsequence", 6).alias("subsequence"), F.round("answers", 6).alias("answers")).distinct()
