@@ -4,8 +4,9 @@ Method: cube-method balanced sampling. A source that needs r copies of its docum
 document floor(r) copies and one more with inclusion probability r - floor(r). The flight phase moves these
 probabilities inside the null space of the balancing constraints (number of documents and number of tokens of
 the source) until they are 0 or 1, so both totals stay what they should be. It streams: at any time at most
-three documents of a (mix, source) are undecided, whatever the size of the source. Each task leaves at most
-two of them; these few rows fly again together, and a landing decides the last.
+three documents of a (mix, source) are undecided, whatever the size of the source. Documents fly in shards by a
+hash of doc_id, in order of doc_id, so the sample does not depend on how the table is partitioned. Each shard
+leaves at most two of them; these few rows fly again together, and a landing decides the last.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .tokens import RANKS, clean, document_tokens
 #: Targets are configuration; a table of more rows is refused, as it is sent to every task.
 MOST_TARGETS = 100_000
 _EPS = 1e-9
+#: Documents per shard, about; what moves to make shards are (doc_id, source, tokens).
+SHARD = 20_000
 
 
 @dataclass(frozen=True)
@@ -139,24 +142,23 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, ranks: str = RA
     sent = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def fly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, flights, base = TaskContext.get().partitionId(), {}, {}
+        flights: dict[tuple, Flight] = {}
+        base: dict[tuple, int] = {}
         for batch in batches:
             out: list[tuple] = []
-            for doc, source, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "tokens"))):
+            for shard, doc, source, size in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "source", "tokens"))):
                 for t in sent.value.get(source, ()):
                     if t.chance < _EPS:
                         if t.copies:
                             out.append((t.mix, source, doc, size, t.copies, 0.0))
                         continue
-                    key = (t.mix, source)
+                    key = (t.mix, source, shard)
                     flight = flights.get(key)
                     if flight is None:
-                        flight, base[key] = flights.setdefault(key, Flight(f"{seed}|{t.mix}|{source}|{part}")), t.copies
+                        flight, base[key] = flights.setdefault(key, Flight(f"{seed}|{t.mix}|{source}|{shard}")), t.copies
                     out.extend((t.mix, source, d, s, t.copies + int(x), 0.0) for d, s, x in flight.add(doc, size, t.chance) if t.copies + x)
             yield from _emit(out)
-        rest = [(m, s, d, size, base[m, s], chance) for (m, s), f in flights.items() for d, size, chance in f.units]
+        rest = [(m, s, d, size, base[m, s, shard], chance) for (m, s, shard), f in flights.items() for d, size, chance in f.units]
         yield from _emit(rest)
 
     def land(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +173,9 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, ranks: str = RA
         for (m, s), (flight, copies) in flights.items():
             yield from _emit([(m, s, k, n, copies + int(x), 0.0) for k, n, x in flight.land() if copies + x])
 
-    flown = checkpointed(tokens.mapInArrow(fly, _SCHEMA))
+    shards = max(1, math.ceil(tokens.count() / SHARD))
+    placed = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "doc_id", "source", "tokens")
+    flown = checkpointed(placed.mapInArrow(fly, _SCHEMA))
     rest = flown.where("chance > 0").repartition("mix_name", "source").sortWithinPartitions("mix_name", "source", "doc_id", "tokens")
     chosen = flown.where("chance = 0").unionByName(rest.mapInArrow(land, _SCHEMA)).drop("chance")
     return chosen, plan

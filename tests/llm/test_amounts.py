@@ -32,6 +32,8 @@ def test_layout_copies(spark):
     df = problems(spark, rows)
     assert sorted(tuple(r) for r in layout_copies.layout_copies(df).collect()) == [("a", "c1", "c2"), ("a", "c4", "c5"), ("d", "w", "x")]
     assert sorted(tuple(r) for r in layout_copies.collapse(df).collect()) == [("a", "c1", 2), ("a", "c3", 1), ("a", "c4", 2), ("d", "w", 2)]
+    twice = problems(spark, [problem(1, "a", tests=[case("t", "1", "x"), case("u", "2", "x")]), problem(2, "a", tests=[case("t", "2", "x")])])
+    assert sorted(tuple(r) for r in layout_copies.collapse(twice).collect()) == [("a", "t", 1), ("a", "t", 2)]
     assert layout_copies.layout_copies(problems(spark, [])).count() == 0
 
 
@@ -48,6 +50,23 @@ def test_layout_copies_of_a_hot_problem(spark):
     assert found == {("hot", min(g), t) for g in want.values() for t in g if t != min(g)}
 
 
+def test_a_run_may_span_partitions(spark):
+    """A test case that holds a third of all rows is spread over partitions and still has one representative and an exact count."""
+    rng = random.Random(3)
+    rows = [problem(k, f"p{k % 50}" if k % 3 else "hot", tests=[case(f"t{k:05d}", "1 2" if k % 3 == 0 else str(rng.randrange(4)), "x")]) for k in range(3000)]
+    df = problems(spark, rows).repartition(5)
+    hot = sorted(r[9][0][0] for r in rows if r[1] == "hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {tuple(r) for r in layout_copies.layout_copies(df).where("problem_id = 'hot'").collect()} == {("hot", hot[0], t) for t in hot[1:]}
+        collapsed = [tuple(r) for r in layout_copies.collapse(df).collect()]
+        assert ("hot", hot[0], len(hot)) in collapsed and sum(r[2] for r in collapsed) == 3000
+        parts = layout_copies.sorted_runs(layout_copies.canonical_cases(df)).where("problem_id = 'hot'").selectExpr("spark_partition_id() AS p").distinct().count()
+        assert parts > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_layout_copies_equal_brute_force_on_a_whole_table(spark, small):
     groups = {}
     for r in spark.read.parquet(f"{small}/problems.parquet").collect():
@@ -136,7 +155,7 @@ def test_mix_reaches_shares(spark):
         total = sum(report["m", x].tokens for x in ("big", "mid", "small"))
         assert abs(row.tokens - row.target_share * total) <= 3 * largest
     assert report["n", "mid"].share_reached == 1.0 and report["n", "absent"].tokens == 0
-    again, _ = mixing.mix(docs, wanted)
+    again, _ = mixing.mix(docs.repartition(7), wanted)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, taken))
     assert mixing.mix(spark.createDataFrame([], DOCUMENTS), wanted)[0].count() == 0
     assert mixing.mix(docs, spark.createDataFrame([], TARGETS))[0].count() == 0
