@@ -15,7 +15,11 @@ Chunks that many records have would make the join quadratic, so two steps keep t
   (the order by frequency and digest is the same for all records), which is the bound the join applies.
 
 In a group of more than FREQUENT alike records all shared chunks are frequent, and what they are joined to may be
-an edit. Such pairs are also found by the group coordinates of `near_duplicates`, which don't depend on frequency.
+an edit. Each class is therefore also posted under the combinations of coordinates of `near_duplicates`, which don't
+depend on frequency; such a key has no length and makes a candidate by itself.
+
+A key whose parts occur in more than HOT records, as told by the sketches, is split into cells by a hash of the record:
+each side of it goes to as many cells as the other side has parts, so no task holds a hot key.
 """
 
 from __future__ import annotations
@@ -27,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import frequency_codes, mean_load, mix, occurrences, pack_counts, sketch_bits, slices, slots, words_of
-from .near_duplicates import SIMILARITY, class_members, group_candidates, group_pairs, shingle_frequencies
-from .records import SHINGLE, batch_texts, class_ids, digests, problem_records, similar
+from .hashing import mean_load, mix, occurrences, shingles_of, sketch_bits, slices, slots, words_of
+from .near_duplicates import SIMILARITY, across, combined_keys, group_candidates, sequences_of
+from .records import SHINGLE, batch_texts, class_ids, counted_members, digests, problem_records, similar, unseen
 from .storage import checkpointed
 
 #: A cut follows a word with a chance of one in CUT.
 CUT, WINDOW = 3, 2
 FREQUENT = 128.0
+#: Combinations of coordinates under which a class is posted, besides its chunks.
+BANDS = 48
+#: Records that meet in one cell of a key, about.
+HOT = 4096
 #: A run of frequent chunks ends after a chunk with a chance of one in REST.
 REST = 16
 OVERLAP, SKIP = 0.14, 0.06
@@ -102,18 +110,8 @@ def posted(digest: np.ndarray, sizes: np.ndarray, text: np.ndarray, times: np.nd
     return keep
 
 
-def chunk_frequencies(records: DataFrame, bits: int) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.uint32)
-        for batch in batches:
-            texts = batch_texts(batch)
-            for i, j in slices(texts):
-                digest, _, _ = chunks(*words_of(texts[i:j]))
-                at, times = np.unique(slots(digest, bits), return_counts=True)
-                counts[at] += times.astype(np.uint32)
-        yield from pack_counts(counts)
-
-    return frequency_codes(records.select("prompt", "reference_code").mapInArrow(count, "block int, counts binary"), bits)
+def chunk_digests(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return chunks(words, counts)[0]
 
 
 def split_of(source_id: str = "source_id"):
@@ -126,40 +124,57 @@ def side():
     return F.when(split_of() == "train", TRAIN).when(split_of().isin("test", "valid"), HELD_OUT).otherwise(0)
 
 
-def posted_chunks(records: DataFrame, codes: np.ndarray) -> DataFrame:
-    """(chunk, id, side, words, size) of the posted chunks of each class of equal records on each side.
+def cells(keys: np.ndarray, ids: np.ndarray, sides: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell keys, which row): a key of up to HOT records is one cell; a hotter one has parts x parts of them.
 
-    words is the length of the record's distinct chunks: a repeated passage counts once, as in the similarity.
-    A task posts a class and side once, however many copies it reads.
+    A train record goes to all cells of its row, a held-out one to all cells of its column, so each two meet in one cell.
     """
-    bits = int(np.log2(len(codes)))
-    frequent = max(FREQUENT, 3 * mean_load(codes))
+    parts = np.maximum(np.ceil(times / HOT), 1).astype(np.int64)
+    row = np.repeat(np.arange(len(keys)), parts)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = (mix(ids.view(np.uint64)) >> _U(8)).astype(np.int64)[row] % parts[row]
+    at = np.where(sides[row] == TRAIN, own * parts[row] + k, k * parts[row] + own)
+    with np.errstate(over="ignore"):
+        return np.where(parts[row] > 1, mix(keys[row] + at.astype(np.uint64)), keys[row]), row
+
+
+def posted_chunks(records: DataFrame, chunk_codes: np.ndarray, codes: np.ndarray) -> DataFrame:
+    """(chunk, id, side, words, size) of the posted chunks of each class of equal records on each side, and of its combined coordinates.
+
+    words is the length of the record's distinct chunks: a repeated passage counts once, as in the similarity. A combination has the
+    size of 0. A task posts a class and side once, however many copies it reads.
+    """
+    chunk_bits, bits = int(np.log2(len(chunk_codes))), int(np.log2(len(codes)))
+    frequent = max(FREQUENT, 3 * mean_load(chunk_codes))
     table = occurrences(np.arange(256, dtype=np.uint8))
-    sent = records.sparkSession.sparkContext.broadcast(codes)  # 16 MB at most, by construction
+    sent = records.sparkSession.sparkContext.broadcast((chunk_codes, codes))  # 32 MB at most, by construction
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        chunk_codes, codes = sent.value
         for batch in batches:
             texts, sides = batch_texts(batch), batch.column("side").to_numpy(zero_copy_only=False)
             for i, j in slices(texts):
                 words, counts = words_of(texts[i:j])
                 ids = class_ids(digests(words, counts))
-                new = np.zeros(j - i, dtype=bool)
-                for k, at in enumerate(zip(ids.tolist(), sides[i:j].tolist())):
-                    if counts[k] >= SHINGLE and at not in seen:
-                        seen.add(at)
-                        new[k] = True
-                if len(seen) > 500_000:
-                    seen.clear()
+                new = unseen(list(zip(ids.tolist(), sides[i:j].tolist())), counts, SHINGLE, seen)
                 if not new.any():
                     continue
-                digest, sizes, text = chunks(words[np.repeat(new, counts)], counts[new])
-                digest, sizes, text, times = join_frequent(digest, sizes, text, table[sent.value[slots(digest, bits)]], frequent)
+                words, counts, ids, side = words[np.repeat(new, counts)], counts[new], ids[new], sides[i:j][new].astype(np.int8)
+                digest, sizes, text = chunks(words, counts)
+                digest, sizes, text, times = join_frequent(digest, sizes, text, table[chunk_codes[slots(digest, chunk_bits)]], frequent)
                 digest, sizes, text, times = once(digest, sizes, text, times)
-                total = np.bincount(text, weights=sizes, minlength=int(new.sum())).astype(np.int64)
+                total = np.bincount(text, weights=sizes, minlength=len(counts)).astype(np.int64)
                 keep = posted(digest, sizes, text, times, total, frequent, SKIP)
-                text = text[keep]
-                columns = [digest[keep].view(np.int64), ids[new][text], sides[i:j][new][text].astype(np.int8), total[text].astype(np.int32), sizes[keep].astype(np.int32)]
+                h, n = shingles_of(words, counts, SHINGLE)
+                found = codes[slots(h, bits)]
+                combined, some = combined_keys(h, n, found, BANDS)
+                own = np.repeat(np.flatnonzero(some), BANDS)
+                keys, of = np.concatenate((digest[keep], combined.ravel())), np.concatenate((text[keep], own))
+                size, times = np.concatenate((sizes[keep], np.zeros(len(own), dtype=np.int64))), np.concatenate((times[keep], np.ones(len(own))))
+                keys, row = cells(keys, ids[of], side[of], times)
+                of, size = of[row], size[row]
+                columns = [keys.view(np.int64), ids[of], side[of], total[of].astype(np.int32), size.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "id", "side", "words", "size"])
 
     rows = records.select(side().alias("side"), "prompt", "reference_code").where("side <> 0")
@@ -167,18 +182,16 @@ def posted_chunks(records: DataFrame, codes: np.ndarray) -> DataFrame:
 
 
 def overlaps(chunks: DataFrame, at_least: float = OVERLAP) -> DataFrame:
-    """(a, b, shared) of a class in train and one held out; shared: fraction of the longer record's distinct chunks in shared posted chunks."""
+    """(a, b, shared) of a class in train and one held out; shared: fraction of the longer record's distinct chunks in shared posted chunks.
+
+    Pairs that share a combination of coordinates come out whatever their fraction is.
+    """
     one = chunks.groupBy("chunk", "id", "side").agg(F.max("words").alias("words"), F.max("size").alias("size"))
     a = one.where(f"side = {TRAIN}").select("chunk", F.col("id").alias("a"), F.col("words").alias("wa"), F.col("size").alias("sa"))
     b = one.where(f"side = {HELD_OUT}").select("chunk", F.col("id").alias("b"), F.col("words").alias("wb"), F.col("size").alias("sb"))
     joined = a.join(b, "chunk").where("a <> b")
     shared = (F.sum(F.least("sa", "sb")) / F.max(F.greatest("wa", "wb"))).alias("shared")
-    return joined.groupBy("a", "b").agg(shared).where(F.col("shared") >= at_least - SKIP)
-
-
-def sides(records: DataFrame) -> DataFrame:
-    """(problem_id, side) of the delivery that counts."""
-    return records.groupBy("problem_id").agg(F.min_by(side(), "pos").alias("side")).where("side <> 0")
+    return joined.groupBy("a", "b").agg(shared, F.min("sa").alias("least")).where((F.col("shared") >= at_least - SKIP) | (F.col("least") == 0)).drop("least")
 
 
 def across_splits(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -188,29 +201,60 @@ def across_splits(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return joined.where(f"x | y = {TRAIN | HELD_OUT}").select("a", "b")
 
 
-def cross_split_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """Pairs of different problem_ids, one in split train, one in test or valid, with a similarity of at_least or more.
+def class_overlaps(problems: DataFrame, at_least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, similarity, shared) of classes across the splits, and (problem_id, source_id, id, side) of records in a split.
 
-    A source_id without a colon, or null, is in no split. Empty tables give no pairs; see `records` for
-    nulls, repeated deliveries and short texts. Columns: problem_id_a, problem_id_b (a < b).
+    shared is the fraction in shared posted chunks, null for pairs that a group implied.
     """
     records = problem_records(problems)
     rows = records.count()
-    codes = chunk_frequencies(records, sketch_bits(rows, 64))
-    members = class_members(records.where(side() != 0)).join(sides(records), "problem_id")
-    members = checkpointed(members)
-    found = overlaps(posted_chunks(records, codes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    grouped = group_pairs(records.where(side() != 0), shingle_frequencies(records, sketch_bits(rows)))
-    pairs = checkpointed(similar(records, members, found.unionByName(grouped).distinct(), at_least))
-    more = checkpointed(across_splits(group_candidates(pairs), members))  # pairs inside a split lead to some
+    (chunk_codes, codes), members = counted_members(records, [(sketch_bits(rows, 64), chunk_digests), (sketch_bits(rows), sequences_of)])
+    members = checkpointed(members.withColumn("side", side()).where("side <> 0"))
+    found = overlaps(posted_chunks(records, chunk_codes, codes)).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("shared").alias("shared"))
+    found = checkpointed(found)
+    pairs = checkpointed(similar(records, members, found.select("a", "b"), at_least))
+    more = checkpointed(across_splits(group_candidates(pairs, sided=True), members))
     if not more.isEmpty():
         pairs = pairs.unionByName(similar(records, members, more, at_least))
-    left = members.where(F.col("side") == TRAIN).select(F.col("id").alias("a"), F.col("problem_id").alias("p"))
-    right = members.where(F.col("side") == HELD_OUT).select(F.col("id").alias("b"), F.col("problem_id").alias("q"))
+    return checkpointed(pairs.join(found, ["a", "b"], "left")), members
+
+
+def cross_split_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
+    """Pairs of different problem_ids, one in split train, one in test or valid, with a similarity of at_least or more.
+
+    A source_id without a colon, or null, is in no split. Empty tables give no pairs; see `records` for
+    nulls, repeated deliveries and short texts. Columns: problem_id_a, problem_id_b (a < b).
+    """
+    pairs, members = class_overlaps(problems, at_least)
+    left, right = members.where(F.col("side") == TRAIN), members.where(F.col("side") == HELD_OUT)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = both.join(left, "a").join(right, "b").select("p", "q")
-    inside = left.join(right, F.col("a") == F.col("b")).select("p", "q")
-    return across.unionByName(inside).select(F.least("p", "q").alias("problem_id_a"), F.greatest("p", "q").alias("problem_id_b"))
+    same = left.select("id").distinct().join(right.select("id").distinct(), "id").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    found = across(both.unionByName(same), left, right)
+    return found.select(F.least("p", "q").alias("problem_id_a"), F.greatest("p", "q").alias("problem_id_b"))
+
+
+def cross_split_overlap(problems: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
+    """(problem_id, split, source, links, overlap, similarity) of every problem that stands, exactly or almost, across the splits.
+
+    links: problems of the other side that it overlaps with; overlap: the largest summed fraction of its chunks that one of them shares,
+    1.0 for a copy, null if only its group implied the pair; similarity: the largest exact one. One row per problem, however many
+    counterparts it has.
+    """
+    pairs, members = class_overlaps(problems, at_least)
+    count = lambda side: F.count_if(F.col("side") == side)
+    sizes = members.groupBy(F.col("id").alias("b")).agg(count(TRAIN).alias("train"), count(HELD_OUT).alias("held"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", "shared"))
+    same = sizes.where("train > 0 AND held > 0").select(F.col("b").alias("a"), "b", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("shared"))
+    met = both.unionByName(same).join(sizes, "b")
+
+    def against(other: str) -> DataFrame:
+        return met.where(F.col(other) > 0).groupBy(F.col("a").alias("id")).agg(F.sum(other).alias("links"), F.max("shared").alias("overlap"), F.max("similarity").alias("similarity"))
+
+    left = members.where(F.col("side") == TRAIN).join(against("held"), "id")
+    right = members.where(F.col("side") == HELD_OUT).join(against("train"), "id")
+    sources = problems.where("problem_id IS NOT NULL").groupBy("problem_id").agg(F.min_by(F.lower(F.trim("source")), F.coalesce("pos", F.lit(2**63 - 1))).alias("source"))
+    rows = left.unionByName(right).join(sources, "problem_id")
+    return rows.select("problem_id", split_of().alias("split"), "source", "links", F.round("overlap", 6).alias("overlap"), F.round("similarity", 6).alias("similarity"))
 
 
 def cross_split_report(problems: DataFrame, pairs: DataFrame) -> DataFrame:

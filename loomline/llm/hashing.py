@@ -112,29 +112,12 @@ def pack_counts(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(raw, dtype="<u4").astype(np.uint64)
-            sums[b] = sums[b] + part if b in sums else part
-    for b, total in sums.items():
-        code = np.where(total > 0, np.round(6 * np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([code.tobytes()], pa.binary())], names=["block", "codes"])
-
-
-def frequency_codes(counted: DataFrame, bits: int) -> np.ndarray:
-    """Sum per-task counters (block, counts) and bring the result to the driver.
-
-    A code c stands for about 2**((c - 1) / 6) occurrences, 0 for none. There are
-    2**bits one-byte codes, at most 16 MB, whatever the size of the corpus, so the
-    array that is collected and later broadcast has a proven bound.
+def frequency_code(total: np.ndarray) -> np.ndarray:
+    """One byte per counter: c stands for about 2**((c - 1) / 6) occurrences, 0 for none.
+
+    A sketch has 2**bits such bytes, at most 16 MB, whatever the size of the corpus, so it may be collected and broadcast.
     """
-    codes = np.zeros(1 << bits, dtype=np.uint8)
-    summed = counted.repartition("block").mapInArrow(_sum_blocks, "block int, codes binary")
-    for row in summed.collect():
-        codes[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.codes, dtype=np.uint8)
-    return codes
+    return np.where(total > 0, np.round(6 * np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
 
 
 def occurrences(codes: np.ndarray) -> np.ndarray:

@@ -5,23 +5,23 @@ three-word sequences. Records are posted under each (coordinate, value) pair; re
 list collide, collisions are counted per pair, and pairs with MATCHES collisions or more are retained. An
 exact comparison of the sets of three-word sequences follows.
 
-Postings stay short without any cap, by two means:
+Postings stay short without any cap, by three means:
 
+* A sequence that occurs once in the corpus can't be shared and is no coordinate.
 * Coordinates are weighted. A sequence that occurs more often than `common` times in the corpus (as told by
   a sketch of fixed size) is chosen with a chance that falls with the square of its frequency, the same way
-  in every record. So a phrase that stands in a third of all records is hardly ever a coordinate, and the
-  expected number of chance collisions of a record does not grow with the corpus.
+  in every record. So a phrase that stands in a third of all records is hardly ever a coordinate.
 * Records with the same words are one class; only its representative is posted.
 
-What a big group of alike records shares is frequent too, and weighted away. So each class is posted a second
-time, under BANDS triples of unweighted coordinates over its sequences less the third (DROP) that is most
+What a big group of alike records shares is frequent too, and weighted away. So each class is also posted under
+BANDS combinations of ROWS unweighted coordinates, taken over its sequences less the third (DROP) that is most
 frequent in the corpus and those that occur once. All records rank sequences alike, so two of the same length n
 that share 2/3 n sequences (similarity 0.5) share 1/3 n or more of n kept ones, whatever the frequencies are.
-One triple in common makes a pair a candidate, SURE single coordinates confirm it (`group_pairs`).
+A collision of a combination weighs MATCHES: one makes a pair a candidate.
 
-A list longer than LONG (a cluster of records that are alike, but not the same) is compared in blocks of BLOCK
-ids by counting the keys they share (`long_pairs`). No list is dropped. Pairs that a group implies but the
-signatures miss are compared in a second round (`group_candidates`).
+A list longer than LONG (a cluster of records that are alike, but not the same) streams through the merge and is
+compared in blocks of BLOCK ids by counting the keys they share (`long_pairs`). No list is dropped. Pairs that a
+group implies but the signatures miss are compared in a second round (`group_candidates`).
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import frequency_codes, list_array, mean_load, mix, occurrences, pack_counts, shingles_of, sketch_bits, slices, slots, starts_of, words_of
-from .records import SHINGLE, batch_texts, class_ids, digests, one_per_problem, problem_records, similar
+from .blocks import pairs_across_blocks, pairs_in_blocks
+from .hashing import mean_load, mix, occurrences, shingles_of, sketch_bits, slices, slots, starts_of, words_of
+from .records import SHINGLE, batch_texts, class_ids, counted_members, digests, problem_records, similar, unseen
 from .storage import checkpointed
 
 COORDINATES = 48
@@ -46,33 +47,21 @@ LONG = 256
 BLOCK = 2048
 #: Share of a record's distinct sequences, the most frequent ones, that group coordinates leave out.
 DROP = 1 / 3
-#: BANDS triples: each coordinate is in three of them.
-BANDS, SURE = 48, 10
+#: BANDS combinations of ROWS coordinates: each coordinate is in five of them.
+BANDS, ROWS = 60, 4
 SIMILARITY = 0.5
 
 _U = np.uint64
 _ROUND = np.random.default_rng(20240817).integers(1, 2**62, size=256, dtype=np.uint64) * _U(2) + _U(1)
-_TRIPLES = np.concatenate([np.random.default_rng(7 + k).permutation(COORDINATES).reshape(-1, 3) for k in range(BANDS * 3 // COORDINATES)])
+_COMBINED = np.concatenate([np.random.default_rng(7 + k).permutation(COORDINATES).reshape(-1, ROWS) for k in range(BANDS * ROWS // COORDINATES)])
 
 
-def shingle_frequencies(records: DataFrame, bits: int, n: int = SHINGLE) -> np.ndarray:
-    """Occurrences of all n-word sequences of all records, as a sketch of 2**bits one-byte codes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.uint32)
-        for batch in batches:
-            texts = batch_texts(batch)
-            for i, j in slices(texts):
-                h, _ = shingles_of(*words_of(texts[i:j]), n)
-                at, times = np.unique(slots(h, bits), return_counts=True)
-                counts[at] += times.astype(np.uint32)
-        yield from pack_counts(counts)
-
-    return frequency_codes(records.select("prompt", "reference_code").mapInArrow(count, "block int, counts binary"), bits)
+def sequences_of(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return shingles_of(words, counts, SHINGLE)[0]
 
 
 def signatures(h: np.ndarray, sizes: np.ndarray, penalty: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
-    """Weighted min-hash: posting keys, one row per text with sequences, one column per coordinate."""
+    """Weighted min-hash: even posting keys, one row per text with sequences, one column per coordinate."""
     starts = starts_of(sizes[sizes > 0])
     keys = np.empty((len(starts), coordinates), dtype=np.uint64)
     low = h >> _U(32)
@@ -82,7 +71,7 @@ def signatures(h: np.ndarray, sizes: np.ndarray, penalty: np.ndarray, coordinate
             rank *= penalty
             first = np.minimum.reduceat((rank.view(np.uint32).astype(np.uint64) << _U(32)) | low, starts)
             keys[:, k] = mix(first * _U(2 * k + 1) + _U(k))
-    return keys
+    return keys & ~_U(1)
 
 
 def shared_sequences(h: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,64 +88,38 @@ def shared_sequences(h: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tup
     return h[keep], np.bincount(doc[keep], minlength=len(sizes))
 
 
-def group_postings(records: DataFrame, codes: np.ndarray, n: int = SHINGLE) -> DataFrame:
-    """(id, keys, signature) of each class: its posting keys under triples of group coordinates, and 8 bits of each coordinate."""
-    bits = int(np.log2(len(codes)))
-    sent = records.sparkSession.sparkContext.broadcast(codes)  # 16 MB at most, by construction
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            texts = batch_texts(batch)
-            for i, j in slices(texts):
-                words, counts = words_of(texts[i:j])
-                ids = class_ids(digests(words, counts))
-                new = np.zeros(j - i, dtype=bool)
-                for k, x in enumerate(ids.tolist()):
-                    if counts[k] >= n and x not in seen:
-                        seen.add(x)
-                        new[k] = True
-                if len(seen) > 500_000:
-                    seen.clear()
-                if not new.any():
-                    continue
-                h, sizes = shingles_of(words[np.repeat(new, counts)], counts[new], n)
-                h, sizes = shared_sequences(h, sizes, sent.value[slots(h, bits)])
-                if not len(h):
-                    continue
-                single = signatures(h, sizes, np.ones(len(h), dtype=np.float32))
-                with np.errstate(over="ignore"):
-                    keys = mix(single[:, _TRIPLES[:, 0]] + mix(single[:, _TRIPLES[:, 1]] + mix(single[:, _TRIPLES[:, 2]])))
-                low = single.astype(np.uint8)
-                columns = [pa.array(ids[new][sizes > 0]), list_array(keys.ravel().view(np.int64), np.full(len(keys), keys.shape[1])), pa.array([x.tobytes() for x in low], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "keys", "signature"])
-
-    return records.select("prompt", "reference_code").mapInArrow(post, "id long, keys array<long>, signature binary")
+def combined_keys(h: np.ndarray, sizes: np.ndarray, codes: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """(odd posting keys under combinations of unweighted coordinates, which texts have them)."""
+    h, sizes = shared_sequences(h, sizes, codes)
+    if not len(h):
+        return np.zeros((0, bands), dtype=np.uint64), sizes > 0
+    single = signatures(h, sizes, np.ones(len(h), dtype=np.float32))
+    keys = np.zeros((len(single), bands), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ROWS):
+            keys = mix(keys + single[:, _COMBINED[:bands, k]])
+    return keys | _U(1), sizes > 0
 
 
-def group_pairs(records: DataFrame, codes: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of classes that share a triple of group coordinates and SURE single ones."""
+def single_keys(h: np.ndarray, sizes: np.ndarray, codes: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(even posting keys under weighted coordinates, which texts have them); sequences that occur once are no coordinate."""
+    keep = codes > 1
+    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+    return signatures(h[keep], sizes, penalty[codes[keep]]), sizes > 0
 
-    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES) for c in ("x", "y"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= SURE))
 
-    posted = checkpointed(group_postings(records, codes))
-    pairs = candidate_pairs(posted.select(F.explode("keys").alias("key"), "id"), 1)
-    one = posted.select("id", "signature").dropDuplicates(["id"])
-    joined = pairs.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(sure, "a long, b long")
+def penalties(codes: np.ndarray) -> np.ndarray:
+    """What each frequency code costs in the choice of coordinates."""
+    common = max(COMMON, 1.5 * mean_load(codes))
+    return np.maximum((occurrences(np.arange(256, dtype=np.uint8)) / common) ** 2, 1).astype(np.float32)
 
 
-def postings(records: DataFrame, codes: np.ndarray, n: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
-    """(key, id): the posting of each class of equal records under each of its coordinate-value pairs.
+def postings(records: DataFrame, codes: np.ndarray, n: int = SHINGLE) -> DataFrame:
+    """(key, id): the posting of each class of equal records under its coordinates (even keys) and combinations of coordinates (odd keys).
 
     A task posts a class once; copies of a class in several tasks are dropped when the lists are merged.
     """
-    bits = int(np.log2(len(codes)))
-    common = max(COMMON, 1.5 * mean_load(codes))
-    table = np.maximum((occurrences(np.arange(256, dtype=np.uint8)) / common) ** 2, 1).astype(np.float32)
+    bits, table = int(np.log2(len(codes))), penalties(codes)
     sent = records.sparkSession.sparkContext.broadcast(codes)  # 16 MB at most, by construction
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,77 +129,79 @@ def postings(records: DataFrame, codes: np.ndarray, n: int = SHINGLE, coordinate
             for i, j in slices(texts):
                 words, counts = words_of(texts[i:j])
                 ids = class_ids(digests(words, counts))
-                new = np.zeros(j - i, dtype=bool)
-                for k, x in enumerate(ids.tolist()):
-                    if counts[k] >= n and x not in seen:
-                        seen.add(x)
-                        new[k] = True
-                if len(seen) > 500_000:
-                    seen.clear()
+                new = unseen(ids, counts, n, seen)
                 if not new.any():
                     continue
+                ids = ids[new]
                 h, sizes = shingles_of(words[np.repeat(new, counts)], counts[new], n)
-                keys = signatures(h, sizes, table[sent.value[slots(h, bits)]], coordinates)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[new], coordinates))], names=["key", "id"])
+                found = sent.value[slots(h, bits)]
+                for keys, some in (single_keys(h, sizes, found, table), combined_keys(h, sizes, found)):
+                    if len(keys):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[some], keys.shape[1]))], names=["key", "id"])
 
     return records.select("prompt", "reference_code").mapInArrow(post, "key long, id long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted (key, id) batches as (keys, ids, edges) of whole runs, each id once per run.
+def _runs(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Sorted (key, id) batches as (keys, ids, False) of whole lists of up to `long` ids, each id once, and (keys, ids, True) of longer ones.
 
-    The open run is carried over, so memory is that of a batch and one list of ids.
+    A list that grows longer than `long` comes out in parts, so memory is that of a batch and `long` ids.
     """
-    keys, ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    held, size = [], 0
+    keys, ids, hot = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
     for batch in batches:
-        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
-        size += len(held[-1][0])
-        if held[-1][0][-1] == held[0][0][0]:
-            continue  # still one run
-        keys, ids = (np.concatenate(x) for x in zip(*held))
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        last = int(np.searchsorted(keys, keys[-1]))
-        held, size = [(keys[last:], ids[last:])], len(keys) - last
-        keys, ids = keys[:last][new[:last]], ids[:last][new[:last]]
-        yield keys, ids, np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)]))
-    if held:
-        keys, ids = (np.concatenate(x) for x in zip(*held))
+        keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
+        ids = np.concatenate((ids, batch.column(1).to_numpy(zero_copy_only=False)))
+        if not len(keys):
+            continue
         new = np.ones(len(keys), dtype=bool)
         new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
         keys, ids = keys[new], ids[new]
-        yield keys, ids, np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)]))
-
-
-def _pairs_of(ids: np.ndarray, edges: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        last = int(np.searchsorted(keys, keys[-1]))
+        yield from _sorted_out(keys[:last], ids[:last], long, hot)
+        keys, ids = keys[last:], ids[last:]
+        if len(keys) > long or keys[0] == hot:
+            hot = keys[0]
+            yield keys, ids, True
+            keys, ids = keys[:0], ids[:0]
+    yield from _sorted_out(keys, ids, long, hot)
+
+
+def _sorted_out(keys: np.ndarray, ids: np.ndarray, long: int, hot: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    if not len(keys):
+        return
+    edges = np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)]))
     sizes = np.diff(edges)
-    a, b = [], []
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= most)]):
+    skipped = np.repeat(sizes > long, sizes)
+    if hot is not None:
+        skipped |= keys == hot
+    for part, is_long in ((~skipped, False), (skipped, True)):
+        if part.any():
+            yield keys[part], ids[part], is_long
+
+
+def _pairs_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, collisions) of the ids of each list; a combination counts MATCHES."""
+    edges = np.concatenate((np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), [len(keys)]))
+    sizes, weight = np.diff(edges), np.where(keys[edges[:-1]] & 1, MATCHES, 1).astype(np.int32)
+    a, b, m = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+    for size in np.unique(sizes[sizes > 1]):
         members = ids[edges[:-1][sizes == size][:, None] + np.arange(size)]
         x, y = np.triu_indices(size, 1)
         a.append(members[:, x].ravel())
         b.append(members[:, y].ravel())
-    if not a:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(a), np.concatenate(b)
+        m.append(np.repeat(weight[sizes == size], len(x)))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(m)
 
 
 def merge_skip(lists: DataFrame, long: int = LONG) -> DataFrame:
-    """Collisions from posting lists (key, id): (a, b, 1) of two ids, a < b, or (id, key, -1) of a long list.
+    """Collisions from posting lists (key, id): (a, b, m) of two ids, a < b, or (id, key, -1) of a long list.
 
     Lists of up to `long` ids are merged; the ids of longer ones come out with the list's key.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, edges in _runs(batches, long):
-            a, b = _pairs_of(ids, edges, long)
-            m = np.ones(len(a), dtype=np.int32)
-            sizes = np.diff(edges)
-            if (sizes > long).any():
-                skipped = np.repeat(sizes > long, sizes)
-                a, b = np.concatenate((a, ids[skipped])), np.concatenate((b, keys[skipped]))
-                m = np.concatenate((m, np.full(int(skipped.sum()), -1, dtype=np.int32)))
+        for keys, ids, is_long in _runs(batches, long):
+            a, b, m = (ids, keys, np.full(len(ids), -1, dtype=np.int32)) if is_long else _pairs_of(keys, ids)
             for i in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (a, b, m)], names=["a", "b", "m"])
 
@@ -262,17 +227,14 @@ def _shared(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def long_pairs(lists: DataFrame, hot: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b) of ids that share a long list, rows (id, key) of hot, and `matches` keys in all.
+    """Pairs (a, b) of ids that share a long list, rows (id, key) of hot, and `matches` collisions in all.
 
     A list is cut into blocks of about BLOCK ids, and each two blocks are compared at once. A pair comes out of the
     first of the long lists that it shares only.
     """
     sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     every = hot.groupBy("id").agg(F.collect_set("key").alias("hot"))
-    if matches > 1:
-        every = every.join(lists.join(hot.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
-    else:
-        every = every.withColumn("keys", F.expr("array()").cast("array<long>"))
+    every = every.join(lists.join(hot.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     rows = hot.join(sizes, "key").join(every, "id").withColumn("s", F.expr("pmod(xxhash64(id), blocks)"))
     rows = rows.withColumn("t", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "id", "s", "keys", "hot")
 
@@ -291,8 +253,9 @@ def long_pairs(lists: DataFrame, hot: DataFrame, matches: int) -> DataFrame:
         good = np.triu(_shared(keys[keys < key], at[keys < key], n) == 0, 1)
         if i != j:
             good &= s[:, None] != s
-        if matches > 1:
-            good &= _shared(*flat(table.column("keys")), n) >= matches
+        keys, at = flat(table.column("keys"))
+        odd = keys & 1 == 1
+        good &= _shared(keys[~odd], at[~odd], n) + MATCHES * _shared(keys[odd], at[odd], n) >= matches
         x, y = np.nonzero(good)
         return pa.table({"a": ids[x], "b": ids[y]})
 
@@ -300,7 +263,7 @@ def long_pairs(lists: DataFrame, hot: DataFrame, matches: int) -> DataFrame:
 
 
 def candidate_pairs(lists: DataFrame, matches: int = MATCHES, long: int = LONG) -> DataFrame:
-    """Pairs (a, b) of classes that share `matches` posting keys or more.
+    """Pairs (a, b) of classes with `matches` collisions or more; an odd key is a combination and counts MATCHES.
 
     Those that short lists don't show come from `long_pairs`.
     """
@@ -312,57 +275,110 @@ def candidate_pairs(lists: DataFrame, matches: int = MATCHES, long: int = LONG)
     return short.unionByName(long_pairs(lists, hot, matches)).distinct()
 
 
-def class_members(records: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(problem_id, pos, id) of the delivery of each problem that counts and has n words or more."""
+def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes, and pairs inside a class, as ordered pairs of problem_ids, from blocks of bounded size (see `blocks`)."""
+    inside = pairs_in_blocks(members, "id", ["problem_id"]).select(F.col("a.problem_id").alias("p"), F.col("b.problem_id").alias("q"))
+    return across(pairs, members, members).unionByName(inside).select(F.least("p", "q").alias("problem_id_a"), F.greatest("p", "q").alias("problem_id_b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch_texts(batch)
-            for i, j in slices(texts):
-                words, counts = words_of(texts[i:j])
-                ids = digests(words, counts)
-                columns = [batch.column(c).slice(i, j - i) for c in ("pos", "problem_id")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(class_ids(ids)), pa.array(counts >= n)], names=["pos", "problem_id", "digest", "id", "some"])
 
-    rows = records.select("pos", "problem_id", "prompt", "reference_code").mapInArrow(run, "pos long, problem_id string, digest binary, id long, some boolean")
-    return one_per_problem(rows, "digest", "id", "some").where("some").select("problem_id", "pos", "id")
+def across(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(p, q): problem_ids of the members of class a in left and of class b in right.
+
+    Classes of one member on either side, nearly all of them, are joined as they are; the pairs of others go through blocks.
+    """
+    pairs = pairs.select("a", "b")
+    sizes = [t.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("problem_id").alias("one")) for t in (left, right)]
+    known = pairs.join(sizes[0].toDF("a", "na", "p"), "a").join(sizes[1].toDF("b", "nb", "q"), "b")
+    single = known.where("na = 1 AND nb = 1").select("p", "q")
+    several = known.where("na > 1 OR nb > 1").select("a", "b", F.xxhash64("a", "b").alias("pair"))
+    sides = [pairs_across_blocks(several.select(F.col(c).alias("id"), "pair", "a", "b"), t, "id", ["pair", "a", "b"], ["problem_id"]).select("a.pair", "a.a", "a.b", "b.problem_id") for c, t in (("a", left), ("b", right))]
+    met = pairs_across_blocks(*sides, "pair", ["a", "b", "problem_id"]).where("a.a = b.a AND a.b = b.b")
+    return single.unionByName(met.select(F.col("a.problem_id").alias("p"), F.col("b.problem_id").alias("q")))
 
 
-def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes, and pairs inside a class, as ordered pairs of problem_ids."""
-    left = members.select(F.col("id").alias("a"), F.col("problem_id").alias("p"))
-    right = members.select(F.col("id").alias("b"), F.col("problem_id").alias("q"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b").select("p", "q")
-    inside = left.join(right, F.col("a") == F.col("b")).where("p < q").select("p", "q")
-    return across.unionByName(inside).select(F.least("p", "q").alias("problem_id_a"), F.greatest("p", "q").alias("problem_id_b"))
+def partners(both: DataFrame, *more: int) -> DataFrame:
+    """(x, z): of each x its smallest and largest y and, for each of the numbers, the two at the ends of an order by hash."""
+    orders = [F.xxhash64("y", F.lit(k)) for k in more]
+    chosen = [F.min("y"), F.max("y"), *(f("y", o) for o in orders for f in (F.min_by, F.max_by))]
+    return both.groupBy("x").agg(F.array(*chosen).alias("z")).select("x", F.explode(F.array_distinct("z")).alias("z"))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
 
 
-def group_candidates(pairs: DataFrame) -> DataFrame:
-    """(a, b) not among the pairs that have a near duplicate in common: every record with those of four of its partners.
+def group_candidates(pairs: DataFrame, sided: bool = False) -> DataFrame:
+    """(a, b) not among the pairs that have a near duplicate in common: every record with those of eight of its partners.
 
-    A pair whose signatures happen to match too little is found through its group. For a group of n records there are at most
-    4 * n * n such pairs, as many as the group itself may have.
+    A pair whose signatures happen to match too little is found through its group. For a group of n records there are at most 8 * n * n
+    such pairs, as many as the group itself may have. sided: pairs only lead from one side to the other, so a record goes to partners of
+    its partners, which are on its own side, and takes the near duplicates of up to twelve of those.
     """
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    by = F.xxhash64("y")
-    least = both.groupBy("x").agg(F.array(F.min("y"), F.max("y"), F.min_by("y", by), F.max_by("y", by)).alias("z")).select("x", F.explode(F.array_distinct("z")).alias("z"))
-    joined = least.join(both.select(F.col("x").alias("z"), "y"), "z").where("x <> y")
-    found = joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = both_ways(pairs)
+    if sided:
+        steps = [partners(both, 0), partners(both, 1)]
+        hops = steps[0].join(steps[1].toDF("z", "w"), "z").where("x <> w").select("x", F.col("w").alias("y")).distinct()
+        least = partners(hops, *range(5))
+    else:
+        least = partners(both, 0, 1, 2)
+    joined = pairs_across_blocks(least, both.select(F.col("x").alias("z"), F.col("y").alias("x")), "z", ["x"]).where("a.x <> b.x")
+    found = joined.select(F.least("a.x", "b.x").alias("a"), F.greatest("a.x", "b.x").alias("b")).distinct()
     return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def class_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, similarity) of classes of equal records, and (problem_id, row, source_id, id) of their members."""
+    records = problem_records(problems)
+    (codes,), members = counted_members(records, [(sketch_bits(records.count()), sequences_of)])
+    members = checkpointed(members)
+    pairs = checkpointed(similar(records, members, candidate_pairs(postings(records, codes)), at_least))
+    more = checkpointed(group_candidates(pairs))
+    if not more.isEmpty():
+        pairs = checkpointed(pairs.unionByName(similar(records, members, more, at_least)))
+    return pairs, members
+
+
 def near_duplicate_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """Every pair of different problem_ids whose records have a similarity of at_least or more.
 
     Empty tables give no pairs; ties (a similarity of exactly at_least) count; see `records` for nulls,
     repeated deliveries and short texts.
     """
-    records = problem_records(problems)
-    codes = shingle_frequencies(records, sketch_bits(records.count()))
-    members = checkpointed(class_members(records))
-    found = candidate_pairs(postings(records, codes)).unionByName(group_pairs(records, codes)).distinct()
-    pairs = checkpointed(similar(records, members, found, at_least))
-    more = checkpointed(group_candidates(pairs))
-    if not more.isEmpty():
-        pairs = pairs.unionByName(similar(records, members, more, at_least))
-    return expand(pairs, members)
+    return expand(*class_pairs(problems, at_least))
+
+
+def near_duplicate_classes(problems: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
+    """(problem_id, class_id, copies, links, group_id) of every problem that has a copy or a near duplicate.
+
+    class_id: smallest problem_id with the same words; copies: problems with the same words, itself included; links: near duplicates with
+    other words; group_id: smallest class_id that can be reached over near duplicates. One row per problem, however large its group is.
+    """
+    pairs, members = class_pairs(problems, at_least)
+    sizes = checkpointed(members.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min("problem_id").alias("class_id")))
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    links = both.join(sizes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("links"))
+    joined = sizes.join(links, "id", "left").where("copies > 1 OR links > 0").join(components(pairs), "id", "left")
+    named = joined.select("id", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
+    groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    return members.select("problem_id", "id").join(named.join(groups, "root"), "id").select("problem_id", "class_id", "copies", "links", "group_id")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, root) of all ids of the pairs: the smallest id that can be reached.
+
+    Alternating stars: every id is linked to the smallest of its larger, then of its smaller neighbours, until nothing changes; the number
+    of rounds grows with the logarithm of a component's size. An id with many neighbours is one row per neighbour, never a list.
+    """
+    edges = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        met = large.join(low, "u")
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = checkpointed(small)
+        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+            break
+        edges = small
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

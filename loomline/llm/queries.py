@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .canonical_text import canonical_documents, look_alike_classes, look_alike_pairs
-from .cross_split import cross_split_pairs, cross_split_report
+from .cross_split import cross_split_overlap, cross_split_pairs, cross_split_report
 from .defects import defects
 from .layout_copies import collapse, layout_copies
 from .leaks import leaked, paraphrases
 from .mixing import mix, mixing_report
-from .near_duplicates import near_duplicate_pairs
+from .near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from .oracles import ORACLES
 from .tokens import token_cube, token_update
 from .truncation import truncated, truncation_report
@@ -31,6 +31,10 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split_report(problems, cross_split_pairs(problems))
 
 
+def p1_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_split_overlap(table(spark, folder, "problems"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncated(table(spark, folder, "reasoning"))
 
@@ -51,6 +55,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, folder, "problems"))
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, folder, "problems"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return defects(table(spark, folder, "problems"), table(spark, folder, "reasoning"))
 
@@ -93,7 +101,7 @@ def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_report, p2_found, p2_report, p3_tokens, p3_update, p4_found, p5_found, p6_found, p6_collapsed,
+        p1_found, p1_report, p1_overlap, p2_found, p2_report, p3_tokens, p3_update, p4_found, p4_classes, p5_found, p6_found, p6_collapsed,
         p7_found, p7_paraphrases, p8_mix, p8_report, p9_found, p9_classes, p9_canonical,
     )
     return {query.__name__: query for query in every}

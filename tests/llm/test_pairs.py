@@ -86,7 +86,7 @@ def test_long_lists_lose_nothing(spark):
         for k in range(9):
             keys = base[cluster].copy()
             keys[rng.integers(0, 12, size=rng.integers(0, 7))] = rng.integers(10**9, 2 * 10**9, size=1)
-            rows += [(int(x), cluster * 100 + k) for x in keys]
+            rows += [(2 * int(x), cluster * 100 + k) for x in keys]
     lists = spark.createDataFrame(rows, "key long, id long")
     by = {}
     for key, i in rows:
@@ -108,6 +108,7 @@ def test_weighted_signatures_estimate_similarity():
     shared, a, b = (rng.integers(0, 2**63, size=n, dtype=np.uint64) for n in (300, 100, 100))
     h = np.concatenate([shared, a, shared, b])
     keys = near_duplicates.signatures(h, np.array([400, 400]), np.ones(800, dtype=np.float32), 256)
+    assert not (keys & np.uint64(1)).any()
     assert abs((keys[0] == keys[1]).mean() - 0.6) < 0.1
 
 
@@ -137,8 +138,72 @@ def test_sketch_never_forgets_and_bitmap_holds_all(spark):
     packed = hashing.bitmap(ids)
     assert hashing.in_bitmap(np.arange(0, 5000, 7), packed).all()
     assert hashing.in_bitmap(np.arange(1, 5000, 7), packed).mean() < 0.01
-    codes = near_duplicates.shingle_frequencies(records.problem_records(problems(spark, [problem(i, f"p{i}", prompt="a b c d") for i in range(40)])), 16)
-    assert abs(hashing.occurrences(codes).max() - 40) < 8
+    df = problems(spark, [problem(i, f"p{i}", prompt=f"a b c d own{i}") for i in range(40)] + [problem(99, "copy", prompt="a b c d own3")])
+    (codes,), members = records.counted_members(records.problem_records(df), [(16, near_duplicates.sequences_of)])
+    assert abs(hashing.occurrences(codes).max() - 40) < 8 and members.count() == 41
+
+
+def test_null_positions_do_not_mix_records(spark):
+    """Records without a position, or of files that share positions, are compared by their own texts."""
+    rng = random.Random(31)
+    base, other = sentence(rng, 60), sentence(rng, 60)
+    rows = [problem(None, "a", "train:1", base, None), problem(None, "b", "test:2", edited(rng, base, 2), None), problem(None, "c", "test:3", other, None), problem(7, "d", "train:4", sentence(rng, 60), None)]
+    rows += [problem(7, "e", "test:5", sentence(rng, 60), None), problem(7, "f", "train:6", edited(rng, other, 2), None)]
+    found = {tuple(r) for r in near_duplicates.near_duplicate_pairs(problems(spark, rows)).collect()}
+    assert found == {("a", "b"), ("c", "f")} == {tuple(r) for r in cross_split.cross_split_pairs(problems(spark, rows)).collect()}
+
+
+def test_classes_and_links(spark, corpus):
+    """One row per problem with its class, copies, links and group, against the list of all pairs."""
+    pairs, words = truth(corpus)[0], {}
+    for r in sorted(corpus, key=lambda r: (r[0] is None, r[0])):
+        if r[1] is not None:
+            words.setdefault(r[1], tuple(f"{r[7] or ''} {r[8] or ''}".lower().replace(",", " ").replace("!", " ").split()))
+    near, group = {}, {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    def reach(x, seen):
+        for y in near[x] - seen:
+            seen.add(y)
+            reach(y, seen)
+        return seen
+    found = {r.problem_id: r for r in near_duplicates.near_duplicate_classes(problems(spark, corpus)).collect()}
+    assert set(found) == set(near)
+    for p, r in found.items():
+        copies = {q for q in near[p] if words[q] == words[p]} | {p}
+        assert (r.class_id, r.copies, r.links, r.group_id) == (min(copies), len(copies), len(near[p] - copies), min(reach(p, {p})))
+
+
+def test_overlap_per_record(spark, corpus):
+    across = truth(corpus)[1]
+    links = {}
+    for a, b in across:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    found = {r.problem_id: r for r in cross_split.cross_split_overlap(problems(spark, corpus)).collect()}
+    assert {p: r.links for p, r in found.items()} == links
+    assert all(r.similarity >= 0.5 and (r.overlap is None or 0 < r.overlap <= 1) and r.split in ("train", "test", "valid") for r in found.values())
+    assert found["hot1"].overlap == 1.0
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(200, 201)]
+    rng.shuffle(edges)
+    found = {r.id: r.root for r in near_duplicates.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
+
+
+def test_hot_keys_meet_in_cells():
+    """A hot key is split into cells; each train record meets each held-out one exactly once."""
+    n = 60
+    ids, side = np.arange(n, dtype=np.int64), np.where(np.arange(n) % 3 == 0, 1, 2).astype(np.int8)
+    keys = np.full(n, 77, dtype=np.uint64)
+    cell, row = cross_split.cells(keys, ids, side, np.full(n, 3.5 * cross_split.HOT))
+    meets = [(int(ids[row[x]]), int(ids[row[y]])) for x in range(len(row)) for y in range(len(row)) if cell[x] == cell[y] and side[row[x]] == 1 and side[row[y]] == 2]
+    assert sorted(meets) == sorted((a, b) for a in range(n) if a % 3 == 0 for b in range(n) if b % 3)
+    assert len(set(cell.tolist())) == 16
+    assert (cross_split.cells(keys, ids, side, np.full(n, 9.0))[0] == keys).all()
 
 
 def edited_once(rng, base, edits, tag):
@@ -199,6 +264,6 @@ def test_repeated_passages_count_once_in_overlaps(spark):
         rows += [problem(2 * k, f"a{k}", "train:1", text, None), problem(2 * k + 1, f"b{k}", "test:1", " ".join(words), None)]
         pairs.add((f"a{k}", f"b{k}"))
     found = records.problem_records(problems(spark, rows))
-    codes = cross_split.chunk_frequencies(found, 16)
-    assert cross_split.overlaps(cross_split.posted_chunks(found, codes)).count() == len(pairs)
+    codes, _ = records.counted_members(found, [(16, cross_split.chunk_digests), (16, near_duplicates.sequences_of)])
+    assert cross_split.overlaps(cross_split.posted_chunks(found, *codes).where("size > 0")).count() == len(pairs)
     assert {tuple(r) for r in cross_split.cross_split_pairs(problems(spark, rows)).collect()} == pairs == truth(rows)[1]
