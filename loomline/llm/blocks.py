@@ -1,43 +1,24 @@
-"""All pairs of the rows of a group, from blocks of bounded size."""
+"""Joins with keys of any number of rows, cut into blocks of bounded size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a group that meet in one cell, about.
-BLOCK = 1024
-
-
-def _cells(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """rows once per cell (i, j) of their group: a group of n rows has n / BLOCK blocks, and a cell for each two of them."""
-    placed = rows.join(sizes, key).withColumn("_s", F.expr("pmod(xxhash64(_r), _n)")).withColumn("_t", F.explode(F.expr("sequence(0L, _n - 1)")))
-    return placed.select(key, F.least("_s", "_t").alias("_i"), F.greatest("_s", "_t").alias("_j"), "_s", "_r")
-
+from .storage import checkpointed
 
-def pairs_in_blocks(rows: DataFrame, key: str, columns: list[str], block: int = BLOCK) -> DataFrame:
-    """(key, a, b): every two different rows of a group once, as structs of the columns; rows of a group must differ.
-
-    A row goes to as many cells as its group has blocks, so what is shuffled is a small part of the pairs that come out, and no task holds
-    more than two blocks of a group.
-    """
-    one = rows.select(key, F.struct(*columns).alias("_r"))
-    sizes = one.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    cells = _cells(one, sizes, key)
-    x = cells.select(key, "_i", "_j", F.col("_s").alias("_x"), F.col("_r").alias("a"))
-    y = cells.select(key, "_i", "_j", F.col("_s").alias("_y"), F.col("_r").alias("b"))
-    met = x.join(y, [key, "_i", "_j"]).where("(_i = _j AND a < b) OR (_i < _j AND _x < _y)")
-    return met.select(key, "a", "b")
+#: Rows of a key in a block, about.
+BLOCK = 1024
 
 
-def pairs_across_blocks(left: DataFrame, right: DataFrame, key: str, columns: list[str], right_columns: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """(key, a, b): every row of left with every row of right of the same key, as structs of the columns.
+def meet(left: DataFrame, rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """left joined by key with rows, whose keys may have any number of rows.
 
-    Either side of a key is cut into blocks; a row is sent to as many cells as the other side has blocks.
+    The rows of a key are spread over blocks by a hash of the row; a row of left is sent to each block of its key. So what comes out of one
+    row of left is spread over tasks, and what is sent more than once is a small part of what comes out. Columns besides the key must differ.
     """
-    x, y = left.select(key, F.struct(*columns).alias("_r")), right.select(key, F.struct(*(right_columns or columns)).alias("_r"))
-    nx, ny = (t.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias(n)) for t, n in ((x, "_nx"), (y, "_ny")))
-    sizes = nx.join(ny, key)
-    a = x.join(sizes, key).select(key, F.expr("pmod(xxhash64(_r), _nx)").alias("_i"), F.explode(F.expr("sequence(0L, _ny - 1)")).alias("_j"), F.col("_r").alias("a"))
-    b = y.join(sizes, key).select(key, F.explode(F.expr("sequence(0L, _nx - 1)")).alias("_i"), F.expr("pmod(xxhash64(_r), _ny)").alias("_j"), F.col("_r").alias("b"))
-    return a.join(b, [key, "_i", "_j"]).select(key, "a", "b")
+    rows = checkpointed(rows)
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    placed = rows.join(sizes, key).withColumn("_k", F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}), _n)")).drop("_n")
+    sent = left.join(sizes, key).withColumn("_k", F.explode(F.expr("sequence(0L, _n - 1)"))).drop("_n")
+    return sent.join(placed, [key, "_k"]).drop("_k")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import pairs_across_blocks, pairs_in_blocks
+from .blocks import meet
 from .storage import checkpointed
 
 # Letters of the same shape, listed pairwise: Cyrillic, Greek, Armenian and Cherokee letters and their Latin ones.
@@ -210,15 +210,12 @@ def look_alike_pairs(documents: DataFrame, shapes_path: str | None = None) -> Da
     """Pairs (doc_id_a < doc_id_b) whose texts are different strings but have one canonical form.
 
     Copies of one string are no pair. Strings are paired first and their documents joined to the pairs, so copies of one string never meet.
-    All pairs of a class are listed, from blocks of a bounded number of rows (see `blocks`), so no task holds a class. Null texts and ids
-    have no pair; an empty table gives none.
+    All pairs of a class are listed, its rows being spread over blocks (see `blocks`), so no task holds a class. Null texts and ids have
+    no pair; an empty table gives none.
     """
-    rows = look_alike_rows(documents, shapes_path).select("form", "raw", "doc_id").distinct()
-    strings = pairs_in_blocks(rows.select("form", "raw").distinct(), "form", ["raw"]).select("a.raw", F.col("b.raw").alias("other"))
-    # Documents of either string of a pair, under the pair.
-    documents_of = [
-        pairs_across_blocks(rows, strings.select(F.col(c).alias("raw"), F.concat("raw", "other").alias("pair")), "raw", ["doc_id"], ["pair"]).select("b.pair", "a.doc_id")
-        for c in ("raw", "other")
-    ]
-    pairs = pairs_across_blocks(*documents_of, "pair", ["doc_id"]).where("a.doc_id <> b.doc_id")
-    return pairs.select(F.least("a.doc_id", "b.doc_id").alias("doc_id_a"), F.greatest("a.doc_id", "b.doc_id").alias("doc_id_b")).distinct()
+    rows = look_alike_rows(documents, shapes_path)
+    strings = checkpointed(rows.select("form", "raw").distinct())
+    differing = meet(strings, strings.withColumnRenamed("raw", "other"), "form").where("raw < other").select("raw", "other")
+    first = meet(differing, rows.select("raw", F.col("doc_id").alias("x")), "raw").select("other", "x")
+    pairs = meet(first, rows.select(F.col("raw").alias("other"), F.col("doc_id").alias("y")), "other").where("x <> y")
+    return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()

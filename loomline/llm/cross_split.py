@@ -228,7 +228,8 @@ def cross_split_pairs(problems: DataFrame, at_least: float = SIMILARITY) -> Data
     pairs, members = class_overlaps(problems, at_least)
     left, right = members.where(F.col("side") == TRAIN), members.where(F.col("side") == HELD_OUT)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    same = left.select("id").distinct().join(right.select("id").distinct(), "id").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    of = members.groupBy("id").agg(F.bit_or("side").alias("sides")).where(f"sides = {TRAIN | HELD_OUT}")
+    same = of.select(F.col("id").alias("a"), F.col("id").alias("b"))
     found = across(both.unionByName(same), left, right)
     return found.select(F.least("p", "q").alias("problem_id_a"), F.greatest("p", "q").alias("problem_id_b"))
 

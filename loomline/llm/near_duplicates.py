@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import pairs_across_blocks, pairs_in_blocks
+from .blocks import meet
 from .hashing import mean_load, mix, occurrences, shingles_of, sketch_bits, slices, slots, starts_of, words_of
 from .records import SHINGLE, batch_texts, class_ids, counted_members, digests, problem_records, similar, unseen
 from .storage import checkpointed
@@ -276,24 +276,16 @@ def candidate_pairs(lists: DataFrame, matches: int = MATCHES, long: int = LONG)
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes, and pairs inside a class, as ordered pairs of problem_ids, from blocks of bounded size (see `blocks`)."""
-    inside = pairs_in_blocks(members, "id", ["problem_id"]).select(F.col("a.problem_id").alias("p"), F.col("b.problem_id").alias("q"))
-    return across(pairs, members, members).unionByName(inside).select(F.least("p", "q").alias("problem_id_a"), F.greatest("p", "q").alias("problem_id_b"))
+    """Pairs (a, b) of classes, and pairs inside a class, as ordered pairs of problem_ids."""
+    same = members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    met = across(pairs.select("a", "b").unionByName(same), members, members).where("a <> b OR p < q")
+    return met.select(F.least("p", "q").alias("problem_id_a"), F.greatest("p", "q").alias("problem_id_b"))
 
 
 def across(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(p, q): problem_ids of the members of class a in left and of class b in right.
-
-    Classes of one member on either side, nearly all of them, are joined as they are; the pairs of others go through blocks.
-    """
-    pairs = pairs.select("a", "b")
-    sizes = [t.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("problem_id").alias("one")) for t in (left, right)]
-    known = pairs.join(sizes[0].toDF("a", "na", "p"), "a").join(sizes[1].toDF("b", "nb", "q"), "b")
-    single = known.where("na = 1 AND nb = 1").select("p", "q")
-    several = known.where("na > 1 OR nb > 1").select("a", "b", F.xxhash64("a", "b").alias("pair"))
-    sides = [pairs_across_blocks(several.select(F.col(c).alias("id"), "pair", "a", "b"), t, "id", ["pair", "a", "b"], ["problem_id"]).select("a.pair", "a.a", "a.b", "b.problem_id") for c, t in (("a", left), ("b", right))]
-    met = pairs_across_blocks(*sides, "pair", ["a", "b", "problem_id"]).where("a.a = b.a AND a.b = b.b")
-    return single.unionByName(met.select(F.col("a.problem_id").alias("p"), F.col("b.problem_id").alias("q")))
+    """(a, b, p, q): problem_ids of the members of class a in left and of class b in right; classes of any size (see `blocks`)."""
+    some = meet(pairs.select("a", "b"), left.select(F.col("id").alias("a"), F.col("problem_id").alias("p")), "a")
+    return meet(some, right.select(F.col("id").alias("b"), F.col("problem_id").alias("q")), "b")
 
 
 def partners(both: DataFrame, *more: int) -> DataFrame:
@@ -314,15 +306,15 @@ def group_candidates(pairs: DataFrame, sided: bool = False) -> DataFrame:
     such pairs, as many as the group itself may have. sided: pairs only lead from one side to the other, so a record goes to partners of
     its partners, which are on its own side, and takes the near duplicates of up to twelve of those.
     """
-    both = both_ways(pairs)
+    both = checkpointed(both_ways(pairs))
     if sided:
         steps = [partners(both, 0), partners(both, 1)]
         hops = steps[0].join(steps[1].toDF("z", "w"), "z").where("x <> w").select("x", F.col("w").alias("y")).distinct()
         least = partners(hops, *range(5))
     else:
         least = partners(both, 0, 1, 2)
-    joined = pairs_across_blocks(least, both.select(F.col("x").alias("z"), F.col("y").alias("x")), "z", ["x"]).where("a.x <> b.x")
-    found = joined.select(F.least("a.x", "b.x").alias("a"), F.greatest("a.x", "b.x").alias("b")).distinct()
+    joined = meet(least, both.select(F.col("x").alias("z"), "y"), "z").where("x <> y")
+    found = joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
 
 

@@ -72,13 +72,12 @@ def test_look_alike_pairs(spark):
 
 def test_look_alike_pairs_of_a_hot_class(spark, monkeypatch):
     """A third of all rows share one form: all pairs of different strings come out, through blocks."""
-    import loomline.llm.blocks as blocks
+    from loomline.llm import blocks
 
     rng = random.Random(4)
     strings = ["scope" + "\u200b" * k for k in range(5)]
     rows = [document(k, rng.choice(strings) if k % 3 == 0 else f"own {k}") for k in range(360)]
-    for f in (blocks.pairs_in_blocks, blocks.pairs_across_blocks):
-        monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], 16))
+    monkeypatch.setattr(blocks.meet, "__defaults__", (16,))
     found = {tuple(r) for r in canonical_text.look_alike_pairs(spark.createDataFrame(rows, DOCUMENTS)).collect()}
     alike = [r for r in rows if r[1].startswith("scope")]
     assert found == {(a[0], b[0]) for i, a in enumerate(alike) for b in alike[i + 1 :] if a[1] != b[1]}
