@@ -40,7 +40,7 @@ from .storage import checkpointed
 CUT, WINDOW = 3, 2
 FREQUENT = 128.0
 #: Combinations of coordinates under which a class is posted, besides its chunks.
-BANDS = 48
+BANDS = 36
 #: Records that meet in one cell of a key, about.
 HOT = 4096
 #: A run of frequent chunks ends after a chunk with a chance of one in REST.

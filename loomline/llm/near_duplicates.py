@@ -38,7 +38,7 @@ from .hashing import mean_load, mix, occurrences, shingles_of, sketch_bits, slic
 from .records import SHINGLE, batch_texts, class_ids, counted_members, digests, problem_records, similar, unseen
 from .storage import checkpointed
 
-COORDINATES = 48
+COORDINATES = 24
 MATCHES = 5
 #: Sequences with at most this many occurrences have full weight.
 COMMON = 8.0
@@ -47,20 +47,20 @@ LONG = 256
 BLOCK = 2048
 #: Share of a record's distinct sequences, the most frequent ones, that group coordinates leave out.
 DROP = 1 / 3
-#: BANDS combinations of ROWS coordinates: each coordinate is in five of them.
-BANDS, ROWS = 60, 4
+#: BANDS combinations of ROWS of UNWEIGHTED coordinates: each coordinate is in three of them.
+UNWEIGHTED, BANDS, ROWS = 48, 36, 4
 SIMILARITY = 0.5
 
 _U = np.uint64
 _ROUND = np.random.default_rng(20240817).integers(1, 2**62, size=256, dtype=np.uint64) * _U(2) + _U(1)
-_COMBINED = np.concatenate([np.random.default_rng(7 + k).permutation(COORDINATES).reshape(-1, ROWS) for k in range(BANDS * ROWS // COORDINATES)])
+_COMBINED = np.concatenate([np.random.default_rng(7 + k).permutation(UNWEIGHTED).reshape(-1, ROWS) for k in range(BANDS * ROWS // UNWEIGHTED)])
 
 
 def sequences_of(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return shingles_of(words, counts, SHINGLE)[0]
 
 
-def signatures(h: np.ndarray, sizes: np.ndarray, penalty: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+def signatures(h: np.ndarray, sizes: np.ndarray, penalty: np.ndarray, coordinates: int) -> np.ndarray:
     """Weighted min-hash: even posting keys, one row per text with sequences, one column per coordinate."""
     starts = starts_of(sizes[sizes > 0])
     keys = np.empty((len(starts), coordinates), dtype=np.uint64)
@@ -93,7 +93,7 @@ def combined_keys(h: np.ndarray, sizes: np.ndarray, codes: np.ndarray, bands: in
     h, sizes = shared_sequences(h, sizes, codes)
     if not len(h):
         return np.zeros((0, bands), dtype=np.uint64), sizes > 0
-    single = signatures(h, sizes, np.ones(len(h), dtype=np.float32))
+    single = signatures(h, sizes, np.ones(len(h), dtype=np.float32), UNWEIGHTED)
     keys = np.zeros((len(single), bands), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(ROWS):
@@ -105,7 +105,7 @@ def single_keys(h: np.ndarray, sizes: np.ndarray, codes: np.ndarray, penalty: np
     """(even posting keys under weighted coordinates, which texts have them); sequences that occur once are no coordinate."""
     keep = codes > 1
     sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
-    return signatures(h[keep], sizes, penalty[codes[keep]]), sizes > 0
+    return signatures(h[keep], sizes, penalty[codes[keep]], COORDINATES), sizes > 0
 
 
 def penalties(codes: np.ndarray) -> np.ndarray:
