@@ -40,7 +40,7 @@ from .storage import checkpointed
 CUT, WINDOW = 3, 2
 FREQUENT = 128.0
 #: Combinations of coordinates under which a class is posted, besides its chunks.
-BANDS = 36
+BANDS = 24
 #: Records that meet in one cell of a key, about.
 HOT = 4096
 #: A run of frequent chunks ends after a chunk with a chance of one in REST.
@@ -186,7 +186,8 @@ def overlaps(chunks: DataFrame, at_least: float = OVERLAP) -> DataFrame:
 
     Pairs that share a combination of coordinates come out whatever their fraction is.
     """
-    one = chunks.groupBy("chunk", "id", "side").agg(F.max("words").alias("words"), F.max("size").alias("size"))
+    # Partitioned by chunk once, for the copies of a class in several tasks, and for both sides of the join.
+    one = chunks.repartition("chunk").groupBy("chunk", "id", "side").agg(F.max("words").alias("words"), F.max("size").alias("size"))
     a = one.where(f"side = {TRAIN}").select("chunk", F.col("id").alias("a"), F.col("words").alias("wa"), F.col("size").alias("sa"))
     b = one.where(f"side = {HELD_OUT}").select("chunk", F.col("id").alias("b"), F.col("words").alias("wb"), F.col("size").alias("sb"))
     joined = a.join(b, "chunk").where("a <> b")
