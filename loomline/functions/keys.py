@@ -73,6 +73,17 @@ def source_split(source_id: Column | str) -> Column:
     return F.when(c.contains(":"), F.nullif(F.substring_index(c, ":", 1), F.lit("")))
 
 
+def split_label(metadata_split: Column | str, source_id: Column | str) -> Column:
+    """The split that the metadata names, else the one in the id, else 'unknown'; in lower case."""
+    named = F.nullif(F.lower(strip(F.coalesce(_col(metadata_split), F.lit("")))), F.lit(""))
+    return F.coalesce(named, source_split(source_id), F.lit("unknown"))
+
+
+def id_label(source_id: Column | str) -> Column:
+    """The text before the first colon, the whole id where there is none."""
+    return F.substring_index(_col(source_id), ":", 1)
+
+
 def source_index(source_id: Column | str) -> Column:
     c = _col(source_id)
     return F.when(c.contains(":"), F.substring(c, F.instr(c, ":") + 1, F.length(c))).otherwise(c)

@@ -66,6 +66,31 @@ def distribution_shift(candidate: DataFrame, original: DataFrame) -> DataFrame:
     return a.join(b, ["field", "value"], "full_outer").select("field", "value", (F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("delta"))
 
 
+def subset_summary(df: DataFrame, rules: dict[str, Column], *columns: str) -> DataFrame:
+    """(rule, count, rate, field, value, share, delta): size of the subset of each rule, its distribution, and the shift against all rows.
+
+    One pass: every row is counted under each rule that holds for it and under 'all'.
+    """
+    named = F.array_compact(F.array(F.lit("all"), *(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+    pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("value")) for c in columns))
+    counted = df.select(F.explode(named).alias("rule"), pairs.alias("p")).select("rule", F.explode("p").alias("p")).groupBy("rule", "p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    per = counted.withColumn("count", F.sum("n").over(W.partitionBy("rule", "field"))).withColumn("share", F.col("n") / F.col("count"))
+    whole = per.where("rule = 'all'").select("field", "value", F.col("share").alias("_all"), F.col("count").alias("_total"))
+    names = df.sparkSession.createDataFrame([(n,) for n in rules], "rule string")
+    every = names.crossJoin(whole)  # rules times different values
+    out = every.join(per.where("rule <> 'all'").select("rule", "field", "value", "share", "count"), ["rule", "field", "value"], "left")
+    size = F.max("count").over(W.partitionBy("rule"))
+    return out.select(
+        "rule", F.coalesce(size, F.lit(0)).alias("count"), rate(F.coalesce(size, F.lit(0)), F.col("_total")).alias("rate"), "field", "value", F.coalesce("share", F.lit(0.0)).alias("share"),
+        (F.coalesce("share", F.lit(0.0)) - F.col("_all")).alias("delta"),
+    )
+
+
+def is_finite(c: Column) -> Column:
+    """A number that is neither null, NaN nor infinite."""
+    return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """1 - C(n-c, k) / C(n, k) in product form; 1 where fewer than k attempts failed; null where n < k."""
     terms = F.sequence(n - c + 1, n)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import make_problem_id
+from ..functions.json_tests import as_text, solutions, tests
+from ..functions.keys import make_problem_id, make_source_id
 from ..functions.text import is_text, strip
-from .validate import assert_none, first_reason, valid_raw_problem, valid_reasoning
+from .validate import assert_none, first_reason, passes, valid_raw_problem, valid_reasoning
 
 
 def reasoning_keys(reasoning: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -69,6 +70,35 @@ def first_accepted(rows: DataFrame, key: list[str], pos: str, accepted: Column,
     return joined.withColumn("reject_reason", chain).drop("_first")
 
 
+def candidate_cascade(rows: DataFrame, pos: str, datasets: list[str], judgement: str, least: float) -> DataFrame:
+    """Stream candidates with `problem_id` and `reject_reason`, null for accepted ones; the first accepted row of a problem wins.
+
+    rows: (dataset, index, split, judgement, pass_rate, reasoning, pos). The reasons in order: dataset_not_selected, bad_index,
+    missing_source_split, duplicate_problem, bad_judgement, low_pass_rate, missing_reasoning.
+    """
+    dataset, index = F.lower(strip(as_text("dataset"))), F.col("index").cast("string").try_cast("long")
+    split = F.lower(strip(as_text("split")))
+    known = rows.withColumn("problem_id", F.concat_ws(":", dataset, split, index.cast("string")))
+    early = first_reason(("dataset_not_selected", ~dataset.isin(datasets)), ("bad_index", index.isNull()), ("missing_source_split", split == ""))
+    own = first_reason(
+        ("bad_judgement", F.lower(as_text("judgement")) != judgement), ("low_pass_rate", ~passes(F.col("pass_rate"), least)), ("missing_reasoning", ~is_text("reasoning")),
+    )
+    return first_accepted(known, ["problem_id"], pos, own.isNull(), own, early)
+
+
+def source_rows(rows: DataFrame) -> DataFrame:
+    """Records of source rows (dataset, split, index, question, difficulty, url, input_output, solutions), the last two being JSON texts.
+
+    Rows without a test case, a solution or a question give none. The reference code is the first solution.
+    """
+    made = rows.select(
+        F.col("dataset").alias("source"), make_source_id(F.col("split"), F.col("index")).alias("source_id"), F.coalesce(F.nullif(strip(as_text("difficulty")), F.lit("")), F.lit("unknown")).alias("difficulty"),
+        strip(as_text("question")).alias("prompt"), strip(F.get(solutions("solutions"), F.lit(0))).alias("reference_code"), tests("input_output").alias("tests"),
+        F.struct(strip(as_text("url")).alias("url"), F.col("split").alias("source_split"), F.col("index").cast("long").alias("source_index")).alias("metadata"),
+    )
+    return made.where((F.size("tests") > 0) & F.col("reference_code").isNotNull() & (F.col("prompt") != ""))
+
+
 def assemble(candidates: DataFrame, sources: DataFrame, pos: str = "pos") -> DataFrame:
     """Candidates with `reject_reason` from an exact join on (dataset, source_split, index) with source records.
 
@@ -101,6 +131,23 @@ def eligible_view(processed: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.where(F.coalesce(flag, F.lit(False))).drop("m_split", "m_source", "sft_candidate", "pt_candidate", "dev_candidate")
 
 
+def frozen_status(rows: DataFrame, manifest: DataFrame, response_hash: Column) -> DataFrame:
+    """rows with `frozen`: 'missing' (no manifest row), 'mismatch' (another response hash), 'selected' or 'not_member'.
+
+    manifest: (problem_id, source_response_hash, member).
+    """
+    m = manifest.select("problem_id", F.col("source_response_hash").alias("_h"), F.coalesce("member", F.lit(False)).alias("_m"), F.lit(True).alias("_there"))
+    joined = rows.join(m, "problem_id", "left")
+    status = F.when(F.col("_there").isNull(), "missing").when(~response_hash.eqNullSafe(F.col("_h")), "mismatch").when(F.col("_m"), "selected").otherwise("not_member")
+    return joined.withColumn("frozen", status).drop("_h", "_m", "_there")
+
+
+def frozen_selection(rows: DataFrame, manifest: DataFrame, response_hash: Column) -> DataFrame:
+    """The members of a frozen manifest; a row that it lacks, or whose response has changed, fails the query."""
+    told = assert_none(frozen_status(rows, manifest, response_hash), F.col("frozen").isin("missing", "mismatch"), "rows and frozen manifest disagree")
+    return told.where("frozen = 'selected'").drop("frozen")
+
+
 def manifest_diff(expected: DataFrame, actual: DataFrame, fields: list[str], order: str) -> DataFrame:
     """(problem_id, issue): missing, extra, duplicate, or the name of a field that differs; of duplicates the last by `order` counts."""
     def last(df: DataFrame) -> DataFrame:

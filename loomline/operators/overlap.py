@@ -49,17 +49,17 @@ def _prefixes(rows: DataFrame, frequency: DataFrame, threshold: float) -> DataFr
     return each.withColumn("rank", rank).where(F.col("rank") <= need).select("problem_id", "g")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, threshold: float, same_ids: bool = False) -> DataFrame:
     """(left_id, right_id, score): every pair with a Jaccard similarity of the threshold or more, rounded to six places.
 
     A lossless inverted index over prefixes: two sets with similarity t share one of the size - ceil(t * size) + 1 rarest n-grams of
     either, so frequent n-grams, which would make the index quadratic, are posted by few sets only. Sets of candidates are compared
-    exactly. The window is over the n-grams of one problem.
+    exactly. The window is over the n-grams of one problem. A problem is not paired with itself, unless equal ids name different things.
     """
     frequency = left.select("problem_id", "grams").unionByName(right.select("problem_id", "grams")).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     a = _prefixes(left, frequency, threshold).withColumnRenamed("problem_id", "left_id")
     b = _prefixes(right, frequency, threshold).withColumnRenamed("problem_id", "right_id")
-    pairs = a.join(b, "g").where("left_id <> right_id").select("left_id", "right_id").distinct()
+    pairs = a.join(b, "g").where(F.lit(True) if same_ids else F.col("left_id") != F.col("right_id")).select("left_id", "right_id").distinct()
     x = left.select(F.col("problem_id").alias("left_id"), F.col("grams").alias("x"))
     y = right.select(F.col("problem_id").alias("right_id"), F.col("grams").alias("y"))
     score = jaccard(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))
@@ -67,10 +67,47 @@ def near_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
 
 
 def containment_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(left_id, right_id, share): share of the right set's n-grams that stand in the left set."""
-    x, y = left.select(F.col("problem_id").alias("left_id"), F.explode("grams").alias("g")), right.select(F.col("problem_id").alias("right_id"), F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    share = (F.count(F.lit(1)) / F.max("n")).alias("share")
-    return x.join(y, "g").groupBy("left_id", "right_id").agg(share).where(F.col("share") >= least)
+    """(left_id, right_id, share): share of the right set's n-grams that stand in the left set, of at least `least`.
+
+    Lossless: of n n-grams of the right set, a left set that holds a share of them holds one of the n - ceil(least * n) + 1 that are rarest
+    on the left, so frequent n-grams (boilerplate) are not joined. Left n-grams that no right set has are dropped before anything is
+    counted, and sets of candidates are compared exactly.
+    """
+    y = right.select(F.col("problem_id").alias("right_id"), F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    x = left.select(F.col("problem_id").alias("left_id"), F.explode("grams").alias("g")).join(y.select("g").distinct(), "g", "left_semi")
+    held = y.join(x.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g")
+    rank = F.row_number().over(W.partitionBy("right_id").orderBy("df", "g"))
+    # n-grams that no left set has come first in the order and match nothing, so they use up the prefix.
+    absent = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("right_id"))
+    need = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1
+    prefix = held.withColumns({"rank": rank, "absent": absent}).where(F.col("rank") + F.col("absent") <= need).select("right_id", "g")
+    pairs = x.join(prefix, "g").select("left_id", "right_id").distinct()
+    sets = pairs.join(left.select(F.col("problem_id").alias("left_id"), F.col("grams").alias("a")), "left_id").join(right.select(F.col("problem_id").alias("right_id"), F.col("grams").alias("b")), "right_id")
+    share = F.try_divide(F.size(F.array_intersect("a", "b")).cast("double"), F.size("b"))
+    return sets.select("left_id", "right_id", share.alias("share")).where(F.col("share") >= least)
+
+
+def external_overlap(problems: DataFrame, external: DataFrame, n: int, threshold: float, contained: float) -> DataFrame:
+    """(problem_id, external_id, kind): overlaps with an external set, each kind on its own.
+
+    problems and external: (problem_id, pos, prompt, url), url being any identity of its own, null for none. kinds: 'id' (equal
+    problem_ids), 'url', 'text' (equal normalised texts), 'near' (n-gram similarity of the threshold or more), 'contained' (that share of
+    the external text's n-grams stands in the problem).
+    """
+    left, right = (shingled(t, n, keep=("url",)) for t in (problems, external))
+    a, b = left.withColumnRenamed("problem_id", "p"), right.withColumnRenamed("problem_id", "e")
+    same = {
+        "id": left.select("problem_id").join(right.select("problem_id"), "problem_id").select(F.col("problem_id").alias("p"), F.col("problem_id").alias("e")),
+        "url": a.where("url IS NOT NULL").select("p", "url").join(b.select("e", "url"), "url").select("p", "e"),
+        "text": a.where(F.size("grams") > 0).select("p", "norm_hash").join(b.select("e", "norm_hash"), "norm_hash").select("p", "e"),
+        "near": near_pairs(left, right, threshold, same_ids=True).select(F.col("left_id").alias("p"), F.col("right_id").alias("e")),
+        "contained": containment_pairs(left, right, contained).select(F.col("left_id").alias("p"), F.col("right_id").alias("e")),
+    }
+    out = None
+    for kind, rows in same.items():
+        named = rows.select(F.col("p").alias("problem_id"), F.col("e").alias("external_id"), F.lit(kind).alias("kind"))
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 def blocked(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,6 +59,36 @@ def rollout_metrics(rollouts: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def format_metrics(rollouts: DataFrame, flags: str, *by: str) -> DataFrame:
+    """rollout_metrics with counts and rates of the format flags, a struct column; the gap of reward and held-out means is in generalization_gap."""
+    names = ("starts_with_think", "closed_think", "unclosed_think", "fenced_code", "valid_reasoning_to_code_transition", "format_valid")
+    n = F.count(F.lit(1))
+    counts = [F.count_if(F.col(f"{flags}.{f}")).alias(f"{f}_count") for f in names]
+    told = rollouts.groupBy(*by).agg(n.alias("_n"), *counts)
+    return rollout_metrics(rollouts, *by).join(told, list(by)).select("*", *(rate(F.col(f"{f}_count"), F.col("_n")).alias(f"{f}_rate") for f in names)).drop("_n")
+
+
+def capped(rollouts: DataFrame, cap: int, exactly: bool = False) -> DataFrame:
+    """Rollouts whose response reached the cap; exactly: those that stopped at it."""
+    tokens = F.col("response_token_count")
+    return rollouts.where(tokens == cap if exactly else tokens >= cap)
+
+
+def final_policy(rollouts: DataFrame, cap: int, expected: int | None = None) -> DataFrame:
+    """rollouts marked with the final cap and the cap hit recomputed; another number of rows than expected fails the query."""
+    rows = rollouts.withColumns({"max_new_tokens": F.lit(cap), "hit_max_new_tokens": F.col("response_token_count") >= cap})
+    if expected is None:
+        return rows
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    return assert_none(rows.crossJoin(F.broadcast(n)), F.col("_n") != expected, "another number of rollouts than expected").drop("_n")  # one row
+
+
+def compact(rollouts: DataFrame) -> DataFrame:
+    """What a report keeps of a rollout: ids, verdict, counts; and of a failed one its key (status and first failure)."""
+    key = F.when(F.col("verifier_status") != "AC", F.concat_ws("|", "verifier_status", F.coalesce(F.col("testcase_passed").cast("string"), F.lit("none"))))
+    return rollouts.select("rollout_id", "problem_id", "model_revision", "verifier_status", "testcase_passed", "testcase_total", key.alias("failure_key"))
+
+
 def override(pilot: DataFrame, rerun: DataFrame, cap: int, fields: list[str], key: str = "problem_id") -> DataFrame:
     """Pilot rows; those at the cap are replaced by their rerun. A capped row without a rerun fails the query."""
     new = rerun.select(key, F.struct(*fields).alias("_new"))
@@ -132,13 +167,39 @@ def first_k(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame
 def ordered_hash(df: DataFrame, order: str, hashed: Column) -> DataFrame:
     """(rows, dataset_hash): a hash over row hashes in order.
 
-    Row hashes are combined per block of 4096 ranks and the blocks' hashes once more, so no task holds all rows. Equal data in equal order
-    gives equal hashes, whatever the partitioning.
+    A tree: row hashes are combined per block of 4096 ranks, the blocks' hashes per block of 4096 blocks, and so on to one, so no task ever
+    holds more than 4096 hashes. Equal data in equal order gives equal hashes, whatever the partitioning. An empty table has the hash of ''.
     """
     rows = ranked(df.select(F.col(order).alias("_o"), hashed.alias("_h")), "_o", "_h")
-    block = rows.groupBy((F.col("rank") / 4096).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_h"))), lambda x: x["_h"]), ","), 256).alias("h"))
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",")
-    return block.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.coalesce(top, F.lit("")), 256).alias("dataset_hash"))
+    level, count = rows.select(F.col("rank").alias("b"), F.lit(1).cast("long").alias("n"), F.col("_h").alias("h")), rows.count()
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ","), 256)
+    while True:
+        level = level.groupBy((F.col("b") / 4096).cast("long").alias("b")).agg(F.sum("n").alias("n"), joined.alias("h"))
+        count = -(-count // 4096)
+        if count <= 1:
+            break
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("dataset_hash"))
+
+
+def list_hash(df: DataFrame, order: str, text: Column) -> DataFrame:
+    """(rows, list_hash): SHA-256 of the JSON array of the texts in order, as manifests of other tools record it.
+
+    Such a hash is serial by definition. Rows are sorted by ranges and then stream through one task, which holds one batch of them;
+    `ordered_hash` is the one to use where both sides are made here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(b"["), 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                digest.update((b"," if n else b"") + json.dumps(x, ensure_ascii=False).encode("utf-8", "surrogatepass"))
+                n += 1
+        digest.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()], pa.string())], names=["rows", "list_hash"])
+
+    rows = df.select(F.col(order).alias("_o"), text.alias("_t")).repartitionByRange("_o").sortWithinPartitions("_o", "_t").select("_t")
+    told = rows.coalesce(1).mapInArrow(run, "rows long, list_hash string")
+    return told.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("list_hash"), F.sha2(F.lit("[]"), 256)).alias("list_hash"))  # no task runs for an empty table
 
 
 def bootstrap_mean(df: DataFrame, key: str, value: Column, draws: int, seed: int, low: float = 2.5, high: float = 97.5) -> DataFrame:

@@ -17,8 +17,11 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .validate import assert_none
+
 IGNORED = -100
 _OPEN, _CLOSE = "<think>", "</think>"
 _FENCE = re.compile(r"```[A-Za-z0-9_+-]*[ \t]*\n")
@@ -263,6 +266,66 @@ def integrity(rows: DataFrame, longest: int, budget: int, eos: int) -> DataFrame
     return rows.where(~F.col("dropped")).select("problem_id", failed.alias("failed")).where(F.size("failed") > 0)
 
 
+def token_counts(df: DataFrame, columns: dict[str, str], tokenizer: Tokenizer = CharTokenizer(), key: str = "problem_id") -> DataFrame:
+    """(key, counts...) of tokens of text columns under a tokenizer; columns: name of the count -> text column. Null texts have 0 tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [pa.array([len(tokenizer.encode(t or "")[0]) for t in batch.column(n).to_pylist()], pa.int64()) for n in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *counts], names=[key, *columns])
+
+    rows = df.select(F.col(key).cast("string").alias(key), *(F.col(c).alias(n) for n, c in columns.items()))
+    return rows.mapInArrow(run, f"`{key}` string, " + ", ".join(f"`{n}` long" for n in columns))
+
+
+def context_overflow(df: DataFrame, prompt_tokens: str, new_tokens: int, context: int, by: str, order: str, sample: int = 20) -> DataFrame:
+    """(by, overflow, sample): prompts that leave too little room for a response, and the ids of the first ones in order; groups without any have 0."""
+    over = F.col(prompt_tokens) + new_tokens > context
+    counts = df.groupBy(by).agg(F.count_if(over).alias("overflow"))
+    first = df.where(over).withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("_k") <= sample)
+    ids = first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "problem_id"))), lambda x: x["problem_id"]).alias("sample"))
+    return counts.join(ids, by, "left").select(by, "overflow", F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
+
+
+def within_context(df: DataFrame, prompt_tokens: str, new_tokens: int, context: int) -> DataFrame:
+    """df; a prompt that would have to be cut fails the query, as prompts are never truncated."""
+    return assert_none(df, F.col(prompt_tokens) + new_tokens > context, "a prompt does not fit into the context")
+
+
+def supervised_tokens(labels: Column) -> Column:
+    """Labels that a model is trained on."""
+    return F.size(F.filter(labels, lambda x: x != IGNORED)).cast("long")
+
+
+def target_diagnostic(df: DataFrame, longest: int, tokenizer: Tokenizer = CharTokenizer()) -> DataFrame:
+    """(problem_id, exact, normalized, start_ratio, token_ratio, retained_ratio and the columns of version 1): where the reference code stands in each response.
+
+    df: (problem_id, prompt, response, code). exact: verbatim; normalized: up to white space; ratios by the response's length; null where
+    the code is not found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, p, r, c in zip(*(batch.column(x).to_pylist() for x in ("problem_id", "prompt", "response", "code"))):
+                p, r, c = p or "", r or "", c or ""
+                at, row = locate(r, c), sequence_v1(tokenizer, p, r, c, longest)
+                tokens = row["full_sequence_tokens"] - row["prompt_tokens"] - 1
+                original = row["original_reasoning_tokens"]
+                out.append((
+                    i, bool(c) and c in r, at is not None, at[0] / len(r) if at and r else None, original / max(tokens, 1) if at else None, row["retained_reasoning_tokens"] / original if original else 0.0,
+                    row["full_fit"], row["reasoning_truncated"], row["drop_reason"], original, row["retained_reasoning_tokens"], row["final_sequence_tokens"],
+                ))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t, _) in zip(zip(*out), kinds)], names=[n for n, _, _ in kinds])
+
+    kinds = [
+        ("problem_id", pa.string(), "string"), ("exact", pa.bool_(), "boolean"), ("normalized", pa.bool_(), "boolean"), ("start_ratio", pa.float64(), "double"), ("token_ratio", pa.float64(), "double"),
+        ("retained_ratio", pa.float64(), "double"), ("full_fit", pa.bool_(), "boolean"), ("reasoning_truncated", pa.bool_(), "boolean"), ("drop_reason", pa.string(), "string"),
+        ("original_reasoning_tokens", pa.int64(), "long"), ("retained_reasoning_tokens", pa.int64(), "long"), ("final_sequence_tokens", pa.int64(), "long"),
+    ]
+    return df.select(F.col("problem_id").cast("string").alias("problem_id"), "prompt", "response", "code").mapInArrow(run, ", ".join(f"{n} {s}" for n, _, s in kinds))
+
+
 def construction_stats(rows: DataFrame) -> DataFrame:
     """One row of counts over constructed sequences."""
     return rows.agg(

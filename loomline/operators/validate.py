@@ -57,6 +57,7 @@ def assert_none(df: DataFrame, broken: Column, message: str) -> DataFrame:
 
 
 def interactive(*columns: str) -> Column:
+    """Does one of the columns hold the word, as a whole and in any case?"""
     out = F.lit(False)
     for c in columns:
         out = out | F.coalesce(F.lower(F.col(c)).rlike("\\binteractive\\b"), F.lit(False))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_code
+from .qualify import wrong_answer_category
 
 HARNESS = r"""
 import builtins, io, json, os, resource, signal, socket, subprocess, sys, tempfile, time
@@ -240,18 +241,19 @@ def verify_program(code: str, tests: list[dict] | None, sandbox: Sandbox = Sandb
     runs = []
     for run, case in zip(result["runs"], cases):
         status = run_verdict(run, case["output"])
+        alike = status == "WA" and run["stdout"].split() == case["output"].split()
         error = run["error"] or (["OutputLimitExceeded", "output limit exceeded"] if run["truncated"] else [None, None])
-        runs.append({**{k: run[k] for k in ("test_id", "exit_code", "runtime_ms", "stdout", "stdout_size", "stderr_size")}, "status": status, "error_type": error[0], "error_message": error[1]})
+        runs.append({**{k: run[k] for k in ("test_id", "exit_code", "runtime_ms", "stdout", "stdout_size", "stderr_size")}, "status": status, "token_equal": alike, "error_type": error[0], "error_message": error[1]})
     seen = {r["test_id"] for r in runs}
     for case in cases:
         if case["test_id"] not in seen:
-            runs.append({"test_id": case["test_id"], "exit_code": None, "runtime_ms": 0, "stdout": "", "stdout_size": 0, "stderr_size": 0, "status": "TLE", "error_type": "HarnessStoppedEarly", "error_message": "not run"})
+            runs.append({"test_id": case["test_id"], "exit_code": None, "runtime_ms": 0, "stdout": "", "stdout_size": 0, "stderr_size": 0, "status": "TLE", "token_equal": False, "error_type": "HarnessStoppedEarly", "error_message": "not run"})
     status = roll_up([r["status"] for r in runs])
     first = next((r for r in runs if r["status"] == status), None) if status != "AC" else None
     return Verdict(status, sum(r["status"] == "AC" for r in runs), len(cases), runs, first and first["error_type"], first and first["error_message"])
 
 
-RUN = "struct<test_id:string,status:string,exit_code:int,runtime_ms:long,error_type:string,error_message:string>"
+RUN = "struct<test_id:string,status:string,token_equal:boolean,exit_code:int,runtime_ms:long,error_type:string,error_message:string>"
 VERDICT = f"status string, passed int, total int, pass_rate double, error_type string, error_message string, runs array<{RUN}>"
 
 
@@ -270,12 +272,12 @@ def verify_codes(df: DataFrame, code: str = "code", tests: str = "tests", sandbo
         raise ValueError(f"columns {sorted(clash)} are already there")
     rows = spread(df, key, partitions)
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + VERDICT
-    run_type = pa.struct([("test_id", pa.string()), ("status", pa.string()), ("exit_code", pa.int32()), ("runtime_ms", pa.int64()), ("error_type", pa.string()), ("error_message", pa.string())])
+    run_type = pa.struct([("test_id", pa.string()), ("status", pa.string()), ("token_equal", pa.bool_()), ("exit_code", pa.int32()), ("runtime_ms", pa.int64()), ("error_type", pa.string()), ("error_message", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [verify_program(c or "", t, sandbox) for c, t in zip(batch.column(code).to_pylist(), batch.column(tests).to_pylist())]
-            runs = [[{k: r[k] for k in ("test_id", "status", "exit_code", "runtime_ms", "error_type", "error_message")} for r in v.runs] for v in found]
+            runs = [[{k: r[k] for k in ("test_id", "status", "token_equal", "exit_code", "runtime_ms", "error_type", "error_message")} for r in v.runs] for v in found]
             columns = [
                 pa.array([v.status for v in found], pa.string()), pa.array([v.passed for v in found], pa.int32()), pa.array([v.total for v in found], pa.int32()),
                 pa.array([v.pass_rate for v in found], pa.float64()), pa.array([v.error_type for v in found], pa.string()), pa.array([v.error_message for v in found], pa.string()),
@@ -316,6 +318,25 @@ def attempts(df: DataFrame, solutions: str, tests: str, sandbox: Sandbox = Sandb
     return spread(df.select(key, solutions, tests), key).mapInArrow(run, schema)
 
 
+def first_failure(status: Column, runs: Column) -> Column:
+    """The first run with the verdict's own status, else the first that is not accepted; null for an accepted program."""
+    same, any_ = F.filter(runs, lambda r: r["status"] == status), F.filter(runs, lambda r: r["status"] != "AC")
+    return F.when(status != "AC", F.coalesce(F.get(same, F.lit(0)), F.get(any_, F.lit(0))))
+
+
+def diagnosed(df: DataFrame, sandbox: Sandbox = Sandbox(), key: str = "problem_id") -> DataFrame:
+    """df (key, code, tests, prompt) with the verdict's columns, `failure_class`, `first_failure` (a test_id) and, of wrong answers, `wa_category`."""
+    out = verify_codes(df, sandbox=sandbox, key=key)
+    wrong = F.filter("runs", lambda r: r["status"] == "WA")
+    category = wrong_answer_category(F.size(wrong), F.size(F.filter(wrong, lambda r: r["token_equal"])), "prompt")
+    return out.withColumns(
+        {
+            "failure_class": failure_class(F.col("status"), F.col("error_type"), F.col("error_message")), "first_failure": first_failure(F.col("status"), F.col("runs"))["test_id"],
+            "wa_category": F.when(F.col("status") == "WA", category),
+        }
+    )
+
+
 def failure_class(status: Column, error_type: Column, error_message: Column) -> Column:
     """The class of a failure by verdict and error text."""
     text = F.concat_ws(" ", error_type, error_message)

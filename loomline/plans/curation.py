@@ -304,13 +304,25 @@ def sequential_blocking(spark, folder):
     return overlap.sequential_blocking(*_three(spark, folder), 0.8)
 
 
-@query(f"""WITH {_GRAMS}, {_ASSIGNED.replace(ONE + ',', '')}, {_BLOCK} SELECT 'sft_pt' AS pair, 0::BIGINT AS ids,
-(SELECT count(DISTINCT u.norm_hash) FROM x u JOIN x v ON u.norm_hash = v.norm_hash WHERE u.split = 'sft' AND v.split = 'pt') AS texts, (SELECT count(*) FROM near WHERE sa = 'sft' AND sb = 'pt') AS near,
-(SELECT count(DISTINCT u.norm_hash) FROM x u JOIN x v ON u.norm_hash = v.norm_hash WHERE u.split = 'sft' AND v.split = 'pt') = 0 AND (SELECT count(*) FROM near WHERE sa = 'sft' AND sb = 'pt') = 0 AS passed""")
+_NINE = """
+pr AS (SELECT * FROM (VALUES ('sft', 'pt'), ('sft', 'dev'), ('pt', 'dev')) v(l, r)),
+nine AS (SELECT l || '_' || r AS pair, (SELECT count(*) FROM (SELECT problem_id FROM x WHERE split = l INTERSECT SELECT problem_id FROM x WHERE split = r)) AS ids,
+ (SELECT count(DISTINCT u.norm_hash) FROM x u JOIN x v ON u.norm_hash = v.norm_hash WHERE u.split = l AND v.split = r) AS texts, (SELECT count(*) FROM near WHERE sa = l AND sb = r) AS near FROM pr)
+"""
+
+
+def nine_overlaps(spark, folder) -> DataFrame:
+    sets = dict(zip(splits.SPLITS, _three(spark, folder)))
+    out = None
+    for a, b in (("sft", "pt"), ("sft", "dev"), ("pt", "dev")):
+        row = overlap.overlap_counts(sets[a], sets[b], 0.8, f"{a}_{b}")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {_GRAMS}, {_ASSIGNED.replace(ONE + ',', '')}, {_BLOCK}, {_NINE} SELECT *, ids + texts + near = 0 AS passed FROM nine")
 def overlap_gate(spark, folder):
-    sft, pt, _ = _three(spark, folder)
-    counts = overlap.overlap_counts(sft, pt, 0.8, "sft_pt")
-    return counts.withColumn("passed", (F.col("ids") == 0) & (F.col("texts") == 0) & (F.col("near") == 0))
+    return gates.overlap_gate(nine_overlaps(spark, folder))
 
 
 @query("""WITH e AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')) AS norm FROM eval_items),
@@ -327,13 +339,12 @@ def external_decontamination(spark, folder):
 
 @query(f"WITH {ONE} SELECT source || '/' || coalesce(nullif(lower(trim(metadata.source_split)), ''), CASE WHEN contains(source_id, ':') THEN split_part(source_id, ':', 1) END, 'unknown') AS source_split, count(*) AS n FROM one GROUP BY 1")
 def source_distribution(spark, folder):
-    split = F.coalesce(F.nullif(F.lower(F.trim("metadata.source_split")), F.lit("")), F.when(F.col("source_id").contains(":"), F.substring_index("source_id", ":", 1)), F.lit("unknown"))
-    return one_problem(table(spark, folder, "problems")).groupBy(F.concat_ws("/", "source", split).alias("source_split")).agg(F.count(F.lit(1)).alias("n"))
+    return one_problem(table(spark, folder, "problems")).groupBy(F.concat_ws("/", "source", keys.split_label("metadata.source_split", "source_id")).alias("source_split")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {ONE} SELECT source || '/' || CASE WHEN contains(source_id, ':') THEN split_part(source_id, ':', 1) ELSE source_id END AS source_split, count(*) AS n FROM one GROUP BY 1")
 def id_distribution(spark, folder):
-    return one_problem(table(spark, folder, "problems")).groupBy(F.concat_ws("/", "source", F.substring_index("source_id", ":", 1)).alias("source_split")).agg(F.count(F.lit(1)).alias("n"))
+    return one_problem(table(spark, folder, "problems")).groupBy(F.concat_ws("/", "source", keys.id_label("source_id")).alias("source_split")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT pos, t.test_id AS test_id, regexp_replace(regexp_replace(regexp_replace(t.output, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n+$', '') AS normalized FROM (SELECT pos, unnest(tests) AS t FROM problems)""")
@@ -350,9 +361,11 @@ def json_tests_roundtrip(spark, folder):
     return rows.select("pos", F.size("t").alias("n"), F.sha2(content, 256).alias("content"), (json_tests.protocol(F.col("fn_name"), F.lit(None).cast("string")) == "call_based").alias("call_based"))
 
 
-@query(f"WITH {ONE} SELECT problem_id, coalesce(regexp_matches(lower(prompt), 'any valid|any one|any of|any order|print any|output any|if there are multiple|if multiple|multiple answers|multiple correct|all possible|in any order|arbitrary'), false) AS several, coalesce(regexp_matches(lower(prompt), '\\binteractive\\b'), false) AS interactive FROM one")
+@query(f"WITH {ONE} SELECT problem_id, coalesce(regexp_matches(lower(prompt), 'any valid|any one|any of|any order|print any|output any|if there are multiple|if multiple|multiple answers|multiple correct|all possible|in any order|arbitrary'), false) AS several, source = 'kodewell' AND regexp_matches(lower(concat_ws(' ', prompt, topic, difficulty, reference_code)), '\\binteractive\\b') AS interactive FROM one")
 def prompt_hints(spark, folder):
-    rows = one_problem(table(spark, folder, "problems"), several=text.allows_several_answers("prompt"), interactive=validate.interactive("prompt"))
+    """Interactive problems are told by four fields, and only in one source."""
+    hinted = (F.col("source") == "kodewell") & validate.interactive("prompt", "topic", "difficulty", "reference_code")
+    rows = one_problem(table(spark, folder, "problems"), several=text.allows_several_answers("prompt"), interactive=hinted)
     return rows.select("problem_id", "several", "interactive")
 
 
@@ -375,12 +388,3 @@ def id_sets(spark, folder):
         one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "n")
         out = one if out is None else out.unionByName(one)
     return out
-
-
-@query("""WITH a AS (SELECT DISTINCT problem_id, split FROM split_manifest), x AS (SELECT * FROM a WHERE split = 'dev') SELECT count(*) AS found, (SELECT count(*) FROM x) AS expected, true AS passed FROM x""")
-def split_equality_gate(spark, folder):
-    whole = table(spark, folder, "split_manifest").select("problem_id", "split").distinct()
-    part = whole.where("split = 'dev'")
-    same = gates.same_rows(part, whole.where(F.col("split") == "dev"))
-    n = part.agg(F.count(F.lit(1)).alias("found"))
-    return n.crossJoin(same).select("found", F.col("found").alias("expected"), "passed")  # one row each

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_tests, keys, stats, text
 from ..functions.storage import checkpointed
-from ..operators import gates, joins, qualify, sequences, splits, validate, verify
+from ..operators import gates, joins, qualify, rollouts, sequences, splits, validate, verify
 from ..sources import files, jsonl, ordinal
 from .curation import _MANIFEST, _TESTS, ONE, _heldout, _is, _strip, one_problem, table
 from .evaluation import R, attempted, delivered
@@ -66,7 +66,7 @@ def splits_present(spark, folder):
     rows = table(spark, folder, "problems").select("pos", keys.source_split("source_id").alias("s"))
     for s in ("train", "test"):
         rows.where(F.col("s") == s).select("pos").write.parquet(f"{root}/{s}")
-    df, missing = files.read_splits(spark, root.removeprefix("file:"), ["train", "test", "absent"])
+    df, missing = files.read_splits(spark, root, ["train", "test", "absent"])
     counts = df.groupBy("source_split").agg(F.count(F.lit(1)).alias("n"))
     return counts.unionByName(spark.createDataFrame([(f"missing:{m}", 0) for m in missing], "source_split string, n long"))
 
@@ -179,15 +179,9 @@ def policy_view_counts(spark, folder):
     return rows.groupBy("split").agg(F.count("reward_tests").alias("found"))
 
 
-@query(f"WITH {ONE}, x AS (SELECT problem_id, instr(prompt, substr(prompt, 11, 12)) - 1 AS p, instr(prompt, 'no such code') - 1 AS q FROM one WHERE length(prompt) > 30) SELECT problem_id, CASE WHEN p >= 0 THEN p END AS start, CASE WHEN q >= 0 THEN q END AS missing FROM x")
-def locate_code(spark, folder):
-    rows = one_problem(table(spark, folder, "problems")).where("length(prompt) > 30")
-    return rows.select("problem_id", text.locate_code(F.col("prompt"), F.substring("prompt", 11, 12)).cast("long").alias("start"), text.locate_code(F.col("prompt"), F.lit("no such code")).cast("long").alias("missing"))
-
-
 @query(f"WITH {R}, x AS (SELECT problem_id, verifier_status FROM r WHERE response_token_count >= 2048) SELECT verifier_status, count(*) AS n FROM x GROUP BY 1")
 def capped_rollouts(spark, folder):
-    return delivered(spark, folder).where("response_token_count >= 2048").groupBy("verifier_status").agg(F.count(F.lit(1)).alias("n"))
+    return rollouts.capped(delivered(spark, folder), 2048).groupBy("verifier_status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT split, count(*)::DOUBLE AS count, list_sort(list(v))[round_even(0.5::DOUBLE * (count(*) - 1), 0)::BIGINT + 1] AS p50, list_sort(list(v))[round_even(0.95::DOUBLE * (count(*) - 1), 0)::BIGINT + 1] AS p95, max(v) AS max FROM (SELECT split_part(source_id, ':', 1) AS split, length(prompt)::DOUBLE AS v FROM problems WHERE prompt IS NOT NULL) GROUP BY 1")
@@ -196,33 +190,7 @@ def length_profile(spark, folder):
     return stats.numeric_stats(rows, "length", (50, 95), ("split",))
 
 
-@query(f"WITH {R}, m AS (SELECT rollout_id, response_token_count AS t FROM r), c AS (SELECT rule, lim FROM (VALUES ('le_512', 512), ('le_1024', 1024), ('le_2048', 2048)) v(rule, lim)) SELECT rule, count(*) AS n, count(*) / (SELECT count(*) FROM m) AS rate FROM m JOIN c ON t <= lim GROUP BY 1")
-def subset_summary(spark, folder):
-    rows = delivered(spark, folder)
-    one = stats.threshold_counts(rows, "response_token_count", (512, 1024, 2048))
-    return one.select(F.concat(F.lit("le_"), F.col("threshold").cast("string")).alias("rule"), F.col("count").alias("n"), "rate")
-
-
-@query(f"WITH {R}, x AS (SELECT problem_id, min(rollout_id) AS first, max(rollout_id) AS last FROM r GROUP BY 1) SELECT x.problem_id, sha256(coalesce(r.raw_response, '')) AS response_hash FROM x JOIN r ON r.rollout_id = x.last")
-def frozen_selection(spark, folder):
-    rows = delivered(spark, folder)
-    manifest = rows.groupBy("problem_id").agg(F.max("rollout_id").alias("rollout_id"))
-    joined = manifest.join(rows.drop("problem_id"), "rollout_id", "left")
-    checked = validate.assert_none(joined, F.col("verifier_status").isNull(), "a frozen candidate has no row")
-    return checked.select("problem_id", F.sha2(F.coalesce("raw_response", F.lit("")), 256).alias("response_hash"))
-
-
 @query(f"WITH {R} SELECT model_revision, count_if(generation_latency_ms IS NULL) AS missing, count_if(isfinite(generation_latency_ms)) AS finite FROM r GROUP BY 1")
 def finite_check(spark, folder):
     x = F.col("generation_latency_ms")
-    finite = F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
-    return delivered(spark, folder).groupBy("model_revision").agg(F.count_if(x.isNull()).alias("missing"), F.count_if(finite).alias("finite"))
-
-
-@query()
-def response_structure(spark, folder):
-    """Structure of every reasoning text with its problem's code appended, by validity reason."""
-    from .evaluation import _pairs_to_build
-
-    rows = sequences.build_sequences(_pairs_to_build(spark, folder), 3, 1 << 20, 1 << 20)
-    return rows.groupBy(F.coalesce("drop_reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return delivered(spark, folder).groupBy("model_revision").agg(F.count_if(x.isNull()).alias("missing"), F.count_if(stats.is_finite(x)).alias("finite"))

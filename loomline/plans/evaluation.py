@@ -153,7 +153,7 @@ def failure_samples(spark, folder):
     return rollouts.first_k(rows, ["verifier_status"], ["problem_id", "rollout_id"], 5).select("verifier_status", "rollout_id", "rank")
 
 
-@query(f"WITH {R}, h AS (SELECT rollout_id, sha256(rollout_id::VARCHAR || '|' || verifier_status) AS h, row_number() OVER (ORDER BY rollout_id) - 1 AS rank FROM r), b AS (SELECT rank // 4096 AS b, count(*) AS n, sha256(string_agg(h, ',' ORDER BY rank)) AS h FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(h, ',' ORDER BY b)) AS dataset_hash FROM b")
+@query(f"WITH {R}, h AS (SELECT rollout_id, sha256(rollout_id::VARCHAR || '|' || verifier_status) AS h, row_number() OVER (ORDER BY rollout_id) - 1 AS rank FROM r), b AS (SELECT rank // 4096 AS b, count(*) AS n, sha256(string_agg(h, ',' ORDER BY rank)) AS h FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS rows, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, ',' ORDER BY b)) END AS dataset_hash FROM b")
 def dataset_hash(spark, folder):
     rows = delivered(spark, folder)
     return rollouts.ordered_hash(rows, "rollout_id", F.sha2(F.concat_ws("|", F.col("rollout_id").cast("string"), "verifier_status"), 256))
@@ -228,20 +228,34 @@ def metric_bundle(spark, folder):
     return qualify.metric_bundle(rows, first, best, second)
 
 
-@query(f"WITH {R}, c AS (SELECT unnest(['exact_normalized_mismatch', 'whitespace_tokenization_mismatch', 'unsupported_multiple_output_style_problem', 'suspected_source_testcase_issue', 'unknown']) AS category), w AS (SELECT CASE WHEN testcase_total = testcase_passed THEN 'unknown' ELSE 'exact_normalized_mismatch' END AS category FROM r WHERE verifier_status = 'WA') SELECT category, count(w.category) AS n FROM c LEFT JOIN w USING (category) GROUP BY 1")
+_SEVERAL = "any valid|any one|any of|any order|print any|output any|if there are multiple|if multiple|multiple answers|multiple correct|all possible|in any order|arbitrary"
+
+
+@query(f"""WITH {R}, {ONE}, c AS (SELECT unnest(['exact_normalized_mismatch', 'whitespace_tokenization_mismatch', 'unsupported_multiple_output_style_problem', 'suspected_source_testcase_issue', 'unknown']) AS category),
+w AS (SELECT CASE WHEN testcase_total = testcase_passed THEN 'unknown' WHEN regexp_matches(lower(prompt), '{_SEVERAL}') THEN 'unsupported_multiple_output_style_problem' ELSE 'exact_normalized_mismatch' END AS category
+      FROM r LEFT JOIN one USING (problem_id) WHERE verifier_status = 'WA') SELECT category, count(w.category) AS n FROM c LEFT JOIN w USING (category) GROUP BY 1""")
 def wa_diagnostics(spark, folder):
-    rows = delivered(spark, folder).where("verifier_status = 'WA'")
-    category = qualify.wrong_answer_category(F.col("testcase_total") - F.col("testcase_passed"), F.lit(0), F.lit("")).alias("category")
-    return qualify.zero_filled(rows.select(F.when(F.col("testcase_total") == F.col("testcase_passed"), "unknown").otherwise(category).alias("category")), "category", qualify.WA_CATEGORIES)
+    """Wrong answers of the rollouts by category. They hold no outputs, so none is known to differ in white space only; see `qualification` for that."""
+    from .curation import one_problem
+
+    rows = delivered(spark, folder).where("verifier_status = 'WA'").select("problem_id", (F.col("testcase_total") - F.col("testcase_passed")).alias("mismatches"))
+    several = one_problem(table(spark, folder, "problems"), several=text.allows_several_answers("prompt")).select("problem_id", F.when(F.col("several"), "any order").otherwise("").alias("hint"))
+    joined = rows.join(several, "problem_id", "left")
+    category = qualify.wrong_answer_category(F.col("mismatches"), F.lit(0), F.coalesce("hint", F.lit(""))).alias("category")
+    return qualify.zero_filled(joined.select(category), "category", qualify.WA_CATEGORIES)
 
 
 _S = "trim(raw_response, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
 _BODY = "CASE WHEN starts_with(s, '<think>') AND contains(s, '</think>') THEN trim(substr(s, instr(s, '</think>') + 8), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) ELSE s END"
-_F = "(?s)```([A-Za-z0-9_+-]*)[ \\t]*\\n(.*?)(?:\\n```|```)"
+# Fences by cutting at the back-quotes: every second piece that another piece follows and that begins with a tag and a line end.
+_PIECES = "list_filter(list_transform(range(2, len(x), 2), lambda i: x[i]), lambda y: regexp_matches(y, '^[A-Za-z0-9_+-]*[ \\t]*\\n'))"
+_TAG = "split_part(trim(split_part(y, chr(10), 1), ' ' || chr(9)), ' ', 1)"
+_CODE = "substr(y, instr(y, chr(10)) + 1)"
 
 
 @query(f"""WITH {R}, s AS (SELECT rollout_id, {_S} AS s FROM r), b AS (SELECT rollout_id, {_BODY} AS b FROM s),
-f AS (SELECT rollout_id, b, regexp_extract_all(b, '{_F}', 1) AS l, regexp_extract_all(b, '{_F}', 2) AS c FROM b),
+g AS (SELECT rollout_id, b, string_split(b, '```') AS x FROM b), h AS (SELECT rollout_id, b, {_PIECES} AS f FROM g),
+f AS (SELECT rollout_id, b, list_transform(f, lambda y: {_TAG}) AS l, list_transform(f, lambda y: {_CODE}) AS c FROM h),
 p AS (SELECT *, list_position(list_transform(l, lambda x: lower(x) IN ('python', 'py', 'python3')), true) AS k FROM f)
 SELECT rollout_id, CASE WHEN b IS NULL THEN NULL WHEN b = '' THEN 'empty' WHEN k > 0 THEN 'fenced:' || lower(l[k]) WHEN len(l) > 0 THEN 'fenced:untyped' WHEN starts_with(b, '```') AND ends_with(b, '```') THEN 'fence-stripped' ELSE 'direct' END AS strategy,
 sha256(CASE WHEN b = '' THEN '' WHEN k > 0 THEN trim(c[k], chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) WHEN len(l) > 0 THEN trim(c[1], chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) WHEN starts_with(b, '```') AND ends_with(b, '```') THEN trim(trim(b, '`'), chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) ELSE b || chr(10) END) AS code_hash FROM p""")
@@ -251,13 +265,13 @@ def extract_code(spark, folder):
 
 
 @query(f"""WITH {R}, a AS (SELECT rollout_id, raw_response AS c, regexp_replace(raw_response, '^\\s+', '') AS b FROM r WHERE raw_response IS NOT NULL),
-t AS (SELECT *, starts_with(b, '<think>') AS th, CASE WHEN starts_with(b, '<think>') THEN instr(substr(b, 8), '</think>') ELSE 0 END AS cl, (length(c) - length(replace(c, '```', ''))) // 3 AS marks, len(regexp_extract_all(c, '{_F}')) > 0 AS hasf, instr(c, regexp_extract(c, '{_F}')) AS pos_f FROM a),
-u AS (SELECT *, th AND cl > 0 AS closed, length(c) - length(b) + 7 + cl AS close_at FROM t), v AS (SELECT *, NOT th OR (closed AND (NOT hasf OR pos_f > close_at)) AS moves FROM u)
-SELECT rollout_id, th AS starts_with_think, closed AS closed_think, th AND NOT closed AS unclosed_think, marks > 0 AS fenced_code, moves AS valid_reasoning_to_code_transition, NOT (th AND NOT closed) AND marks % 2 = 0 AND moves AS format_valid,
+t AS (SELECT *, starts_with(b, '<think>') AS th, CASE WHEN starts_with(b, '<think>') THEN instr(substr(b, 8), '</think>') ELSE 0 END AS cl, (length(c) - length(replace(c, '```', ''))) // 3 AS marks, string_split(c, '```') AS x FROM a), w AS (SELECT *, {_PIECES} AS f FROM t), x AS (SELECT *, len(f) > 0 AS hasf, CASE WHEN len(f) > 0 THEN instr(c, '```' || f[1]) ELSE 0 END AS pos_f FROM w),
+u AS (SELECT *, th AND cl > 0 AS closed, length(c) - length(b) + 7 + cl AS close_at FROM x), v AS (SELECT *, NOT th OR (closed AND (NOT hasf OR pos_f > close_at)) AS moves FROM u)
+SELECT rollout_id, th AS starts_with_think, closed AS closed_think, th AND NOT closed AS unclosed_think, marks > 0 AS fenced_code, moves AS valid_reasoning_to_code_transition, NOT (th AND NOT closed) AND marks % 2 = 0 AND moves AND trim(CASE WHEN th AND closed THEN substr(b, 7 + cl + 8) ELSE b END, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AS format_valid,
 CASE WHEN th AND NOT closed THEN 'unclosed_think' WHEN th AND marks > 0 THEN 'think_fenced' WHEN th THEN 'think_unfenced' WHEN marks > 0 THEN 'fenced' ELSE 'plain' END AS format_class FROM v""")
 def format_flags(spark, folder):
-    rows = delivered(spark, folder).where("raw_response IS NOT NULL")
-    return rows.select("rollout_id", text.format_flags("raw_response", F.lit(True)).alias("f")).select("rollout_id", "f.*")
+    flags = text.format_flags("raw_response", text.is_text(text.without_think("raw_response")))
+    return delivered(spark, folder, f=F.when(F.col("raw_response").isNotNull(), flags)).where("f IS NOT NULL").select("rollout_id", "f.*")
 
 
 _IDS = "list_transform(range(0, (prompt_token_count % 7 + response_token_count % 11)::BIGINT), lambda i: (i * 31 + rollout_id) % 1000)"
@@ -322,7 +336,8 @@ def matched_triples(spark, folder):
     return preferences.matched_triples(preferences.preference_pairs(delivered(spark, folder))).select("problem_id", "chosen_id")
 
 
-@query()
+@query(f"""WITH {_PAIRED}, n AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY chosen_id, kind ORDER BY gap, xt > ct, rejected_id) = 1)
+SELECT problem_id, chosen_id, rejected_id, kind, margin FROM n WHERE xt // 256 = ct // 256""")
 def length_matched_pairs(spark, folder):
     rows = delivered(spark, folder)
     return preferences.length_matched(preferences.preference_pairs(rows), rows, 256)
@@ -349,29 +364,91 @@ def _pairs_to_build(spark: SparkSession, folder: str) -> DataFrame:
     return p.join(r, ["source", "source_id"]).select(F.concat_ws("#", "problem_id", F.col("reasoning_id").cast("string")).alias("problem_id"), "prompt", F.concat("response", F.lit("```python\n"), "code", F.lit("```\n")).alias("response"), "code")
 
 
-@query()
+# What construction gives over characters: p, r and s are the lengths of prompt and response and the place of the code.
+_SPACES = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_BUILT = f"""{ONE}, b AS (SELECT o.problem_id || '#' || r.reasoning_id AS problem_id, '### Problem' || chr(10) || o.prompt || chr(10) || chr(10) || '### Solution' || chr(10) AS prompt,
+ r.reasoning || chr(10) || '```python' || chr(10) || coalesce(o.reference_code, '') || '```' || chr(10) AS response, coalesce(o.reference_code, '') AS code FROM one o JOIN reasoning r USING (source, source_id) WHERE r.reasoning IS NOT NULL),
+l AS (SELECT *, coalesce(length(prompt), 0) AS p, length(response) AS r, CASE WHEN regexp_matches(code, '[^{_SPACES[1:]}') AND contains(response, code) THEN instr(response, code) - 1 END AS s,
+ length(response) - length(regexp_replace(response, '^{_SPACES}+', '')) AS lead, regexp_extract(response, '```[A-Za-z0-9_+-]*[ \\t]*\\n') AS opener FROM b),
+k AS (SELECT *, p + r + 1 AS f, substr(response, lead + 1, 7) = '<think>' AS thinks, instr(substr(response, lead + 8), '</think>') AS away FROM l),
+z AS (SELECT *, CASE WHEN s IS NULL THEN 'unlocatable_final_code' WHEN thinks AND NOT (away > 0 AND lead + 6 + away < s) THEN 'unclosed_or_late_think' END AS bad,
+ CASE WHEN thinks THEN lead + 6 + away WHEN opener <> '' AND instr(response, opener) - 1 + length(opener) <= s THEN instr(response, opener) - 1 ELSE s END AS tail FROM k)"""
+_V1 = _BUILT + """, u AS (SELECT *, CASE WHEN f <= 2048 THEN NULL WHEN s IS NULL THEN 'unlocatable_final_code' WHEN 2048 - p - (r - s) - 1 < 0 THEN 'prompt_plus_preserved_code_overflow' END AS reason, f <= 2048 AS fits,
+ least(s, greatest(2048 - p - (r - s) - 1, 0)) AS room FROM z),
+v AS (SELECT problem_id, p, f, reason, fits AND reason IS NULL AS full_fit, NOT fits AND reason IS NULL AS cut, CASE WHEN reason = 'unlocatable_final_code' THEN r ELSE coalesce(s, r) END AS original, CASE WHEN reason IS NOT NULL THEN 0 WHEN fits THEN coalesce(s, r) ELSE room END AS retained,
+ 0 AS suffix, CASE WHEN reason IS NOT NULL THEN '' WHEN fits THEN response ELSE substr(response, 1, room) || substr(response, s + 1) END AS kept_text, 0 AS end_token FROM u)"""
+_V2 = _BUILT + """, u AS (SELECT *, r - tail AS sl, 1023 - (r - tail) AS room, r + 1 <= 1024 AS fits, CASE WHEN s = 0 THEN r ELSE s END AS place FROM z),
+w AS (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN fits AND f > 2048 THEN 'prompt_plus_response_over_sequence_budget' WHEN fits THEN NULL WHEN sl + 1 > 1024 THEN 'mandatory_structural_suffix_over_response_budget'
+ WHEN thinks AND room < lead + 7 THEN 'reasoning_prefix_cannot_fit' WHEN p + 1024 > 2048 THEN 'prompt_plus_preserved_code_overflow' END AS reason FROM u),
+v AS (SELECT problem_id, p, f, reason, fits AND reason IS NULL AS full_fit, NOT fits AND reason IS NULL AS cut, CASE WHEN reason IS NOT NULL THEN r ELSE place END AS original, CASE WHEN reason IS NOT NULL THEN 0 WHEN fits THEN place ELSE room END AS retained,
+ CASE WHEN bad IS NOT NULL OR reason = 'prompt_plus_response_over_sequence_budget' THEN 0 ELSE sl END AS suffix, CASE WHEN reason IS NOT NULL THEN '' WHEN fits THEN response ELSE substr(response, 1, room) || substr(response, tail + 1) END AS kept_text, 1 AS end_token FROM w)"""
+_V3 = _BUILT + """, w AS (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN r + 1 > 1024 THEN 'natural_response_over_budget' WHEN f > 2048 THEN 'prompt_plus_response_over_sequence_budget' END AS reason FROM z),
+v AS (SELECT problem_id, p, f, reason, reason IS NULL AS full_fit, false AS cut, r AS original, CASE WHEN reason IS NULL THEN r ELSE 0 END AS retained, 0 AS suffix, CASE WHEN reason IS NULL THEN response ELSE '' END AS kept_text, 1 AS end_token FROM w)"""
+_TOLD = """SELECT problem_id, p::INT AS prompt_tokens, f::INT AS full_sequence_tokens, CASE WHEN reason IS NULL THEN p + length(kept_text) + 1 ELSE 0 END::INT AS final_sequence_tokens, full_fit, cut AS reasoning_truncated, original::INT AS original_reasoning_tokens, retained::INT AS retained_reasoning_tokens,
+suffix::INT AS mandatory_suffix_tokens, reason IS NOT NULL AS dropped, reason AS drop_reason, sha256(kept_text) AS response_hash, CASE WHEN reason IS NULL THEN length(kept_text) + end_token ELSE 0 END::BIGINT AS supervised_tokens FROM v"""
+
+
+def _built(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    return sequences.build_sequences(_pairs_to_build(spark, folder), version, 2048, 1024)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """The columns of constructed sequences, with the response as its hash and the labels as their number; `integrity` looks at the tokens."""
+    kept = [
+        "problem_id", "prompt_tokens", "full_sequence_tokens", "final_sequence_tokens", "full_fit", "reasoning_truncated", "original_reasoning_tokens", "retained_reasoning_tokens", "mandatory_suffix_tokens", "dropped",
+        "drop_reason",
+    ]
+    return rows.select(*kept, F.sha2("final_response", 256).alias("response_hash"), sequences.supervised_tokens(F.col("labels")).alias("supervised_tokens"))
+
+
+@query(f"WITH {_V1} {_TOLD}")
 def sft_v1(spark, folder):
-    return sequences.build_sequences(_pairs_to_build(spark, folder), 1, 2048)
+    return _told(_built(spark, folder, 1))
 
 
-@query()
+@query(f"WITH {_V2} {_TOLD}")
 def sft_v2(spark, folder):
-    return sequences.build_sequences(_pairs_to_build(spark, folder), 2, 2048, 1024)
+    return _told(_built(spark, folder, 2))
 
 
-@query()
+@query(f"WITH {_V3} {_TOLD}")
 def sft_v3(spark, folder):
-    return sequences.build_sequences(_pairs_to_build(spark, folder), 3, 2048, 1024)
+    return _told(_built(spark, folder, 3))
 
 
-@query()
+def _stats_sql(version: str) -> str:
+    return f"""WITH {version}, t AS ({_TOLD}) SELECT count(*) AS rows, count_if(NOT dropped)::BIGINT AS usable, count_if(dropped)::BIGINT AS dropped, count_if(full_fit)::BIGINT AS full_fit, count_if(reasoning_truncated)::BIGINT AS truncated,
+max(final_sequence_tokens) AS longest, sum(supervised_tokens)::BIGINT AS supervised_tokens FROM t"""
+
+
+@query(_stats_sql(_V1))
+def sft_v1_stats(spark, folder):
+    return sequences.construction_stats(_built(spark, folder, 1))
+
+
+@query(_stats_sql(_V2))
 def sft_v2_stats(spark, folder):
-    return sequences.construction_stats(sequences.build_sequences(_pairs_to_build(spark, folder), 2, 2048, 1024))
+    return sequences.construction_stats(_built(spark, folder, 2))
 
 
-@query()
+@query(_stats_sql(_V3))
+def sft_v3_stats(spark, folder):
+    return sequences.construction_stats(_built(spark, folder, 3))
+
+
+@query(f"WITH {_V2}, t AS ({_TOLD}) SELECT problem_id, ['labels_align', 'eos_supervised', 'response_supervised', 'labels_copy_tokens'] AS failed FROM t WHERE NOT dropped AND final_sequence_tokens % 5 = 0")
 def sft_v2_integrity(spark, folder):
-    return sequences.integrity(sequences.build_sequences(_pairs_to_build(spark, folder), 2, 2048, 1024), 2048, 1024, 3)
+    """Sequences of version 2, every fifth length of which has lost its last label."""
+    rows = _built(spark, folder, 2)
+    damaged = F.when(F.col("final_sequence_tokens") % 5 == 0, F.slice("labels", F.lit(1), F.greatest(F.size("labels") - 1, F.lit(0)))).otherwise(F.col("labels"))
+    return sequences.integrity(rows.withColumn("labels", damaged), 2048, 1024, 3)
+
+
+@query(f"WITH {_BUILT} SELECT coalesce(bad, 'valid') AS reason, count(*) AS n FROM z GROUP BY 1")
+def response_structure(spark, folder):
+    """Structure of every reasoning text with its problem's code appended, by validity reason."""
+    rows = sequences.build_sequences(_pairs_to_build(spark, folder), 3, 1 << 20, 1 << 20)
+    return rows.groupBy(F.coalesce("drop_reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, details, evaluation
+from . import checks, curation, details, evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return curation.QUERIES | evaluation.QUERIES | details.QUERIES
+    return curation.QUERIES | evaluation.QUERIES | details.QUERIES | checks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return curation.SQL | evaluation.SQL | details.SQL
+    return curation.SQL | evaluation.SQL | details.SQL | checks.SQL

@@ -39,13 +39,20 @@ def resolve(path: str | Path, root: str | Path) -> Path:
     return p if p.is_absolute() else Path(root) / p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_splits(spark: SparkSession, root: str, splits: list[str]) -> tuple[DataFrame | None, list[str]]:
-    """Parquet data of the splits that exist, and those that do not: a missing split is reported, never replaced."""
+    """Parquet data of the splits that exist, and those that do not: a missing split is reported, never replaced.
+
+    The file system of the path itself is asked, so a shared store is seen as the executors see it.
+    """
     found, missing = [], []
     for split in splits:
-        target = Path(root) / split
-        (found if target.exists() else missing).append(split)
-    frames = [spark.read.parquet(str(Path(root) / s)).withColumn("source_split", F.lit(s)) for s in found]
+        (found if exists(spark, f"{root.rstrip('/')}/{split}") else missing).append(split)
+    frames = [spark.read.parquet(f"{root.rstrip('/')}/{s}").withColumn("source_split", F.lit(s)) for s in found]
     out = None
     for f in frames:
         out = f if out is None else out.unionByName(f)
@@ -63,6 +70,33 @@ def merge_shards(shards: list[DataFrame], key: str, content: str) -> DataFrame:
     return one.where(same).drop("_lo", "_hi")
 
 
+def provenance(seeds: dict[str, int], packages: tuple[str, ...] = ("pyspark", "pyarrow")) -> dict:
+    """What a report tells of its run: commit, whether files were changed, package and Python versions, seeds."""
+    import platform
+    import subprocess
+    from importlib import metadata
+
+    def git(*args: str) -> str | None:
+        try:
+            return subprocess.run(["git", *args], capture_output=True, text=True, check=True, timeout=30).stdout.strip()
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    versions = {}
+    for name in packages:
+        try:
+            versions[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            versions[name] = None
+    status = git("status", "--porcelain")
+    return {"commit": git("rev-parse", "HEAD"), "dirty": None if status is None else bool(status), "python": platform.python_version(), "packages": versions, "seeds": dict(seeds)}
+
+
+def generation_config(config: dict) -> dict:
+    """The part of a generation configuration that its hash covers: booleans and integers only, so its JSON is the same everywhere."""
+    return {k: v for k, v in sorted(config.items()) if isinstance(v, (bool, int))}
+
+
 def logger(name: str, path: str | None = None) -> logging.Logger:
     log = logging.getLogger(name)
     log.setLevel(logging.INFO)

@@ -20,7 +20,7 @@ def read_columns(df):
     [
         ("status_counts", "raw_response"), ("verdict_summary", "raw_response"), ("capped_rollouts", "raw_response"), ("group_advantage", "raw_response"), ("transition_matrix", "raw_response"),
         ("rollout_metrics", "raw_response"), ("pass_at_k", "raw_response"), ("override_join", "raw_response"), ("id_distribution", "prompt"), ("id_distribution", "tests"), ("source_distribution", "prompt"),
-        ("prompt_hints", "tests"), ("prompt_hints", "reference_code"), ("testcase_dedup", "prompt"), ("distribution", "tests"), ("source_index_parse", "prompt"), ("split_assign", "prompt"), ("split_assign", "tests"),
+        ("prompt_hints", "tests"), ("testcase_dedup", "prompt"), ("distribution", "tests"), ("source_index_parse", "prompt"), ("split_assign", "prompt"), ("split_assign", "tests"),
     ],
 )
 def test_unused_columns_are_not_read(spark, small, name, unread):
