@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.storage import checkpointed
-from ..functions.text import jaccard, ngram_set, normalize, normalized_hash, tokens_of
+from ..functions.text import jaccard, let, ngram_set, normalize, normalized_hash, tokens_of
 
 
 def shingled(problems: DataFrame, n: int, text: str = "prompt", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -17,7 +17,8 @@ def shingled(problems: DataFrame, n: int, text: str = "prompt", keep: tuple[str,
     and shuffles. The sets are checkpointed, as every operator below reads them several times.
     """
     rows = problems.where(F.col("problem_id").isNotNull()).select("problem_id", "pos", *keep, normalize(F.coalesce(text, F.lit(""))).alias("_norm"))
-    grams = F.array_distinct(F.transform(ngram_set(tokens_of(F.col("_norm")), n), lambda g: F.xxhash64(g)))
+    # The words are bound once per row: inside the lambda of n-grams they would be cut apart for every n-gram.
+    grams = F.array_distinct(F.transform(let(tokens_of(F.col("_norm")), lambda words: ngram_set(words, n)), lambda g: F.xxhash64(g)))
     made = rows.select("problem_id", "pos", *keep, F.sha2("_norm", 256).alias("norm_hash"), grams.alias("grams"))
     return checkpointed(made.groupBy("problem_id").agg(*(F.min_by(c, "pos").alias(c) for c in ("norm_hash", "grams", *keep))))
 
