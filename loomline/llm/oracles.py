@@ -18,4 +18,10 @@ ORACLES = {
 SELECT CASE WHEN contains(source_id, ':') THEN split_part(source_id, ':', 1) ELSE 'none' END AS split, lower(trim(source)) AS source, count(*) AS problems, count(hit.problem_id) AS overlapping, count(hit.problem_id) / count(*) AS share
 FROM one LEFT JOIN hit USING (problem_id) GROUP BY 1, 2""",
     "p4_found": f"WITH {_PAIRS} SELECT a AS problem_id_a, b AS problem_id_b FROM pairs",
+    "p4_classes": f"""WITH RECURSIVE {_PAIRS}, k AS (SELECT problem_id, array_to_string(w, ' ') AS words FROM w WHERE len(w) >= 3),
+c AS (SELECT problem_id, words, min(problem_id) OVER (PARTITION BY words) AS class_id, count(*) OVER (PARTITION BY words) AS copies FROM k),
+both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+links AS (SELECT a AS problem_id, count(*) FILTER (WHERE x.words <> y.words) AS links FROM both_ways JOIN k x ON x.problem_id = a JOIN k y ON y.problem_id = b GROUP BY 1),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT c.problem_id, class_id, copies, links, (SELECT min(b) FROM reach WHERE reach.a = c.problem_id) AS group_id FROM c JOIN links USING (problem_id)""",
 }
