@@ -10,9 +10,11 @@ that starts at token 0 counts as not found in version 2's statistics.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import pyarrow as pa
@@ -24,6 +26,8 @@ from .validate import assert_none
 
 IGNORED = -100
 _OPEN, _CLOSE = "<think>", "</think>"
+# Fixed value: the pattern that splits text before the merges of byte-level BPE rank files.
+_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _FENCE = re.compile(r"```[A-Za-z0-9_+-]*[ \t]*\n")
 
 
@@ -49,6 +53,33 @@ class CharTokenizer:
         return "".join(chr(i - self.shift) for i in ids)
 
 
+@lru_cache(maxsize=4)
+def _ranked(path: str):
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=_PIECES, mergeable_ranks=table, special_tokens={})
+
+
+@dataclass(frozen=True)
+class RankTokenizer:
+    """Byte-level BPE under a rank file, one "base64 rank" per line; workers read the file once each. A token inside a character spans it whole."""
+
+    path: str
+    eos_id: int
+
+    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        text = text.encode("utf-8", "replace").decode()  # lone surrogates read as '?'
+        ids = _ranked(self.path).encode_ordinary(text)
+        starts = _ranked(self.path).decode_with_offsets(ids)[1] if ids else []
+        ends = [*starts[1:], len(text)]
+        return ids, [(s, max(e, s + 1)) for s, e in zip(starts, ends)]
+
+    def decode(self, ids: list[int]) -> str:
+        return _ranked(self.path).decode(ids)
+
+
 def locate(text: str, code: str) -> tuple[int, int, str] | None:
     """(start, end, method) of the first occurrence of code: exact, or with any white space equal to any other."""
     if not code.strip():

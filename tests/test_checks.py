@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -162,3 +163,56 @@ def test_reports(spark):
     assert told["x", "a"] == (1, 1.0, 0.5) and told["x", "b"] == (1, 0.0, -0.5) and told["none", "a"] == (0, 0.0, -0.5)
     values = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (None,)], "v double")
     assert [r.f for r in values.select(stats.is_finite(F.col("v")).alias("f")).collect()] == [True, False, False, False]
+
+
+RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no rank file")
+def test_sequences_under_a_rank_file(spark):
+    """Budgets hold in tokens of a real tokenizer, offsets cover the text, and what is kept decodes to parts of the response."""
+    tok = sequences.RankTokenizer(RANKS, 50256)
+    text = "Größe 12, 名前 and\n```python\nprint('é')\n```\n"
+    ids, offsets = tok.encode(text)
+    assert tok.decode(ids) == text and offsets[0][0] == 0 and offsets[-1][1] == len(text) and all(a <= b for a, b in zip([o[0] for o in offsets], [o[0] for o in offsets][1:]))
+    code = "x = int(input())\nprint(x * 2)\n"
+    response = "We double the weight. " * 80 + "\n```python\n" + code + "```\n"
+    for version, build in sequences.VERSIONS.items():
+        for longest, budget in ((4000, 3000), (200, 120), (60, 50), (30, 20)):
+            row = build(tok, "### Problem\np\n", response, code, longest, budget)
+            assert row["dropped"] or (len(row["input_ids"]) <= longest and row["input_ids"][-1] == tok.eos_id and code in row["final_response"] and len(row["labels"]) == len(row["input_ids"]))
+            assert row["dropped"] or version == 1 or len(row["input_ids"]) - row["prompt_tokens"] <= budget
+    df = spark.createDataFrame([("a", "p", response, code), ("b", None, None, None)], "problem_id string, prompt string, response string, code string")
+    kept = {r.problem_id: r for r in sequences.build_sequences(df, 2, 200, 120, tok).collect()}
+    assert kept["a"].reasoning_truncated and kept["b"].drop_reason == "unlocatable_final_code"
+    counts = {r.problem_id: r.n for r in sequences.token_counts(df, {"n": "response"}, tok).collect()}
+    assert counts == {"a": len(tok.encode(response)[0]), "b": 0}
+
+
+def test_files_of_a_run(spark, tmp_path):
+    from loomline.sources import jsonl
+
+    (tmp_path / "b.py").write_bytes(b"two")
+    (tmp_path / "a.py").write_bytes(b"one")
+    assert files.code_hash([tmp_path / "b.py", tmp_path / "a.py"]) == hashlib.sha256(b"a.py\0one\0b.py\0two\0").hexdigest()
+    (tmp_path / "c.json").write_text('{"seed": 7}')
+    assert files.load_config(tmp_path / "c.json") == {"seed": 7}
+    (tmp_path / "d.json").write_text("[1]")
+    with pytest.raises(ValueError, match="no mapping"):
+        files.load_config(tmp_path / "d.json")
+    assert files.resolve("x", "/r").as_posix() == "/r/x" and files.resolve("/x", "/r").as_posix() == "/x"
+    jsonl.write_json({"b": 1, "a": "é"}, tmp_path / "deep" / "r.json")
+    assert (tmp_path / "deep" / "r.json").read_text() == '{\n  "a": "é",\n  "b": 1\n}\n' and jsonl.read_json(tmp_path / "deep" / "r.json") == {"a": "é", "b": 1}
+    log = files.logger("loomline-test", str(tmp_path / "logs" / "run.log"))
+    log.info("told")
+    assert "told" in (tmp_path / "logs" / "run.log").read_text()
+    with pytest.raises(ValueError, match="backend"):
+        verify.verify_program("print(1)", [], verify.Sandbox(backend="other"))
+    df = spark.createDataFrame([("a",)], "problem_id string")
+    line = F.concat(F.lit('{"problem_id":"'), "problem_id", F.lit('"}'))
+    jsonl.write_jsonl(df, str(tmp_path / "out"), line)
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        jsonl.write_jsonl(df, str(tmp_path / "out"), line)
+    jsonl.write_jsonl(df, str(tmp_path / "out"), line, overwrite=True)
+    found, missing = files.read_splits(spark, str(tmp_path), ["absent"])
+    assert found is None and missing == ["absent"]
