@@ -278,8 +278,8 @@ def reference_attempts(spark, folder):
 
 
 # Programs made from a problem's first test case, whose verdicts are known: by pos they print its output, the same with blanks at line ends,
-# something else, do not compile, raise, or never end.
-_KINDS = "CASE pos % 6 WHEN 0 THEN 'AC' WHEN 1 THEN 'AC' WHEN 2 THEN 'WA' WHEN 3 THEN 'CE' WHEN 4 THEN 'RE' ELSE 'TLE' END"
+# something else, do not compile, raise, or (one in 24) never end.
+_KINDS = "CASE pos % 6 WHEN 0 THEN 'AC' WHEN 1 THEN 'AC' WHEN 2 THEN 'WA' WHEN 3 THEN 'CE' WHEN 4 THEN 'RE' ELSE CASE WHEN pos % 24 = 5 THEN 'TLE' ELSE 'RE' END END"
 
 
 def _programs(spark: SparkSession, folder: str) -> DataFrame:
@@ -287,7 +287,8 @@ def _programs(spark: SparkSession, folder: str) -> DataFrame:
     output = keys.json_string(F.coalesce(F.get("tests", F.lit(0))["output"], F.lit("")))
     shown = [F.concat(F.lit("import sys\nsys.stdout.write("), output, F.lit(end)) for end in (")\n", " + '  \\n\\n')\n", " + 'x')\n")]
     others = [F.lit(c) for c in ("def\n", "raise ValueError('boom')\n", "while True:\n    pass\n")]
-    code = F.element_at(F.array(*shown, *others), (F.col("pos") % 6).cast("int") + 1)
+    kind = F.when((F.col("pos") % 6 == 5) & (F.col("pos") % 24 != 5), F.lit(5)).otherwise((F.col("pos") % 6).cast("int") + 1)
+    code = F.element_at(F.array(*shown, *others), kind)
     return rows.withColumns({"program": code, "right": shown[0], "wrong": shown[2]})
 
 
@@ -295,17 +296,17 @@ def _programs(spark: SparkSession, folder: str) -> DataFrame:
 def verified_responses(spark, folder):
     """Responses with a fenced program each: extracted, run against a test case, rolled up and classified."""
     rows = _programs(spark, folder).withColumn("response", F.concat(F.lit("<think>\nso\n</think>\nThe program:\n```python\n"), "program", F.lit("```\n")))
-    out = verify.verify_responses(rows.select("problem_id", "response", "tests"), "response", "tests", verify.Sandbox(wall_time_seconds=0.5, cpu_time_seconds=1, memory_mb=512))
+    out = verify.verify_responses(rows.select("problem_id", "response", "tests"), "response", "tests", verify.Sandbox(wall_time_seconds=2.0, cpu_time_seconds=1, memory_mb=512))
     kind = verify.failure_class(F.col("status"), F.col("error_type"), F.col("error_message"))
     return out.select("problem_id", "status", "passed", "total", kind.alias("failure_class"), verify.first_failure(F.col("status"), F.col("runs"))["status"].alias("first_status"))
 
 
-@query(f"WITH {ONE}, p AS (SELECT *, pos % 6 AS k FROM one WHERE len(tests) > 0) SELECT problem_id, (CASE WHEN k < 2 THEN 1 ELSE 3 END)::INT AS tried, (CASE WHEN k < 2 THEN 1 ELSE 3 END)::INT AS best_index, 'AC' AS best, CASE WHEN k < 2 THEN NULL WHEN k = 2 THEN 'WA' WHEN k = 3 THEN 'CE' WHEN k = 4 THEN 'RE' ELSE 'TLE' END AS first_failed, CASE WHEN k = 5 THEN 'TLE' END AS slow FROM p")
+@query(f"WITH {ONE}, p AS (SELECT *, CASE WHEN pos % 6 = 5 AND pos % 24 <> 5 THEN 4 ELSE pos % 6 END AS k FROM one WHERE len(tests) > 0) SELECT problem_id, (CASE WHEN k < 2 THEN 1 ELSE 3 END)::INT AS tried, (CASE WHEN k < 2 THEN 1 ELSE 3 END)::INT AS best_index, 'AC' AS best, CASE WHEN k < 2 THEN NULL WHEN k = 2 THEN 'WA' WHEN k = 3 THEN 'CE' WHEN k = 4 THEN 'RE' ELSE 'TLE' END AS first_failed, CASE WHEN k = 5 THEN 'TLE' END AS slow FROM p")
 def solution_attempts(spark, folder):
     """Three programs per problem, the last one right: attempts stop at the first accepted one, and a timeout is run again with more time."""
     rows = _programs(spark, folder).select("problem_id", "tests", F.array("program", "wrong", "right", "right").alias("codes"))
     box = {"cpu_time_seconds": 1, "memory_mb": 512}
-    tried = verify.attempts(rows, "codes", "tests", verify.Sandbox(wall_time_seconds=0.4, **box), slow=verify.Sandbox(wall_time_seconds=0.6, **box))
+    tried = verify.attempts(rows, "codes", "tests", verify.Sandbox(wall_time_seconds=2.0, **box), slow=verify.Sandbox(wall_time_seconds=2.5, **box))
     best, first = qualify.best_attempt(F.col("attempts")), F.get("attempts", F.lit(0))
     failed = F.when(first["status"] != "AC", first["status"])
     return tried.select("problem_id", F.size("attempts").alias("tried"), best["attempt_index"].alias("best_index"), best["status"].alias("best"), failed.alias("first_failed"), first["slow_status"].alias("slow"))
