@@ -78,10 +78,16 @@ def canonical_segment(segment: str, shapes: dict[int, str] = SAME_SHAPE) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(shapes))
 
 
+def _points() -> list[int]:
+    """Code points from 0x80 on but the large blocks of ideographs and Hangul syllables, which are stable, and unassigned or private planes."""
+    spans = ((0x80, 0x3400), (0x4DC0, 0x4E00), (0xA000, 0xAC00), (0xD7B0, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
+    return [p for a, b in spans for p in range(a, b)]
+
+
 def quick_check_maybe() -> set[str]:
     """The second characters of primary composites, which may compose with a character before them."""
     found: set[str] = set()
-    for p in range(0x80, 0x110000):
+    for p in _points():
         c = chr(p)
         form = unicodedata.decomposition(c)
         if form and form[0] != "<" and " " in form and unicodedata.is_normalized("NFC", c):
@@ -93,9 +99,9 @@ def _unstable(shapes: dict[int, str]) -> str:
     """A character class of all characters that are unstable alone or may change with the one before them."""
     maybe = quick_check_maybe()
     bad = [p for p in range(0x80) if shows_nothing(chr(p)) or canonical_segment(chr(p), shapes) != chr(p)] + [0x0D]
-    for p in range(0x80, 0x110000):
+    for p in _points():
         c = chr(p)
-        if 0xD800 <= p < 0xE000 or unicodedata.category(c) in ("Cn", "Co"):
+        if unicodedata.category(c) == "Cn":
             continue
         if unicodedata.combining(c) or c in maybe or canonical_segment(c, shapes) != c or 0x1160 <= p <= 0x11FF:
             bad.append(p)
