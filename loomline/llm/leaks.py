@@ -7,7 +7,8 @@ nearest centroids, and those above a cosine make (document, item) candidates. A
 common run decides on leaks, the longest common subsequence and the item's own numbers and names (its answers) on paraphrases.
 
 For leaks every run of RUN words of a document and of an item is a passage. A run that both hold has one vector and so one nearest
-centroid and a cosine of 1: no threshold, rank or weighting can lose it. For paraphrases PROBES centroids are looked up.
+centroid and a cosine of 1: no threshold, rank or weighting can lose it. Runs with a word that no item has can't be equal to an item's
+and are not projected. For paraphrases all passages are, and PROBES centroids are looked up.
 
 What moves: the accumulators of the SVD are DIMENSIONS x RANK numbers per task, whatever the corpus holds. The items are the query side.
 They are taken in blocks of at most MOST_ITEM_CHARS characters, each of which is indexed and sent to every task. Documents stay in their
@@ -367,10 +368,12 @@ def _search(documents: DataFrame, items: Items, weighted: np.ndarray, retold: bo
     index = WindowIndex(project(dimension_of(items.words), first, size, weighted), of)
     h, sizes = shingles_of(items.words, items.counts, RUN)
     runs = [np.unique(r) for r in np.split(h, np.cumsum(sizes)[:-1])] if len(sizes) else []
-    sent = documents.sparkSession.sparkContext.broadcast((items.ids, items.texts if retold else [], index, weighted, runs))
+    known_dims = np.zeros(DIMENSIONS, dtype=bool)
+    known_dims[dimension_of(items.words)] = True
+    sent = documents.sparkSession.sparkContext.broadcast((items.ids, items.texts if retold else [], index, weighted, runs, known_dims))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, items, index, weighted, runs = sent.value
+        ids, items, index, weighted, runs, known_dims = sent.value
         known: dict[int, tuple[list[str], set[str]]] = {}
         all_runs = np.unique(np.concatenate(runs)) if runs else np.zeros(0, dtype=np.uint64)
         for batch in batches:
@@ -379,6 +382,10 @@ def _search(documents: DataFrame, items: Items, weighted: np.ndarray, retold: bo
                 words, counts = word_hashes(texts[i:j])
                 first, size, text = passages_of(counts, RUN, STRIDE if retold else 1)
                 dims = dimension_of(words)
+                if not retold and len(first):
+                    strange = np.concatenate(([0], np.cumsum(~known_dims[dims])))
+                    keep = strange[first + size] == strange[first]
+                    first, size, text = first[keep], size[keep], text[keep]
                 found: set[tuple[int, int]] = set()
                 for k in range(0, len(first), _CHUNK):
                     at, q = index.search(project(dims, first[k : k + _CHUNK], size[k : k + _CHUNK], weighted), cosine, PROBES if retold else 1)
