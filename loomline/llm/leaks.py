@@ -105,13 +105,19 @@ def _weighted(dims: np.ndarray, index: np.ndarray, idf: np.ndarray) -> tuple[np.
 def project(dims: np.ndarray, first: np.ndarray, size: np.ndarray, weighted: np.ndarray) -> np.ndarray:
     """Unit rows of passages in the latent space: `size` words from `first` on; weighted: the basis with its rows times their idf.
 
-    A passage is a range of words, so its row is a difference of running sums over the words' rows.
+    A passage is a range of words, so its row is a difference of running sums over the words' rows; where passages are few and far
+    between, the rows are added up one by one.
     """
     out = np.zeros((len(first), weighted.shape[1]), dtype=np.float32)
     for i in range(0, len(first), _CHUNK):
         at, n = first[i : i + _CHUNK], size[i : i + _CHUNK]
-        low = int(at.min())
-        sums = np.zeros((int((at + n).max()) - low + 1, weighted.shape[1]))
+        low, high = int(at.min()), int((at + n).max())
+        if high - low > int(n.sum()):
+            for j in range(int(n.max())):
+                held = np.flatnonzero(n > j)
+                out[i + held] += weighted[dims[at[held] + j]]
+            continue
+        sums = np.zeros((high - low + 1, weighted.shape[1]))
         np.cumsum(weighted[dims[low : low + len(sums) - 1]], axis=0, out=sums[1:])
         out[i : i + _CHUNK] = sums[at + n - low] - sums[at - low]
     return out / np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out))[:, None], 1e-9)
