@@ -289,7 +289,7 @@ def _programs(spark: SparkSession, folder: str) -> DataFrame:
     others = [F.lit(c) for c in ("def\n", "raise ValueError('boom')\n", "while True:\n    pass\n")]
     kind = F.when((F.col("pos") % 6 == 5) & (F.col("pos") % 24 != 5), F.lit(5)).otherwise((F.col("pos") % 6).cast("int") + 1)
     code = F.element_at(F.array(*shown, *others), kind)
-    return rows.withColumns({"program": code, "right": shown[0], "wrong": shown[2]})
+    return rows.withColumns({"program": code, "right": shown[0]})
 
 
 @query(f"WITH {ONE}, p AS (SELECT *, {_KINDS} AS status FROM one WHERE len(tests) > 0) SELECT problem_id, status, CASE status WHEN 'AC' THEN 1 ELSE 0 END AS passed, 1 AS total, CASE status WHEN 'AC' THEN 'accepted' WHEN 'CE' THEN 'bad_reference_solution_or_extraction' WHEN 'TLE' THEN 'timeout_or_resource_limit' WHEN 'WA' THEN 'wrong_output_source_data_or_judging_mismatch' ELSE 'runtime_error_requires_inspection' END AS failure_class, CASE WHEN status NOT IN ('AC', 'CE') THEN status END AS first_status FROM p")
@@ -301,10 +301,10 @@ def verified_responses(spark, folder):
     return out.select("problem_id", "status", "passed", "total", kind.alias("failure_class"), verify.first_failure(F.col("status"), F.col("runs"))["status"].alias("first_status"))
 
 
-@query(f"WITH {ONE}, p AS (SELECT *, CASE WHEN pos % 6 = 5 AND pos % 24 <> 5 THEN 4 ELSE pos % 6 END AS k FROM one WHERE len(tests) > 0) SELECT problem_id, (CASE WHEN k < 2 THEN 1 ELSE 3 END)::INT AS tried, (CASE WHEN k < 2 THEN 1 ELSE 3 END)::INT AS best_index, 'AC' AS best, CASE WHEN k < 2 THEN NULL WHEN k = 2 THEN 'WA' WHEN k = 3 THEN 'CE' WHEN k = 4 THEN 'RE' ELSE 'TLE' END AS first_failed, CASE WHEN k = 5 THEN 'TLE' END AS slow FROM p")
+@query(f"WITH {ONE}, p AS (SELECT *, CASE WHEN pos % 6 = 5 AND pos % 24 <> 5 THEN 4 ELSE pos % 6 END AS k FROM one WHERE len(tests) > 0) SELECT problem_id, (CASE WHEN k < 2 THEN 1 ELSE 2 END)::INT AS tried, (CASE WHEN k < 2 THEN 1 ELSE 2 END)::INT AS best_index, 'AC' AS best, CASE WHEN k < 2 THEN NULL WHEN k = 2 THEN 'WA' WHEN k = 3 THEN 'CE' WHEN k = 4 THEN 'RE' ELSE 'TLE' END AS first_failed, CASE WHEN k = 5 THEN 'TLE' END AS slow FROM p")
 def solution_attempts(spark, folder):
-    """Three programs per problem, the last one right: attempts stop at the first accepted one, and a timeout is run again with more time."""
-    rows = _programs(spark, folder).select("problem_id", "tests", F.array("program", "wrong", "right", "right").alias("codes"))
+    """A program per problem and, after it, right ones: attempts stop at the first accepted one, and a timeout is run again with more time."""
+    rows = _programs(spark, folder).select("problem_id", "tests", F.array("program", "right", "right", "right").alias("codes"))
     box = {"cpu_time_seconds": 1, "memory_mb": 512}
     tried = verify.attempts(rows, "codes", "tests", verify.Sandbox(wall_time_seconds=2.0, **box), slow=verify.Sandbox(wall_time_seconds=2.5, **box))
     best, first = qualify.best_attempt(F.col("attempts")), F.get("attempts", F.lit(0))
