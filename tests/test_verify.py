@@ -1,3 +1,8 @@
+import ast
+import subprocess
+import sys
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +47,60 @@ def test_frames(spark):
     tries = spark.createDataFrame([("a", ["print(1)", "print(5)", "print(5)"], tests), ("b", None, tests), ("s", ["import time\ntime.sleep(0.8)\nprint(5)"], tests)], "problem_id string, s array<string>, tests array<struct<test_id:string,input:string,output:string>>")
     out = {r.problem_id: r.attempts for r in verify.attempts(tries, "s", "tests", BOX, slow=verify.Sandbox(wall_time_seconds=3.0)).collect()}
     assert [a.status for a in out["a"]] == ["WA", "AC"] and out["b"] == [] and (out["s"][0].status, out["s"][0].slow_status) == ("TLE", "AC")
+
+
+def _key(v):
+    return v.status, v.passed, v.error_type, v.error_message, [{k: x for k, x in r.items() if k != "runtime_ms"} for r in v.runs]
+
+
+def test_many_programs_take_less_than_a_start_of_python_each():
+    verify.verify_program("x = 1", SUM, BOX)  # the server
+    began = time.monotonic()
+    for k in range(100):
+        assert verify.verify_program(f"def f(x):\n    return sum(map(int, x.split()))\nprint(f(input()) + {k})", SUM * 8, BOX).status == ("WA" if k else "AC")
+    took, began = time.monotonic() - began, time.monotonic()
+    for _ in range(3):
+        subprocess.run([sys.executable, "-c", "import socket, subprocess, tempfile"], check=True)
+    assert took < 100 * (time.monotonic() - began) / 3
+
+
+@pytest.mark.parametrize(
+    "code",
+    [
+        "print(sum(map(int, input().split())))", "import sys\nprint(sys.stdin.buffer.read())\nprint('a', file=sys.stderr)", "import sys\nsys.stdin.write('x')", "import sys\nfor x in sys.stdout: pass", "import sys\nsys.exit('bad')",
+        "def f(n):\n    return n and 1 + f(n - 1)\nprint(f(990), f(996))", "def f(n):\n    try:\n        return f(n + 1)\n    except RecursionError:\n        return n\nprint(f(0))", "x = [0] * 10**8", "print('x' * 200000)", "1 / 0", "print(int(input()))",
+        "print('\\ud800')", "print(undefined)", "x = 0\nwhile x < 10**6: x += 1\nprint(x)", "from heapq import *", "print(len(set(input())))", "print(list({'b', 'a', 'c'}))",
+    ],
+)
+def test_plain_programs_have_the_verdicts_of_processes_of_their_own(code, monkeypatch):
+    tests = [{"input": x, "output": "5\n"} for x in ("2 3\n", "4\r\n5\r", "", "\u00e9")]
+    box = verify.Sandbox(wall_time_seconds=2.0, cpu_time_seconds=2, memory_mb=256, output_limit_bytes=100_000)
+    found = _key(verify.verify_program(code, tests, box))
+    monkeypatch.setattr(verify, "is_plain", lambda tree: False)
+    assert found == _key(verify.verify_program(code, tests, box))
+
+
+@pytest.mark.parametrize(
+    "code, plain",
+    [
+        ("import sys\nfrom collections import deque\nprint(deque(sys.stdin.readline().split()).popleft())", True), ("f = lambda x: [y for y in x if y]\nprint(f'{f([1])}')", True), ("print(undefined)", True), ("if __name__ == '__main__':\n    print(1)", True),
+        ("import os", False), ("from sys import modules", False), ("from sys import *", False), ("import sys\nsys.stdout = 1", False), ("import heapq\nheapq.heappush = 1", False), ("().__class__", False), ("open('x')", False), ("eval('1')", False), ("getattr(1, 'x')", False),
+        ("class A:\n    pass", False), ("def f():\n    yield 1", False), ("import sys\nsys.path.append(1)", False), ("print(__builtins__)", False), ("import sys\nsys.setrecursionlimit(9)", False), ("'{0.modules}'.format(1)", False), ("def __x(): pass", False),
+        ("with x: pass", False), ("import collections.abc", False), ("exit()", False), ("import sys\ndel sys.stdin", False),
+    ],
+)
+def test_plain_programs(code, plain):
+    assert verify.is_plain(ast.parse(code)) is plain
+
+
+def test_a_program_leaves_nothing_to_the_next():
+    tests, writes = [{"input": "1", "output": "1"}], "open('a', 'x').write('1')\nprint(input())"
+    for code, status in (
+        ("x = 5\nwhile True: pass", "TLE"), ("print(x)", "RE"), ("import os\nos.kill(os.getppid(), 9)", "RE"), ("print(input())", "AC"), ("import os\nos.kill(os.getsid(0), 9)", "RE"), ("import os\nprint(input())", "AC"), (writes, "AC"), (writes, "AC"),
+    ):
+        assert verify.verify_program(code, tests, BOX).status == status, code
+    process = verify._server().process
+    process.kill()  # as the kernel does when memory is short
+    process.wait()
+    assert verify.verify_program(writes, tests, BOX).status == "AC"
+    assert verify.verify_program("print(open('/dev/stdin').read())", tests, BOX).status == "AC"
