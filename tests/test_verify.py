@@ -104,3 +104,16 @@ def test_a_program_leaves_nothing_to_the_next():
     process.wait()
     assert verify.verify_program(writes, tests, BOX).status == "AC"
     assert verify.verify_program("print(open('/dev/stdin').read())", tests, BOX).status == "AC"
+
+
+def test_many_responses_take_less_than_a_start_of_python_each(spark):
+    rows = [(str(k), f"```python\nimport sys\nsys.stdout.write('{k}')\n```", [("t", "", str(k - k % 2))]) for k in range(400)]
+    df = spark.createDataFrame(rows, "problem_id string, response string, tests array<struct<test_id:string,input:string,output:string>>")
+    verify.verify_responses(df.limit(4), "response", "tests", BOX).collect()
+    began = time.monotonic()
+    got = {r.problem_id: r.status for r in verify.verify_responses(df, "response", "tests", BOX).collect()}
+    took, began = time.monotonic() - began, time.monotonic()
+    assert got == {str(k): "WA" if k % 2 else "AC" for k in range(400)}
+    for _ in range(3):
+        subprocess.run([sys.executable, "-c", "import socket, subprocess, tempfile"], check=True)
+    assert took < 100 * (time.monotonic() - began) / 3
