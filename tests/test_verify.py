@@ -1,4 +1,5 @@
 import ast
+import os
 import subprocess
 import sys
 import time
@@ -117,3 +118,12 @@ def test_many_responses_take_less_than_a_start_of_python_each(spark):
     for _ in range(3):
         subprocess.run([sys.executable, "-c", "import socket, subprocess, tempfile"], check=True)
     assert took < 100 * (time.monotonic() - began) / 3
+
+
+def test_a_server_ends_with_its_owner_and_clears_up():
+    code = f"from loomline.operators import verify\nverify.verify_program('x = 1', [{{}}], verify.Sandbox())\ns = verify._server()\nprint(s.process.pid, s.folder, flush=True)\ns.send({{'code': 'import time; time.sleep(1)', 'tests': [{{'test_id': 't', 'input': '', 'output': ''}}], 'whole_seconds': 5, 'plain': False, 'limits': {verify.Sandbox().__dict__!r}}})\nimport os\nos._exit(0)"
+    pid, folder = subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout.split()
+    until = time.monotonic() + 20
+    while (os.path.exists(folder) or os.path.exists(f"/proc/{pid}/exe")) and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not os.path.exists(folder) and not os.path.exists(f"/proc/{pid}/exe")
