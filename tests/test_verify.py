@@ -120,6 +120,48 @@ def test_many_responses_take_less_than_a_start_of_python_each(spark):
     assert took < 100 * (time.monotonic() - began) / 3
 
 
+REPEATING = [
+    "while True:\n    pass\n", "n = int(input().split()[0])\ni = 0\nwhile i < n:\n    j = i * 2", "x = 2\nwhile x != 1: x = (x * x + 1) % 1000", "import sys\nwhile True:\n    line = sys.stdin.readline()\n    if not line.strip(): continue",
+    "from collections import deque\ndef f(q, n):\n    d = {}\n    while q:\n        x = q.popleft()\n        q.append((x + 1) % n)\n        d[x] = 1\nf(deque([0]), 7)",
+    "def g(a, t):\n    lo, hi = 0, len(a)\n    while lo < hi:\n        mid = (lo + hi) // 2\n        if a[mid] < t: lo = mid\n        else: hi = mid\n    return lo\nprint(g([1, 2, 3, 4], 4))",
+]
+
+
+def test_a_program_in_a_state_that_it_has_been_in_is_late_at_once(monkeypatch):
+    box, whole = verify.Sandbox(wall_time_seconds=4.0, cpu_time_seconds=2), time.monotonic()
+    found = [_key(verify.verify_program(code, SUM * 2, box)) for code in REPEATING]
+    assert time.monotonic() - whole < 8 and {f[0] for f in found} == {"TLE"}  # in full, 24 s
+    monkeypatch.setattr(verify, "may_repeat", lambda tree: False)
+    assert found[0] == _key(verify.verify_program(REPEATING[0], SUM * 2, box)) and found[1] == _key(verify.verify_program(REPEATING[1], SUM * 2, box))
+
+
+def test_programs_known_to_be_late_count_in_the_time_of_all_test_cases():
+    box, whole = verify.Sandbox(wall_time_seconds=2.0, cpu_time_seconds=1), time.monotonic()
+    assert [(v.status, v.error_type, len(v.runs)) for v in (verify.verify_program(REPEATING[0], SUM * n, box) for n in (50, 61))] == [("TLE", None, 50), ("TLE", "harness_timeout", 0)]
+    assert time.monotonic() - whole < 30
+
+
+@pytest.mark.parametrize(
+    "code",
+    [  # what they get on with is in the place of a `for` loop, an iterator, a cell, a default, a bound method, a set, a cache, a stream or a global
+        "for _ in [0] * 300000:\n    while True: break\nprint(5)", "it = iter([0] * 300000)\nx = 0\nwhile x == 0: x = next(it, 5)\nprint(x)", "def g(a=[]):\n    a.append(1)\n    return len(a)\nwhile g() < 300000: pass\nprint(5)",
+        "def f():\n    n = 0\n    def g():\n        nonlocal n\n        n += 1\n        return n\n    while g() < 300000: pass\n    print(5)\nf()", "a = []\nadd = a.append\ndef f():\n    add(1)\n    return len(a)\nwhile f() < 300000: pass\nprint(5)",
+        "s = set()\nwhile len(s) < 300000: s.add(len(s))\nprint(5)", "n = 0\ndef f():\n    global n\n    n += 1\ndef g():\n    while n < 300000: f()\ng()\nprint(5)", "import sys\nprint(5)\nwhile sys.stdin.read(1): pass", "from itertools import count\nc = count()\nwhile next(c) < 300000: pass\nprint(5)",
+        "def f(n):\n    while n: return f(n - 1)\nfor _ in range(3000): f(90)\nprint(5)", "x = 0\nwhile True:\n    x += 1\n    if x > 300000: break\nprint(5)", "from functools import lru_cache\n@lru_cache(maxsize=None)\ndef f(x): return [0]\nwhile f(0)[0] < 300000: f(0)[0:] = [f(0)[0] + 1]\nprint(5)",
+        "def f(n):\n    while n > 0: n = f(n - 1) or -1\n    return n\nf(900)\nx = [5, 1]\nwhile x[0] < 300000: x = [x[0] + 1, x]\nprint(5)",
+    ],
+)
+def test_programs_that_only_look_as_if_they_repeated_are_run(code):
+    box = verify.Sandbox(wall_time_seconds=10.0, cpu_time_seconds=10)
+    assert verify.may_repeat(ast.parse(code)) and verify.is_plain(ast.parse(code))
+    assert verify.verify_program(code, [{"input": "0" * 300000, "output": "5\n"}], box).status == "AC"
+
+
+def test_what_catches_exceptions_or_compares_identities_is_not_compared_with_itself():
+    for code, may in (("while x is None: pass", True), ("while x is y: pass", False), ("while 1 is True: pass", True), ("while x is 1: pass", False), ("for x in y: pass", False), ("try:\n    while 1: pass\nexcept ValueError: pass", False)):
+        assert verify.may_repeat(ast.parse(code)) is may, code
+
+
 def test_a_server_ends_with_its_owner_and_clears_up():
     code = f"from loomline.operators import verify\nverify.verify_program('x = 1', [{{}}], verify.Sandbox())\ns = verify._server()\nprint(s.process.pid, s.folder, flush=True)\ns.send({{'code': 'import time; time.sleep(1)', 'tests': [{{'test_id': 't', 'input': '', 'output': ''}}], 'whole_seconds': 5, 'plain': False, 'limits': {verify.Sandbox().__dict__!r}}})\nimport os\nos._exit(0)"
     pid, folder = subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout.split()
